@@ -9,14 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_digest
 
     return token_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_digest
+
+    return warc_digest(common.table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_ids": op2_token_ids}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
