@@ -21,15 +21,35 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digest
+
+    return line_digest(common.table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_digest
 
     return warc_digest(common.table(spark, sf_dir, "pages"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_verdicts
+
+    return quality_verdicts(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op7_warc)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op6_html_text, op7_warc, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, quality
+
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}

@@ -123,6 +123,11 @@ def normalise(blob: bytes, level: int = 1) -> tuple[bytes, bytes]:
     return b"".join(out), b"".join(index)
 
 
+def index_entries(sidecar: bytes) -> list[tuple[int, int, int, int]]:
+    """(offset, length, plain length, whether a revisit) of each record."""
+    return list(INDEX.iter_unpack(sidecar))
+
+
 def parsed(plain: bytes) -> tuple[int | None, int, str, str, int | None]:
     """page_id, payload bytes, digest, kind, refers_to of a record."""
     cut = plain.index(b"\r\n\r\n")
@@ -193,7 +198,7 @@ def read_warcs(spark: SparkSession, folder: str, step: int = 512) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                entries = list(INDEX.iter_unpack(common.read_file(folder, f"{name}.idx")))
+                entries = index_entries(common.read_file(folder, f"{name}.idx"))
                 system, path = common.filesystem(folder)
                 with system.open_input_file(f"{path}/{name}.warc.gz") as src:
                     for at in range(0, len(entries), step):
