@@ -27,6 +27,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_digest
+
+    return substring_digest(common.table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -46,10 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op6_html_text, op7_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op6_html_text, op7_warc, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, quality
+    from . import line_dedup, quality, substring_dedup
 
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
