@@ -51,11 +51,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(common.table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op6_html_text, op7_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op6_html_text, op7_warc, op9_quality_rules, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, quality, substring_dedup
+    from . import line_dedup, near_dedup, quality, substring_dedup
 
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
