@@ -33,6 +33,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(common.table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -58,10 +64,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op6_html_text, op7_warc, op9_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op5_mixing, op6_html_text, op7_warc, op9_quality_rules, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, near_dedup, quality, substring_dedup
+    from . import line_dedup, mixing, near_dedup, quality, substring_dedup
 
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
