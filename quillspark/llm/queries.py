@@ -51,6 +51,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(common.table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaked_items
+
+    return leaked_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
@@ -64,7 +70,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op5_mixing, op6_html_text, op7_warc, op9_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op5_mixing, op6_html_text, op7_warc, op8_decontamination, op9_quality_rules, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
