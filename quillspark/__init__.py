@@ -1,0 +1 @@
+"""Quillspark: a document-corpus analytics engine of PySpark DataFrame operators."""
