@@ -33,7 +33,7 @@ UNSHOWN_STYLE = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSHOWN = frozenset("head script style template iframe noembed noframes object audio video canvas datalist noscript".split())
+UNSHOWN = frozenset("head title script style template iframe noembed noframes object audio video canvas datalist noscript".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = APART | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
