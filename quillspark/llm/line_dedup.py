@@ -26,7 +26,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         f"""filter(transform(sequence(0, size(lines) - {WINDOW}), i -> struct(i AS at,
               xxhash64(lines[i], '\\n', lines[i + 1], '\\n', lines[i + 2]) AS h1,
               xxhash64(1, lines[i], '\\n', lines[i + 1], '\\n', lines[i + 2]) AS h2,
-              length(translate(concat(lines[i], lines[i + 1], lines[i + 2]), ' \\t\\u000b\\f\\r', '')) AS chars)),
+              length(translate(concat(lines[i], lines[i + 1], lines[i + 2]), ' \\t\\u000b\\u000c\\r', '')) AS chars)),
             x -> x.chars > 0)"""
     )
     windows = rows.filter(F.size("lines") >= WINDOW).select("doc_key", "text_key", F.explode(windows).alias("w")).select("doc_key", "text_key", "w.at", "w.h1", "w.h2")
