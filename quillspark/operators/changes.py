@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 
 def change_set(scanned: DataFrame, known: DataFrame) -> DataFrame:
     """(path, status) by content hash: new, changed, unchanged or deleted."""
@@ -41,13 +43,16 @@ def integrity_checks(files: DataFrame, chunks: DataFrame, vectors: DataFrame) ->
 
 
 def repaired(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orphans deleted from the outside in, then the vectors' copies of file columns renewed."""
-    chunks = chunks.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    """Orphans deleted from the outside in, then the vectors' copies of file columns renewed.
+
+    Each repaired table is cut off from its lineage, as the following repairs read it several times.
+    """
+    chunks = cut(chunks.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"))
     parents = chunks.select(F.col("id").alias("parent_id"))
-    chunks = chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left_semi"))
-    vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    chunks = chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi"))
-    files = files.join(chunks.select(F.col("file_id").alias("id")), "id", "left_semi")
+    chunks = cut(chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left_semi")))
+    vectors = cut(vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"))
+    chunks = cut(chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi")))
+    files = cut(files.join(chunks.select(F.col("file_id").alias("id")), "id", "left_semi"))
     vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     copies = [x for x in ("path", "filename", "extension", "category", "year") if x in vectors.columns]
     return files, chunks, vectors.drop(*copies).join(files.select(F.col("id").alias("file_id"), *copies), "file_id")

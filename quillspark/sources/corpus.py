@@ -121,7 +121,7 @@ def scan_folder(spark: SparkSession, roots: list[str], extensions: list[str], ig
     """Files below the roots: path, filename, extension, size, mtime and content hash (a pseudo-hash for oversized ones).
 
     ``ignore`` holds glob patterns in the manner of ignore files; a leading ``!`` takes a path back in. The last pattern
-    that fits a path decides.
+    that fits a path decides. Files without any byte are not listed, as Spark's readers leave them out.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     rows = found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), T.extension_of(F.col("path")).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
