@@ -21,9 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8 or more."""
     verdicts = near_dedup.near_duplicates(docs, words=5, percent=80)
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    key = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.LAST))
+    kept = verdicts.filter("kept").select(key().alias("_node")).distinct()
+    # repeated rows lie together after the join, so that leaving one of them takes no further shuffle of the texts
+    rows = docs.withColumn("_node", key()).join(kept.hint("merge"), "_node", "left_semi")
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_node", "_text"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
