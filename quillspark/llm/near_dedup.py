@@ -176,7 +176,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_
     of = lambda x: F.pmod(F.xxhash64(x), F.col("shards"))
     edges = common.staged(edges.select("a", "b", F.xxhash64("component", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell")), "edges")
     members = edges.select(F.col("a").alias("node"), F.col("cell").alias("home")).union(edges.select(F.col("b").alias("node"), F.col("cell").alias("home"))).distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text")).join(members, "node")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "node")
 
     def check(_key: tuple, links: pa.Table, rows: pa.Table) -> pa.Table:
         nodes, bodies = rows.column("node").to_pylist(), common.column_bytes(rows.column("text"))
@@ -218,7 +218,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 12, least_depth: int = 2, cell_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
