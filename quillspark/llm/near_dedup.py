@@ -4,7 +4,7 @@ Every document gets the set of its 4-word shingles (words ``[^\\x20\\x09-\\x0D]+
 shingle) and a MinHash signature of ``SLOTS`` 16-bit values. Documents of equal sets are one class. The classes are sorted
 once per tree, each tree by another order of the slots. In a sorted order, those with the longest common prefix stand next
 to each other; every document takes the ``reach`` documents before it as candidates while they share ``least_depth`` slots.
-So the depth adapts to the region: where many documents crowd, only deep prefixes come near, where few stand, shallow ones
+A second pass goes ``wide_reach`` far, but only for pairs that the first one has left in different components. So the depth adapts to the region: where many documents crowd, only deep prefixes come near, where few stand, shallow ones
 do, and no bucket is ever formed that a hot group could fill (tables are cut by range, whatever the keys).
 
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
@@ -95,11 +95,10 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     return rows.mapInArrow(run, "node long, n_shingles long, set_key binary, signature binary")
 
 
-def sorted_orders(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(tree, slots, node, n_shingles) of every class and tree in which another class shares the first ``depth`` slots."""
+def shared_trees(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(node, trees): the trees in which another class shares the first ``depth`` slots."""
     order = tree_orders(trees)
     prefix = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("prefix", pa.int64())])
-    placed = pa.schema([("tree", pa.int32()), ("slots", pa.binary()), ("node", pa.int64()), ("n_shingles", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,28 +112,35 @@ def sorted_orders(classes: DataFrame, trees: int, depth: int) -> DataFrame:
                     key = wordhash.mix(key + sig[:, order[t, k]])
                 yield pa.RecordBatch.from_arrays([node, pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64))], schema=prefix)
 
+    keys = classes.select("node", "signature").mapInArrow(prefixes, "node long, tree int, prefix long")
+    shared = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix")
+    return keys.join(shared, "prefix").groupBy("node").agg(F.collect_set("tree").alias("trees"))
+
+
+def sorted_orders(classes: DataFrame, found: DataFrame, trees: int) -> DataFrame:
+    """(tree, slots, node, n_shingles, label) of every class (with its label) in each of its trees."""
+    order = tree_orders(trees)
+    placed = pa.schema([("tree", pa.int32()), ("slots", pa.binary()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("label", pa.int64())])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SLOTS)
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SLOTS)
             rows = []
-            for k, (node, n, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                rows += [(t, sig[k, order[t]].tobytes(), node, n) for t in found]
+            for k, (node, n, label, mine) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)):
+                rows += [(t, sig[k, order[t]].tobytes(), node, n, label) for t in mine]
                 if len(rows) >= 8192:
                     yield common.to_batch(rows, placed)
                     rows = []
             if rows:
                 yield common.to_batch(rows, placed)
 
-    keys = classes.select("node", "signature").mapInArrow(prefixes, "node long, tree int, prefix long")
-    shared = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix")
-    found = keys.join(shared, "prefix").groupBy("node").agg(F.collect_set("tree").alias("trees"))
-    return classes.join(found, "node").select("node", "n_shingles", "signature", "trees").mapInArrow(place, "tree int, slots binary, node long, n_shingles long")
+    return classes.join(found, "node").select("node", "n_shingles", "label", "signature", "trees").mapInArrow(place, "tree int, slots binary, node long, n_shingles long, label long")
 
 
 def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) -> DataFrame:
-    """(a, b) of neighbours in a sorted order that neither signature nor size rules out; a < b."""
+    """(a, b) of neighbours of other labels in a sorted order that neither signature nor size rules out; a < b."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     cut = similarity - 5 * (similarity * (1 - similarity) / SLOTS) ** 0.5
 
@@ -145,22 +151,22 @@ def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) ->
                 continue
             tree = batch.column(0).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS)
-            node, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            node, n, label = (batch.column(c).to_numpy() for c in (2, 3, 4))
             new = 0
             if kept is not None:
                 new = len(kept[0])
-                tree, sig, node, n = (np.concatenate(x) for x in zip(kept, (tree, sig, node, n), strict=True))
+                tree, sig, node, n, label = (np.concatenate(x) for x in zip(kept, (tree, sig, node, n, label), strict=True))
             for k in range(1, reach + 1):
                 lo = max(new - k, 0)
                 a, b = slice(lo, len(tree) - k), slice(lo + k, None)
                 if lo + k >= len(tree):
                     break
-                some = np.flatnonzero((tree[a] == tree[b]) & (sig[a][:, :depth] == sig[b][:, :depth]).all(1) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9) & (node[a] != node[b])) + lo
+                some = np.flatnonzero((tree[a] == tree[b]) & (sig[a][:, :depth] == sig[b][:, :depth]).all(1) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9) & (label[a] != label[b])) + lo
                 some = some[(sig[some] == sig[some + k]).mean(1) >= cut] if len(some) else some
                 if len(some):
                     x, y = node[some], node[some + k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
-            kept = tuple(x[-reach:] for x in (tree, sig, node, n))
+            kept = tuple(x[-reach:] for x in (tree, sig, node, n, label))
 
     ranged = placed.repartitionByRange("tree", "slots", "node").sortWithinPartitions("tree", "slots", "node")
     return ranged.mapInArrow(run, "a long, b long").distinct()
@@ -218,14 +224,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
     full = sketches.filter("n_shingles > 0")
     classes = common.staged(full.groupBy("set_key").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    pairs = common.staged(candidates(sorted_orders(classes, trees, least_depth), least_depth, reach, percent / 100), "pairs")
-    component = connected_components(confirmed(docs, pairs, words, percent, cell_docs, id_col, text_col))
+    found = common.staged(shared_trees(classes, trees, least_depth), "trees")
+
+    def links_of(labelled: DataFrame, near: int) -> DataFrame:
+        pairs = common.staged(candidates(sorted_orders(labelled, found, trees), least_depth, near, percent / 100), "pairs")
+        return common.staged(confirmed(docs, pairs, words, percent, cell_docs, id_col, text_col), "confirmed")
+
+    links = links_of(classes.withColumn("label", F.col("node")), reach)
+    component = connected_components(links)
+    label = component.withColumnRenamed("component", "label")
+    more = links_of(classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), wide_reach)
+    component = connected_components(links.union(more))
     named = classes.select("set_key", F.col("node").alias("first")).join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     rows = sketches.select("node", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component", F.coalesce("component", "node"))
     real = lambda x: F.when(F.col(x) != LAST, F.col(x))
