@@ -8,7 +8,7 @@ A second pass goes ``wide_reach`` far, but only for pairs that the first one has
 do, and no bucket is ever formed that a hot group could fill (tables are cut by range, whatever the keys).
 
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
-probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut five standard
+probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut four standard
 deviations below), the others are confirmed on the full sets: candidates are grouped by connected component, components
 over ``cell_docs`` are cut into cells by pairs of shards, and within a cell a pair is compared unless already joined.
 
@@ -140,9 +140,9 @@ def sorted_orders(classes: DataFrame, found: DataFrame, trees: int) -> DataFrame
 
 
 def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) -> DataFrame:
-    """(a, b) of neighbours of other labels in a sorted order that neither signature nor size rules out; a < b."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    cut = similarity - 5 * (similarity * (1 - similarity) / SLOTS) ** 0.5
+    """(a, b, la, lb) of neighbours of different labels in a sorted order that neither signature nor size rules out; a < b."""
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "la", "lb")])
+    cut = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, ...] | None = None
@@ -164,21 +164,24 @@ def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) ->
                 some = np.flatnonzero((tree[a] == tree[b]) & (sig[a][:, :depth] == sig[b][:, :depth]).all(1) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9) & (label[a] != label[b])) + lo
                 some = some[(sig[some] == sig[some + k]).mean(1) >= cut] if len(some) else some
                 if len(some):
-                    x, y = node[some], node[some + k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+                    swap = node[some] > node[some + k]
+                    x, y = np.where(swap, some + k, some), np.where(swap, some, some + k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], label[x], label[y])], schema=schema)
             kept = tuple(x[-reach:] for x in (tree, sig, node, n, label))
 
     ranged = placed.repartitionByRange("tree", "slots", "node").sortWithinPartitions("tree", "slots", "node")
-    return ranged.mapInArrow(run, "a long, b long").distinct()
+    return ranged.mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_docs: int, id_col: str, text_col: str) -> DataFrame:
     """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    component = connected_components(pairs)
-    sizes = component.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_docs)).alias("shards"))
+    # labels stand for documents that are joined already, so that a large group counts as one node here
+    component = connected_components(pairs.select("la", "lb").distinct(), "la", "lb")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("la").alias("node")), F.struct(F.col("b").alias("doc"), F.col("lb").alias("node")))).alias("x")).select("x.*").distinct()
+    sizes = ends.join(component, "node").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_docs)).alias("shards"))
     shard = component.join(sizes, "component").select("node", "component", "shards")
-    edges = pairs.join(shard.withColumnRenamed("node", "a"), "a")
+    edges = pairs.join(shard.withColumnRenamed("node", "la"), "la")
     of = lambda x: F.pmod(F.xxhash64(x), F.col("shards"))
     edges = common.staged(edges.select("a", "b", F.xxhash64("component", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell")), "edges")
     members = edges.select(F.col("a").alias("node"), F.col("cell").alias("home")).union(edges.select(F.col("b").alias("node"), F.col("cell").alias("home"))).distinct()
@@ -224,7 +227,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 16, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
