@@ -4,13 +4,16 @@ Every document gets the set of its 4-word shingles (words ``[^\\x20\\x09-\\x0D]+
 shingle) and a MinHash signature of ``SLOTS`` 16-bit values. Documents of equal sets are one class. The classes are sorted
 once per tree, each tree by another order of the slots. In a sorted order, those with the longest common prefix stand next
 to each other; every document takes the ``reach`` documents before it as candidates while they share ``least_depth`` slots.
-A second pass goes ``wide_reach`` far, but only for pairs that the first one has left in different components. So the depth adapts to the region: where many documents crowd, only deep prefixes come near, where few stand, shallow ones
-do, and no bucket is ever formed that a hot group could fill (tables are cut by range, whatever the keys).
+A second pass goes ``wide_reach`` far, but only for pairs that the first one has left in different components. A third one
+takes the prefixes of ``least_depth`` slots that more documents share than a window spans, and looks at all their pairs
+that are still in different components: such a crowd is cut into shards of about ``crowd_rows``, every pair of shards is a
+task's work, and the crowd's largest component isn't compared with itself. So no pair that shares a prefix is left out.
 
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
-probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut four standard
+probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut five standard
 deviations below), the others are confirmed on the full sets: candidates are grouped by connected component, components
-over ``cell_docs`` are cut into cells by pairs of shards, and within a cell a pair is compared unless already joined.
+over ``cell_docs`` are cut into cells by pairs of shards of documents, and within a cell a pair is compared unless already
+joined.
 
 Null or blank text: empty set, linked with nothing. Rows that share an id are one node (each row keeps its own set size);
 a null id is a node after all others whose component is null and which is kept only if it stands alone; an empty table gives
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, wordhash
@@ -139,10 +142,15 @@ def sorted_orders(classes: DataFrame, found: DataFrame, trees: int) -> DataFrame
     return classes.join(found, "node").select("node", "n_shingles", "label", "signature", "trees").mapInArrow(place, "tree int, slots binary, node long, n_shingles long, label long")
 
 
+def least_agreement(similarity: float) -> float:
+    """The share of equal slots five standard deviations below the similarity."""
+    return similarity - 5 * (similarity * (1 - similarity) / SLOTS) ** 0.5
+
+
 def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) -> DataFrame:
     """(a, b, la, lb) of neighbours of different labels in a sorted order that neither signature nor size rules out; a < b."""
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "la", "lb")])
-    cut = similarity - 4 * (similarity * (1 - similarity) / SLOTS) ** 0.5
+    cut = least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, ...] | None = None
@@ -173,6 +181,49 @@ def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) ->
     return ranged.mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
+def crowded_candidates(placed: DataFrame, trees: int, depth: int, reach: int, similarity: float, crowd_rows: int) -> DataFrame:
+    """(a, b, la, lb), as of ``candidates``, of all pairs in prefixes that more than ``reach`` + 1 classes share."""
+    order, cut = tree_orders(trees), least_agreement(similarity)
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "la", "lb")])
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n, label, shard, crowded = (table.column(c).to_numpy() for c in ("node", "n_shingles", "label", "shard", "crowded"))
+        tree, low, high = (table.column(c)[0].as_py() for c in ("tree", "low", "high"))
+        sig = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint16).reshape(-1, SLOTS)[:, np.argsort(order[tree])]
+        left, right = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
+        found = []
+        for at in range(0, len(left), 16):
+            i, j = left[at : at + 16, None], right[None, :]
+            near = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            if low == high:
+                near &= i < j
+            x, y = np.nonzero(near)
+            x, y = left[at + x], right[y]
+            agree = (sig[x] == sig[y]).mean(1) >= cut
+            x, y = x[agree], y[agree]
+            for t in range(tree):  # a pair is named once, in the first tree in which it shares a crowded prefix
+                if len(x):
+                    other = (crowded[x] >> t & 1 == 0) | (sig[x][:, order[t, :depth]] != sig[y][:, order[t, :depth]]).any(1)
+                    x, y = x[other], y[other]
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append((node[x], node[y], label[x], label[y]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (list(zip(*found, strict=True)) or [()] * 4)], schema=schema)
+
+    rows = placed.withColumn("prefix", F.substring("slots", 1, 2 * depth))
+    labels = rows.groupBy("tree", "prefix", "label").agg(F.count(F.lit(1)).alias("n"))
+    crowds = labels.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("n") > reach + 1) & (F.col("n") > F.col("most.n")))
+    shards = lambda x: F.ceil(x / F.lit(crowd_rows))
+    # shards of the rest come first, those of the largest label last; the latter meet only the former
+    crowds = crowds.select("tree", "prefix", F.col("most.label").alias("largest"), shards(F.col("n") - F.col("most.n")).alias("others"), shards(F.col("most.n")).alias("own"))
+    part = lambda x: F.pmod(F.xxhash64("node"), x)
+    rows = rows.join(crowds, ["tree", "prefix"]).withColumn("crowded", F.sum(F.expr("shiftleft(1L, tree)")).over(Window.partitionBy("node")))
+    rows = rows.withColumn("shard", F.when(F.col("label") == F.col("largest"), F.col("others") + part(F.col("own"))).otherwise(part(F.col("others"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("shard") < F.col("others"), F.col("others") + F.col("own")).otherwise(F.col("others")) - 1)))
+    cells = rows.select("tree", "prefix", F.least("shard", "with").alias("low"), F.greatest("shard", "with").alias("high"), "shard", "crowded", "slots", "node", "n_shingles", "label")
+    return cells.groupBy("tree", "prefix", "low", "high").applyInArrow(run, "a long, b long, la long, lb long")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_docs: int, id_col: str, text_col: str) -> DataFrame:
     """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -183,7 +234,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_
     shard = component.join(sizes, "component").select("node", "component", "shards")
     edges = pairs.join(shard.withColumnRenamed("node", "la"), "la")
     of = lambda x: F.pmod(F.xxhash64(x), F.col("shards"))
-    edges = common.staged(edges.select("a", "b", F.xxhash64("component", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell")), "edges")
+    edges = common.staged(edges.select("a", "b", "la", "lb", F.xxhash64("component", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell")), "edges")
     members = edges.select(F.col("a").alias("node"), F.col("cell").alias("home")).union(edges.select(F.col("b").alias("node"), F.col("cell").alias("home"))).distinct()
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "node")
 
@@ -197,20 +248,23 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_
                 mine = values[first[j] : first[j + 1]].copy()
                 if not any(np.array_equal(mine, x) for x in held):
                     held.append(mine)
-        root = {x: x for x in sets}
+        root: dict[int, int] = {}
 
         def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
                 x = root[x]
             return x
 
+        ends = [links.column(x).to_numpy() for x in ("a", "b", "la", "lb")]
+        order = np.lexsort((ends[1], ends[0]))
         found = []
-        for a, b in sorted(zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True)):
-            x, y = top(a), top(b)
-            if x != y and any(similar(s, t, percent) for s in sets[a] for t in sets[b]):
-                root[max(x, y)] = min(x, y)
-                found.append((a, b))
+        for at in range(0, len(order), 1 << 16):  # crowds have many pairs: few at a time as Python objects
+            for a, b, la, lb in zip(*(x[order[at : at + (1 << 16)]].tolist() for x in ends), strict=True):
+                x, y = top(la), top(lb)
+                if x != y and any(similar(s, t, percent) for s in sets[a] for t in sets[b]):
+                    root[max(x, y)] = min(x, y)
+                    found.append((a, b))
         return pa.Table.from_batches([common.to_batch(found, schema)] if found else [], schema)
 
     return edges.groupBy("cell").cogroup(texts.groupBy("home")).applyInArrow(check, "a long, b long")
@@ -227,7 +281,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 16, least_depth: int = 2, cell_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
@@ -235,15 +289,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
     classes = common.staged(full.groupBy("set_key").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     found = common.staged(shared_trees(classes, trees, least_depth), "trees")
 
-    def links_of(labelled: DataFrame, near: int) -> DataFrame:
-        pairs = common.staged(candidates(sorted_orders(labelled, found, trees), least_depth, near, percent / 100), "pairs")
-        return common.staged(confirmed(docs, pairs, words, percent, cell_docs, id_col, text_col), "confirmed")
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return common.staged(confirmed(docs, common.staged(pairs, "pairs"), words, percent, cell_docs, id_col, text_col), "confirmed")
+
+    def placed(component: DataFrame | None = None) -> DataFrame:
+        if component is None:
+            return sorted_orders(classes.withColumn("label", F.col("node")), found, trees)
+        label = component.withColumnRenamed("component", "label")
+        return sorted_orders(classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), found, trees)
 
-    links = links_of(classes.withColumn("label", F.col("node")), reach)
+    links = links_of(candidates(placed(), least_depth, reach, percent / 100))
+    component = connected_components(links)
+    links = links.union(links_of(candidates(placed(component), least_depth, wide_reach, percent / 100)))
+    component = connected_components(links)
+    links = links.union(links_of(crowded_candidates(placed(component), trees, least_depth, wide_reach, percent / 100, crowd_rows)))
     component = connected_components(links)
-    label = component.withColumnRenamed("component", "label")
-    more = links_of(classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), wide_reach)
-    component = connected_components(links.union(more))
     named = classes.select("set_key", F.col("node").alias("first")).join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     rows = sketches.select("node", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component", F.coalesce("component", "node"))
     real = lambda x: F.when(F.col(x) != LAST, F.col(x))

@@ -301,6 +301,34 @@ def test_near_dedup(docs, empty, corpus, spark, cell_docs):
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("size", [500, 2000])
+def test_near_dedup_crowd(spark, size):
+    """Edited copies of one text, most of them just below the limit: links must be found all over the crowd."""
+    rng = random.Random(size)
+    seed, rows = [f"s{k}" for k in range(303)], []
+    for k in range(size):
+        words = list(seed)
+        for place in rng.sample(range(303), rng.randrange(3, 12)):
+            words[place] = f"n{k}x{place}"
+        rows.append((k, " ".join(words)))
+    grams: dict[tuple, int] = {}
+    own = [[grams.setdefault(tuple(w[i : i + 4]), len(grams)) for i in range(300)] for w in (t.split(" ") for _, t in rows)]
+    holders = np.bincount(np.concatenate(own))
+    shared = np.cumsum(holders > 1) - 1
+    held = np.zeros((size, int(shared[-1]) + 1), np.float32)
+    for k, x in enumerate(own):
+        held[k, [shared[g] for g in x if holders[g] > 1]] = 1
+    both = (held @ held.T).astype(int)
+    component = list(range(size))
+    for a, b in np.argwhere(np.triu(100 * both >= 80 * (600 - both), 1)).tolist():
+        x, y = sorted((component[a], component[b]))
+        if x != y:
+            component = [x if c == y else c for c in component]
+    assert size / 20 < len(set(component)) < size
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd_rows=300).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(component))
+
+
 def test_near_dedup_odd_tables(docs, empty, corpus):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.near_duplicates(docs).count() == len(corpus)
