@@ -14,8 +14,8 @@ from quillspark.llm import common, decontaminate, mixing, near_dedup, quality, t
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by their host's frequent lines."""
-    return quality.filter_quality(docs)
+    """Documents that pass the base rules and are not depleted by their host's frequent lines, without these lines."""
+    return quality.filter_quality(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

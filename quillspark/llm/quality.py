@@ -68,15 +68,26 @@ def short_lines(docs: DataFrame, max_line_words: int) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, min_docs: int, max_share: float, max_line_words: int) -> DataFrame:
-    """(doc_id, host, text_key, gone): words of each document in lines that are frequent on its host, where there are any."""
+    """(doc_id, host, text_key, gone, lines): words of each document in lines that are frequent on its host, and the keys of
+    these lines, where there are any."""
     lines = short_lines(docs, max_line_words)
     key, doc = ["host", "l1", "l2"], ["doc_id", "host", "text_key"]
     counts = lines.select(*key, "text_key").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
     hosts = docs.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = counts.join(hosts, "host").filter(F.col("n") > max_share * F.col("host_docs")).select(*key)
-    gone = lines.join(frequent, key).groupBy(*doc).agg(F.sum("line_words").alias("gone")).alias("s")
+    gone = lines.join(frequent, key).groupBy(*doc).agg(F.sum("line_words").alias("gone"), F.collect_set(F.struct("l1", "l2")).alias("lines")).alias("s")
     copies = docs.groupBy(*doc).agg(F.count(F.lit(1)).alias("rows")).alias("c")
-    return gone.join(copies, _same("s", "c")).select("s.doc_id", "s.host", "s.text_key", (F.col("s.gone") / F.col("c.rows")).cast("long").alias("gone"))
+    return gone.join(copies, _same("s", "c")).select("s.doc_id", "s.host", "s.text_key", (F.col("s.gone") / F.col("c.rows")).cast("long").alias("gone"), "s.lines")
+
+
+def without_lines(text: Column, lines: Column) -> Column:
+    """The text without its lines of these keys; null keys leave it as it is."""
+
+    def stays(raw: Column) -> Column:
+        line = normalised_line(raw)
+        return ~F.array_contains(lines, F.struct(F.xxhash64(line).alias("l1"), F.xxhash64(F.lit(1), line).alias("l2")))
+
+    return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -99,7 +110,7 @@ def _same(a: str, b: str) -> list[Column]:
 
 
 def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns; the text is without the lines that are frequent on the host."""
     id_col, text_col, host_col = (options.get(f"{x}_col", d) for x, d in (("id", "doc_id"), ("text", "text"), ("host", "source")))
     limits = {k: v for k, v in options.items() if not k.endswith("_col")}
     limits = {"min_docs": 10, "max_share": 0.005, "max_line_words": 20, "max_removed": 0.7} | limits
@@ -109,8 +120,12 @@ def filter_quality(docs: DataFrame, **options) -> DataFrame:
     # the verdict stands above an aggregate: a filter right above the measures would be pushed into them and copy them
     base = base_columns(rows).groupBy("doc_id", "host", "text_key").agg(F.max("base_failed").alias("base_failed"), F.max("n_words").alias("n_words"))
     judged = base.alias("b").join(gone.alias("g"), _same("b", "g"), "left")
-    bad = judged.filter(F.col("b.base_failed") | F.coalesce(F.col("g.gone") > limits["max_removed"] * F.col("b.n_words"), F.lit(False))).select("b.doc_id", "b.host", "b.text_key")
-    return held.alias("h").join(bad.alias("b"), _same("h", "b"), "left_anti").select("row.*")
+    bad = F.col("b.base_failed") | F.coalesce(F.col("g.gone") > limits["max_removed"] * F.col("b.n_words"), F.lit(False))
+    found = judged.filter(bad | F.col("g.lines").isNotNull()).select("b.doc_id", "b.host", "b.text_key", bad.alias("bad"), "g.lines")
+    kept = held.alias("h").join(found.alias("f"), _same("h", "f"), "left").filter(~F.coalesce("f.bad", F.lit(False)))
+    field = lambda x: F.col("h.row").getField(x)
+    return kept.select(*((without_lines(field(x).cast("string"), F.col("f.lines")) if x == text_col else field(x)).alias(x) for x in docs.columns))
+
 
 
 ORACLE_SQL = r"""

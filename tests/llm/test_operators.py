@@ -265,6 +265,16 @@ def test_frequent_lines(spark):
     assert all(got[k].depleted and not got[k].kept for k in range(30)) and all(got[k].kept for k in range(30, 60))
 
 
+def test_frequent_lines_are_removed(spark):
+    rng = random.Random(3)
+    body = [prose(rng, 40, 5000) for _ in range(30)]
+    rows = [(k, f"Page {k} of  30\n{' '.join(x[:20])}\n\n{' '.join(x[20:])}\npage 7 of 30", "host") for k, x in enumerate(body)]
+    rows += [(100, rows[3][1], "elsewhere"), (3, rows[3][1], "host"), (None, rows[4][1], "host")]
+    want = sorted((-1 if k is None else k, t if h == "elsewhere" else "\n".join(t.split("\n")[1:-1]), h) for k, t, h in rows)
+    kept = quality.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.source) for r in kept.collect()) == want
+
+
 def brute_components(rows, n):
     def shingles(t):
         w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
