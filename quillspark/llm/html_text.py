@@ -37,6 +37,8 @@ UNSHOWN = frozenset("head title script style template iframe noembed noframes ob
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = APART | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
+#: What leaves an open head open; any other start tag and any text ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes".split())
 #: Start tag: the open elements it closes, and those beyond which it doesn't look.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "table")),
@@ -127,7 +129,10 @@ class Tree:
                 at = stop.start() if stop else end
 
     def text(self, text: str) -> None:
-        self.node.children.append(unescape(text) if "&" in text else text)
+        text = unescape(text) if "&" in text else text
+        if self.node.tag == "head" and text.strip(" \t\n\f\r"):
+            self.pop()
+        self.node.children.append(text)
 
     def push(self, name: str, attributes: str) -> None:
         node = Node(name, attributes, self.node)
@@ -158,6 +163,8 @@ class Tree:
     def start(self, name: str, attributes: str) -> None:
         if name == "html":
             return
+        if self.node.tag == "head" and name not in IN_HEAD:
+            self.pop()
         if name in CLOSES_P:
             self.close(("p",), ("table", "td", "th", "button", "object", "caption"))
             if name in ("h1", "h2", "h3", "h4", "h5", "h6") and self.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):

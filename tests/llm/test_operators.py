@@ -178,6 +178,12 @@ def test_html():
     assert html_text.extract("<div>" * 3000 + "deep")[1] == "deep"
 
 
+def test_html_head_left_open():
+    assert html_text.extract("<html><head><title>T</title>\n<meta charset=x><p>Hello <b>you</b><p>x") == ("T", "Hello you\n\nx")
+    assert html_text.extract("<head><style>a</style><title>T</title>\n text &amp; more<div>b</div>") == ("T", "text & more\nb")
+    assert html_text.extract("<head><noscript><img src=x>no</noscript><script>n</script>\n</head><body>b") == ("", "b")
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "u", "same"), (1, "u", "same"), (2, None, None), (5, "u", ""), (None, "u", "same"), (9, "http://x/ü y", "é" * 3000), (4, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("x")).withColumn("payload_key", F.lit(1))
