@@ -27,9 +27,11 @@ def ensure_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; set here only where the session has none."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; set here only where a local session has none."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quillspark-shared-")
         spark.sparkContext.setCheckpointDir(given)
     return given
@@ -52,6 +54,34 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a counted table is broadcast, and the least rows of a key that is dealt over several tasks.
+BROADCAST_ROWS = 50_000
+HOT_ROWS = 10_000
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the table's rows, counted, are few; otherwise the optimiser's own choice."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """Join with a stored table that holds each key once, with the number ``n`` of left rows that have it.
+
+    Few rows are broadcast. Otherwise both sides are shuffled, and a hot key (over ``HOT_ROWS`` rows and over a ten
+    thousandth of all, so that there are fewer than 10,000 such keys at any size) is dealt over as many tasks as it needs
+    by a hash of the ``spread`` columns.
+    """
+    rows, total = right.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    limit = max(HOT_ROWS, (total or 0) // 10_000)
+    salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
+    hot = right.filter(F.col(n) > limit).select(*on, salts.alias("_salts"))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
