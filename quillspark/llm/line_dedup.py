@@ -4,24 +4,35 @@ Every run of three consecutive lines (``\\n``-split) of a document is hashed to
 count. A window whose lines also start earlier (smaller ``doc_id``, or the same document at an earlier line) is a repeat;
 the lines that repeats cover, merged by position, are removed. Windows are judged on the input.
 
-Only the first place and the count of each window travel to the join, so a window of a third of all documents costs a
-counter, not a list. Null text has no lines; texts of fewer than three lines lose none; a null ``doc_id`` comes after all
-others; rows that repeat an id are one document whose windows start at equal places, so none of them is a repeat of the
-other; an empty table gives no row; other columns are kept out of the digest and carried by ``dedup_lines``.
+The first place and the count of each window come from a partial aggregate. Its repeated windows are joined with all
+places; a window of a third of all documents is dealt over many tasks there.
+
+Null text has no lines; texts of fewer than three lines lose none. A null ``doc_id`` comes after all others, rows of null id
+in the order of their texts' hashes; rows that repeat an id (null ids: and a text) are one document whose windows start at
+equal places, so none of them is a repeat of the other; an empty table gives no row; other columns are kept out of the
+digest and carried by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import skew_join, staged
+
 WINDOW = 3
-LAST = (1 << 63) - 1
+
+
+def document_key(id_col: str, text_col: str) -> Column:
+    """Orders documents: those with an id by it, then those without by their texts' hashes."""
+    ident = F.col(id_col).cast("long")
+    return F.struct(ident.isNull().alias("null_id"), F.coalesce(ident, F.xxhash64(F.col(text_col).cast("string"))).alias("id"))
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_key, text_key, starts): the first lines of each document's repeated windows."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(F.col(text_col)).alias("text_key"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(document_key(id_col, text_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), F.split(text, "\n", -1).alias("lines"))
     windows = F.expr(
         f"""filter(transform(sequence(0, size(lines) - {WINDOW}), i -> struct(i AS at,
               xxhash64(lines[i], '\\n', lines[i + 1], '\\n', lines[i + 2]) AS h1,
@@ -30,15 +41,17 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             x -> x.chars > 0)"""
     )
     windows = rows.filter(F.size("lines") >= WINDOW).select("doc_key", "text_key", F.explode(windows).alias("w")).select("doc_key", "text_key", "w.at", "w.h1", "w.h2")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
-    late = windows.join(firsts, ["h1", "h2"]).filter("doc_key > first.doc_key OR (doc_key = first.doc_key AND at > first.at)")
+    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first", "n")
+    found = skew_join(windows, staged(firsts, "windows"), ["h1", "h2"], ["doc_key", "at"])
+    late = found.filter("doc_key > first.doc_key OR (doc_key = first.doc_key AND at > first.at)")
     return late.groupBy("doc_key", "text_key").agg(F.collect_set("at").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, with ``kept_text``, ``n_lines`` and ``n_removed``."""
     found = repeats(docs, id_col, text_col)
-    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_key"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("body"))
+    text = F.col(text_col).cast("string")
+    held = docs.select(F.struct("*").alias("row"), document_key(id_col, text_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("body"))
     joined = held.join(found, ["doc_key", "text_key"], "left")
     covered = ", ".join(f"p + {k}" for k in range(WINDOW))
     rows = joined.withColumn("lines", F.split("body", "\n", -1))
@@ -46,7 +59,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = F.when(F.col("kept").isNull(), F.coalesce(F.col("body"), F.lit(""))).otherwise(F.array_join(F.expr("transform(kept, k -> lines[k])"), "\n"))
     n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size("lines")).cast("long")
     removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
-    return rows.select("row.*", kept.alias("kept_text"), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    added = {"kept_text": kept, "n_lines": n_lines, "n_removed": removed}
+    return rows.select(*(F.col("row").getField(x).alias(x) for x in docs.columns if x not in added), *(c.alias(x) for x, c in added.items()))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
