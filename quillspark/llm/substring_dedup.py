@@ -7,12 +7,14 @@ anchors are hashed and compared first (4 of 13 positions); where an anchor recur
 around it, and these are compared on 96-bit hashes. A window that also starts earlier (smaller ``doc_id``, or the same
 document at an earlier word) is late, and the words that late windows cover are removed. Windows are judged on the input.
 
-Documents are dealt to chunks of about ``chunk_bytes`` by a hash of their id. A chunk sends each distinct anchor or window
-once, in packed arrays, so a passage of a third of all documents costs one entry per chunk, not one per copy.
-
-Null text has no words; texts under ``window`` words lose none; a null ``doc_id`` comes after all others; rows that share an
-id come in the order of their texts, as parts of one document in which no window crosses from one to the next; an empty
-table gives no row; other columns are ignored.
+Documents are dealt to chunks of about ``chunk_bytes`` by a hash of their id (null ids: of their text). A chunk sends each
+distinct anchor or window once, in packed arrays, so a passage of a third of all documents costs one entry per chunk, not
+one per copy. The arrays go to buckets of hash values, each for some ``BUCKET_BYTES`` of text; there are never more rows of
+arrays than chunks times buckets, nor than anchors.
+
+Null text has no words; texts under ``window`` words lose none; rows of null id come after all others, in the order of a
+hash of their texts; rows that share an id come in the order of their texts, as parts of one document in which no window
+crosses from one to the next (so do rows of null id and equal text); an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from . import common, wordhash
 #: A perfect difference set: every difference modulo 13 occurs.
 PERIOD = 13
 COVER = (0, 1, 3, 9)
-LAST = (1 << 63) - 1
+BUCKET_BYTES = 128 << 20
 
-ENTRIES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("shared", pa.binary())])
-ENTRIES_SQL = "bucket int, chunk int, hashes binary, more binary, places binary, docs binary, shared binary"
+ENTRIES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("null_ids", pa.binary()), ("shared", pa.binary())])
+ENTRIES_SQL = "bucket int, chunk int, hashes binary, more binary, places binary, docs binary, null_ids binary, shared binary"
 REPLY = pa.schema([("chunk", pa.int32()), ("places", pa.binary())])
 REPLY_SQL = "chunk int, places binary"
 
@@ -43,9 +45,9 @@ class Chunk:
     """The documents of a chunk in a fixed order, and the hashes of their words."""
 
     def __init__(self, table: pa.Table):
-        keys, texts = table.column("doc_key").to_pylist(), common.column_bytes(table.column("text"))
-        order = sorted(range(len(keys)), key=lambda k: (keys[k], texts[k]))
-        self.keys, self.texts = [keys[k] for k in order], [texts[k] for k in order]
+        keys, nulls, texts = table.column("doc_key").to_pylist(), table.column("null_id").to_pylist(), common.column_bytes(table.column("text"))
+        order = sorted(range(len(keys)), key=lambda k: (nulls[k], keys[k], texts[k]))
+        self.keys, self.nulls, self.texts = [keys[k] for k in order], [nulls[k] for k in order], [texts[k] for k in order]
 
     def hash(self) -> None:
         parts, sizes = [], []
@@ -63,8 +65,10 @@ class Chunk:
         take = np.flatnonzero(np.isin(place % PERIOD, COVER) & wordhash.whole_windows(self.first, width, len(a)))
         return a[take], take
 
-    def doc_at(self, places: np.ndarray) -> np.ndarray:
-        return np.array(self.keys, np.int64)[np.searchsorted(self.first, places, side="right") - 1]
+    def doc_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key of the document at each place, and whether its id is null."""
+        doc = np.searchsorted(self.first, places, side="right") - 1
+        return np.array(self.keys, np.int64)[doc], np.array(self.nulls, np.uint8)[doc]
 
 
 def once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +101,7 @@ def anchor_entries(chunk_id: int, table: pa.Table, window: int, n: int) -> pa.Ta
     ordinal = np.flatnonzero(alone)
     hs, places = split(buckets_of(h[ordinal], n), n, h[ordinal], ordinal)
     (known,) = split(buckets_of(shared, n), n, shared)
-    rows = [(b, chunk_id, hs[b].tobytes(), b"", common.delta_bytes(places[b]), b"", known[b].tobytes()) for b in range(n) if len(hs[b]) or len(known[b])]
+    rows = [(b, chunk_id, hs[b].tobytes(), b"", common.delta_bytes(places[b]), b"", b"", known[b].tobytes()) for b in range(n) if len(hs[b]) or len(known[b])]
     return pa.Table.from_batches([common.to_batch(rows, ENTRIES)] if rows else [], ENTRIES)
 
 
@@ -138,9 +142,9 @@ def window_entries(chunk_id: int, table: pa.Table, replies: pa.Table, window: in
     keep = np.flatnonzero(lead)
     rows = []
     if len(keep) < len(places):  # known to be late without asking
-        rows.append((-1 - chunk_id, chunk_id, b"", b"", common.delta_bytes(places[~lead]), b"", b""))
-    hs, more, ps, docs = split(buckets_of(h1[keep], n), n, h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), places[keep], chunk.doc_at(places[keep]))
-    rows += [(b, chunk_id, hs[b].tobytes(), more[b].tobytes(), common.delta_bytes(ps[b]), common.delta_bytes(docs[b]), b"") for b in range(n) if len(hs[b])]
+        rows.append((-1 - chunk_id, chunk_id, b"", b"", common.delta_bytes(places[~lead]), b"", b"", b""))
+    hs, more, ps, docs, nulls = split(buckets_of(h1[keep], n), n, h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), places[keep], *chunk.doc_at(places[keep]))
+    rows += [(b, chunk_id, hs[b].tobytes(), more[b].tobytes(), common.delta_bytes(ps[b]), docs[b].tobytes(), nulls[b].tobytes(), b"") for b in range(n) if len(hs[b])]
     return pa.Table.from_batches([common.to_batch(rows, ENTRIES)] if rows else [], ENTRIES)
 
 
@@ -152,11 +156,12 @@ def late_windows(table: pa.Table) -> pa.Table:
     hs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(hs)
     more = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()])
-    docs = np.concatenate([common.delta_values(x) for x in table.column("docs").to_pylist()])
-    order = np.lexsort((docs, more, h))
+    docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+    nulls = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("null_ids").to_pylist()])
+    order = np.lexsort((docs, nulls, more, h))
     same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])))
     late = np.zeros(len(h), bool)
-    late[order] = same  # a chunk sends a window once, and an id is in one chunk, so ids alone order them
+    late[order] = same  # a chunk sends a window once, and a key is in one chunk, so keys alone order them
     rows, at = [], 0
     for chunk, part, places in zip(chunks, hs, raw, strict=True):
         mine = late[at : at + len(part)]
@@ -166,8 +171,8 @@ def late_windows(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([common.to_batch(rows, REPLY)] if rows else [], REPLY)
 
 
-def kept_words(table: pa.Table, replies: pa.Table, window: int) -> Iterator[tuple[int, list[bytes], int]]:
-    """(doc_key, kept words, words removed) of a chunk's documents."""
+def kept_words(table: pa.Table, replies: pa.Table, window: int) -> Iterator[tuple[int | None, list[bytes], int]]:
+    """(doc_id, kept words, words removed) of a chunk's documents."""
     chunk = Chunk(table)
     words = [x.split() for x in chunk.texts]
     first = np.concatenate(([0], np.cumsum([len(x) for x in words], dtype=np.int64)))
@@ -180,7 +185,7 @@ def kept_words(table: pa.Table, replies: pa.Table, window: int) -> Iterator[tupl
     for k, found in enumerate(words):
         mine = keep[first[k] : first[k + 1]]
         left = int(mine.sum())
-        yield chunk.keys[k], found if left == len(found) else list(compress(found, mine.tolist())), len(found) - left
+        yield None if chunk.nulls[k] else chunk.keys[k], found if left == len(found) else list(compress(found, mine.tolist())), len(found) - left
 
 
 def late_table(docs: DataFrame, window: int, chunk_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -191,9 +196,10 @@ def late_table(docs: DataFrame, window: int, chunk_bytes: int, id_col: str, text
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_chunks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // chunk_bytes))
-    n = max(16, -(-size // (16 << 20)))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_key"), text.alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_key"), F.lit(n_chunks)).cast("int"))
+    n = max(16, -(-size // BUCKET_BYTES))
+    ident = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(ident, F.xxhash64(text)).alias("doc_key"), ident.isNull().alias("null_id"), text.alias("text"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_key"), F.lit(n_chunks)).cast("int")).repartition(n_chunks, "chunk")
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         return anchor_entries(key[0].as_py(), table, window, n)
@@ -221,7 +227,7 @@ def _kept(docs: DataFrame, window: int, chunk_bytes: int, id_col: str, text_col:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (name, pa.string())])
 
     def finish(_key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        found = [(None if key == LAST else key, len(words) + gone, gone, shape(words)) for key, words, gone in kept_words(table, replies, window)]
+        found = [(key, len(words) + gone, gone, shape(words)) for key, words, gone in kept_words(table, replies, window)]
         return pa.Table.from_batches([common.to_batch(found, schema)] if found else [], schema)
 
     return rows.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(finish, f"doc_id long, n_words long, n_removed long, {name} string")
