@@ -3,11 +3,13 @@
 The sources form a tree: domain, language, source. The token budget goes down from the root: a node's budget is shared
 among its children in proportion to their weights, no child gets more than its subtree can give (``max_epochs`` times its
 tokens), and what such a child can't use goes to its siblings by their weights; only what all siblings together can't use
-stays with the parent's level, as the parent's own limit. All amounts are whole tokens, so results are exact.
+stays with the parent's level, as the parent's own limit. A subtree without any weight gets nothing and counts in no limit.
+All amounts are whole tokens: what rounding down leaves goes out a token each by largest remainder, then by name.
 
 A leaf reads its documents in seeded epochs: each epoch orders them anew by a keyed hash. Whole epochs come first; of the
-last one the longest prefix that fits is taken. That prefix ends at one hash value per leaf, so it is found from sums over
-4,096 hash ranges and the order within a single range, and documents are chosen by comparing hashes, without sorting a leaf.
+last one the longest prefix that fits is taken. That prefix ends at one hash value per leaf, which is found by descent: sums
+over 4,096 hash ranges, then over the 4,096 parts of the range that holds the end, then the order within a single part; so
+documents are chosen by comparing hashes, without sorting a leaf.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. Null language or source is a node named "" of its own; null text has no words and
 is chosen with its leaf; documents that share an id share its hash and are chosen together or not at all; an empty table
@@ -20,15 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, words_column
+from .common import hinted, staged, words_column
 
 #: Weights by level; names that a level lacks have weight ``DEFAULT_WEIGHT``.
 WEIGHTS = {"domain": {"web": 60, "library": 40}, "lang": {"en": 55, "de": 15, "fr": 15, "es": 15}, "source": {}}
 DEFAULT_WEIGHT = 10
 LEVELS = ("domain", "lang", "source")
-RANGE_CHARS = 3
-#: Table sizes (rows) up to which the tree's tables are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Hash characters that tell ranges apart at each step of the descent.
+RANGE_CHARS = (3, 6)
 
 
 def default_domain() -> Column:
@@ -45,7 +46,6 @@ def weight_of(level: str, weights: dict[str, int]) -> Column:
 
 def share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Adds ``given``: the parent's ``budget`` shared among its children by ``weight``, none above its ``limit``."""
-    nodes = nodes.filter("weight > 0")
     w = Window.partitionBy(*parent).orderBy(F.col("limit") / F.col("weight"), name)
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     rest = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -57,16 +57,23 @@ def share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     # those that can't use their share come first in this order; the first other one fixes the rate of all that follow
     after = F.when(~F.col("full"), F.struct("left", "weights"))
     nodes = nodes.withColumn("rate", F.first(after, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    given = F.when(F.col("rate").isNull(), F.col("limit")).otherwise(F.expr("CAST((rate.left * weight) DIV rate.weights AS DECIMAL(20,0))"))
-    return nodes.withColumn("given", given.cast(big)).drop("have", "left", "weights", "full", "rate", "budget", "weight", "limit")
+    # a limit above an exact share is above the share rounded down by one at least, so that a token more always fits
+    nodes = nodes.withColumn("down", F.when(F.col("rate").isNotNull(), F.expr("(rate.left * weight) DIV rate.weights")).cast(big)).withColumn("part", F.when(F.col("rate").isNotNull(), F.expr("(rate.left * weight) % rate.weights")))
+    nth = F.row_number().over(Window.partitionBy(*parent, F.col("rate").isNull()).orderBy(F.desc("part"), name))
+    more = F.when(nth <= F.col("rate.left") - F.sum("down").over(whole), 1).otherwise(0)
+    given = F.when(F.col("rate").isNull(), F.col("limit")).otherwise(F.col("down") + more)
+    return nodes.withColumn("given", given.cast(big)).drop("have", "left", "weights", "full", "rate", "budget", "weight", "limit", "down", "part")
 
 
 def leaf_budgets(leaves: DataFrame, budget: int | None, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
     """(domain, lang, source, tokens, given) of every leaf from (domain, lang, source, tokens); no budget: all tokens once."""
     big = "decimal(20,0)"
-    leaves = leaves.withColumn("limit", (F.col("tokens") * max_epochs).cast(big))
     if budget is None:
         budget = leaves.agg(F.sum("tokens")).first()[0] or 0
+    every = leaves
+    leaves = every.withColumn("limit", (F.col("tokens") * max_epochs).cast(big))
+    for level in LEVELS:  # what has no weight takes no part
+        leaves = leaves.filter(weight_of(level, weights[level]) > 0)
     top = leaves.groupBy("domain").agg(F.sum("limit").cast(big).alias("limit"))
     given = share(top.withColumn("budget", F.lit(int(budget)).cast(big)).withColumn("weight", weight_of("domain", weights["domain"])).withColumn("root", F.lit(0)), ["root"], "domain")
     for k in (1, 2):
@@ -74,7 +81,7 @@ def leaf_budgets(leaves: DataFrame, budget: int | None, max_epochs: int, weights
         nodes = leaves.groupBy(*above, level).agg(F.sum("limit").cast(big).alias("limit"))
         nodes = nodes.join(given.select(*above, F.col("given").alias("budget")), above).withColumn("weight", weight_of(level, weights[level]))
         given = share(nodes, above, level)
-    return leaves.drop("limit").join(given.select(*LEVELS, "given"), list(LEVELS), "left").withColumn("given", F.coalesce("given", F.lit(0).cast(big)).cast("long"))
+    return every.join(given.select(*LEVELS, "given"), list(LEVELS), "left").withColumn("given", F.coalesce("given", F.lit(0).cast(big)).cast("long"))
 
 
 def epoch_key(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -88,26 +95,21 @@ def plan(rows: DataFrame, budget: int | None, max_epochs: int, weights: dict[str
     whole = F.when(F.col("tokens") > 0, F.expr("least(given DIV tokens, CAST(%d AS BIGINT))" % max_epochs)).otherwise(0).cast("long")
     given = staged(given.withColumn("whole", whole).withColumn("rest", F.col("given") - F.col("whole") * F.col("tokens")), "leaves")
     held = hinted(given.filter("rest > 0").select(*LEVELS, "whole", "rest"))
-    keyed = rows.select(*LEVELS, "doc_id", "n_tokens").join(held, list(LEVELS)).withColumn("key", epoch_key(seed, F.col("whole") + 1, F.col("doc_id"))).withColumn("range", F.substring("key", 1, RANGE_CHARS))
-    ranges = keyed.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("n"))
-    order = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = ranges.withColumn("upto", F.sum("n").over(order))
-    # the first range that does not fit as a whole holds the end; where all fit there is none
-    ends = ranges.filter("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
-    ends = staged(ends.select(*LEVELS, "end.range", "end.before"), "ends")
-    inside = keyed.join(hinted(ends), [*LEVELS, "range"])
-    keys = inside.groupBy(*LEVELS, "key", "before", "rest").agg(F.sum("n_tokens").alias("n"))
-    within = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = rows.select(*LEVELS, "doc_id", "n_tokens").join(held, list(LEVELS)).withColumn("key", epoch_key(seed, F.col("whole") + 1, F.col("doc_id"))).withColumn("before", F.lit(0).cast("long"))
+    up = lambda c: Window.partitionBy(*LEVELS).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for chars in RANGE_CHARS:
+        ranges = keyed.withColumn("range", F.substring("key", 1, chars)).groupBy(*LEVELS, "range", "before", "rest").agg(F.sum("n_tokens").alias("n"))
+        ranges = ranges.withColumn("upto", F.col("before") + F.sum("n").over(up("range")))
+        # the first range that does not fit as a whole holds the end; where all fit there is none
+        ends = ranges.filter("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
+        ends = hinted(staged(ends.select(*LEVELS, "end.range", "end.before"), "ends"))
+        keyed = keyed.drop("before").withColumn("range", F.substring("key", 1, chars)).join(ends, [*LEVELS, "range"]).drop("range")
+    keys = keyed.groupBy(*LEVELS, "key", "before", "rest").agg(F.sum("n_tokens").alias("n"))
     # prefix: all keys before the first one that no longer fits
-    over = keys.withColumn("upto", F.col("before") + F.sum("n").over(within)).filter("upto > rest").groupBy(*LEVELS).agg(F.min("key").alias("cut"))
+    over = keys.withColumn("upto", F.col("before") + F.sum("n").over(up("key"))).filter("upto > rest").groupBy(*LEVELS).agg(F.min("key").alias("cut"))
     return given.join(over, list(LEVELS), "left").select(*LEVELS, "tokens", "given", "whole", "rest", "cut")
 
 
-def hinted(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the table's rows, counted, are few; otherwise the optimiser's own choice."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def leaf_columns(docs: DataFrame, domain: Column | None, lang_col: str, source_col: str) -> list[Column]:
     domain = default_domain() if domain is None else domain
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -156,7 +158,9 @@ l{k} AS (SELECT *, have - CAST(coalesce(sum(lim) OVER (w ROWS BETWEEN UNBOUNDED
   WINDOW w AS (PARTITION BY {above} ORDER BY lim / weight, {level})),
 r{k} AS (SELECT *, first_value(CASE WHEN lim * weights > left_over * weight THEN {{'a': left_over, 'b': weights}} END IGNORE NULLS)
   OVER (PARTITION BY {above} ORDER BY lim / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate FROM l{k}),
-g{k} AS (SELECT {keys}, CASE WHEN rate IS NULL THEN lim ELSE (rate.a * weight) // rate.b END AS given FROM r{k}),"""
+d{k} AS (SELECT *, CASE WHEN rate IS NOT NULL THEN (rate.a * weight) // rate.b END AS down, CASE WHEN rate IS NOT NULL THEN (rate.a * weight) % rate.b END AS part FROM r{k}),
+g{k} AS (SELECT {keys}, CASE WHEN rate IS NULL THEN lim ELSE down + CASE WHEN row_number() OVER (PARTITION BY {above}, rate IS NULL ORDER BY part DESC, {level})
+  <= rate.a - sum(down) OVER (PARTITION BY {above}) THEN 1 ELSE 0 END END AS given FROM d{k}),"""
 
 
 ORACLE_SQL = rf"""
