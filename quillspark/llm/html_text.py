@@ -1,13 +1,17 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder with implied tags (open paragraphs, list items, table cells, rows and options close where the next one
-begins) makes a tree of the page. The renderer walks it without recursion and emits all text that a browser would show:
-nothing of head, script, style, template, hidden or undisplayed elements, nor of closed details but their summary.
-Paragraph-like blocks stand apart by a blank line, other blocks by a line break; list items get their marker and
-indentation; the cells of a table's column are padded to a common width (up to ``MAX_PAD``).
+begins) makes a tree of the page, with the places of the open elements by name, so that it takes time in proportion to the
+page. The renderer walks it without recursion and emits all text that a browser would show: nothing of head, script, style,
+template, hidden or undisplayed elements, nor of closed details but their summary; ``visibility`` is inherited, so that
+a visible element shows inside a hidden one. Paragraph-like blocks stand apart by a blank line, other blocks by a line break;
+list items get their marker and indentation (``MAX_INDENT`` levels at most). A table cell is rendered like a page, with its
+blocks and lists, and set line by line beside the others of its row; columns are padded to a common width (up to
+``MAX_PAD``), cells over several columns or rows keep their places free. Tables nested over ``MAX_NEST`` deep give a line a
+block instead.
 
 Null or empty html gives empty text. Truncated pages are rendered as far as they go. Rows are independent, so repeated
-rows give equal results; columns other than id and html are ignored; an empty table gives no row.
+rows give equal results; null ids stay null; columns other than id and html are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,11 +28,16 @@ from . import common
 
 MAX_PAD = 40
 MAX_SPAN = 100
+MAX_NEST = 8
+MAX_INDENT = 20
+#: Wider tables keep no places free for cells over several rows.
+MAX_COLUMNS = 2000
 TAG = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-UNSHOWN_STYLE = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
+UNSHOWN_STYLE = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
+VISIBILITY = re.compile(r"(?i)(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)")
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,10 +66,10 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent")
+    __slots__ = ("tag", "attributes", "children")
 
-    def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.attributes, self.parent = tag, attributes, parent
+    def __init__(self, tag: str, attributes: str):
+        self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
 
     def attribute(self, name: str) -> str | None:
@@ -80,18 +89,24 @@ class Node:
                 return False
             if "style" in low and UNSHOWN_STYLE.search(self.attribute("style") or ""):
                 return False
-        if self.tag == "dialog" and self.attribute("open") is None:
-            return False
-        up = self.parent
-        return not (up is not None and up.tag == "details" and self.tag != "summary" and up.attribute("open") is None)
+        return self.tag != "dialog" or self.attribute("open") is not None
+
+    def visible(self, inherited: bool) -> bool:
+        if self.attributes and "visibility" in self.attributes.lower():
+            found = VISIBILITY.findall(self.attribute("style") or "")
+            if found:
+                return found[-1].lower() == "visible"
+        return inherited
 
 
 class Tree:
     """Builds the tree of a page in one pass."""
 
     def __init__(self, html: str):
-        self.root = self.node = Node("html", "", None)
-        self.open: dict[str, int] = {}
+        self.root = Node("html", "")
+        #: Open elements, and by name their places among these.
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
         at, end, plain = 0, len(html), False
         while at < end:
             m = TAG.search(html, at)
@@ -128,6 +143,10 @@ class Tree:
                     self.node.children.append(raw)
                 at = stop.start() if stop else end
 
+    @property
+    def node(self) -> Node:
+        return self.stack[-1]
+
     def text(self, text: str) -> None:
         text = unescape(text) if "&" in text else text
         if self.node.tag == "head" and text.strip(" \t\n\f\r"):
@@ -135,30 +154,25 @@ class Tree:
         self.node.children.append(text)
 
     def push(self, name: str, attributes: str) -> None:
-        node = Node(name, attributes, self.node)
+        node = Node(name, attributes)
         self.node.children.append(node)
         if name not in VOID:
-            self.node = node
-            self.open[name] = self.open.get(name, 0) + 1
+            self.places.setdefault(name, []).append(len(self.stack))
+            self.stack.append(node)
 
     def pop(self) -> None:
-        self.open[self.node.tag] -= 1
-        self.node = self.node.parent
+        self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, names: tuple[str, ...]) -> int:
+        """Place of the nearest open element of these names; 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
 
     def close(self, names: tuple[str, ...], fence: tuple[str, ...]) -> None:
         """Close the nearest open element of these names, with all inside it, unless a fence stands nearer."""
-        if not any(self.open.get(x) for x in names):
-            return
-        node = self.node
-        while node.parent is not None and node.tag not in names:
-            if node.tag in fence:
-                return
-            node = node.parent
-        if node.parent is None:
-            return
-        while self.node is not node:
-            self.pop()
-        self.pop()
+        place = self.nearest(names)
+        if place and place >= self.nearest(fence):
+            while len(self.stack) > place:
+                self.pop()
 
     def start(self, name: str, attributes: str) -> None:
         if name == "html":
@@ -171,7 +185,7 @@ class Tree:
                 self.pop()
         if name in IMPLIED:
             self.close(*IMPLIED[name])
-        if name in ("td", "th") and self.open.get("table") and self.node.tag in ("table", "thead", "tbody", "tfoot"):
+        if name in ("td", "th") and self.places.get("table") and self.node.tag in ("table", "thead", "tbody", "tfoot"):
             self.push("tr", "")
         self.push(name, attributes)
 
@@ -180,95 +194,115 @@ class Tree:
             if name == "br":
                 self.push("br", "")
             return
-        if self.open.get(name):
+        if self.places.get(name):
             fence = () if name in ("table", "body", "html") else ("table", "td", "th", "caption") if name not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else ("table",)
             self.close((name,), tuple(x for x in fence if x != name))
 
 
-def walk(top: Node) -> Iterator[tuple[str, Node | str]]:
-    """("in", element), ("text", string) and ("out", element) of what is shown below an element, in order."""
-    stack: list[tuple[Node, int]] = [(top, 0)]
+def walk(top: Node, visible: bool = True) -> Iterator[tuple[str, Node | str, bool]]:
+    """("in", element), ("text", string) and ("out", element) of what is shown below an element, in order, each with
+    whether it is visible. Send a true value after an "in" to leave the element's inside out."""
+    closed = lambda x: x.tag == "details" and x.attribute("open") is None
+    stack: list[tuple[Node, int, bool, bool]] = [(top, 0, visible, closed(top))]
     while stack:
-        node, k = stack.pop()
+        node, k, visible, shut = stack.pop()
         if k == len(node.children):
             if node is not top:
-                yield "out", node
+                yield "out", node, visible
             continue
-        stack.append((node, k + 1))
+        stack.append((node, k + 1, visible, shut))
         child = node.children[k]
         if isinstance(child, str):
-            if node.tag != "details" or node.attribute("open") is not None:
-                yield "text", child
-        elif child.shown():
-            skip = yield "in", child
-            if skip:
-                yield "skipped", child
+            if visible and not shut:
+                yield "text", child, True
+        elif child.shown() and (not shut or child.tag == "summary"):
+            own = child.visible(visible)
+            if (yield "in", child, own):
+                yield "skipped", child, own
             else:
-                stack.append((child, 0))
+                stack.append((child, 0, own, closed(child)))
 
 
-def span(cell: Node) -> int:
-    raw = cell.attribute("colspan") or "1"
-    return max(1, min(MAX_SPAN, int(raw))) if raw.isdecimal() and len(raw) < 6 else 1
+def steps_of(walked: Iterator) -> Iterator[tuple[str, Node | str, bool, list]]:
+    """The steps of a walk; an entry put into a step's list leaves the element's inside out."""
+    step = next(walked, None)
+    while step is not None:
+        skip: list = []
+        if step[0] != "skipped":
+            yield (*step, skip)
+        try:
+            step = walked.send(bool(skip))
+        except StopIteration:
+            return
 
 
-def flat(node: Node) -> str:
-    """All shown text of an element on one line."""
-    parts = []
-    for what, x in walk(node):
-        if what == "text":
-            parts.append(x)
-        elif what in ("in", "out") and (x.tag in BLOCK or x.tag == "br"):
-            parts.append(" ")
-    return BLANKS.sub(" ", "".join(parts)).strip()
+def span(cell: Node, name: str) -> int:
+    raw = cell.attribute(name) or "1"
+    return max(1, min(MAX_SPAN, int(raw))) if raw.isdecimal() and len(raw) < 6 else 1
 
 
-def table_lines(table: Node) -> list[str]:
-    """Captions, then the rows with padded cells; tables within cells are part of the cell's text."""
-    rows: list[list[tuple[str, int]]] = []
+def table_lines(table: Node, visible: bool, depth: int) -> list[str]:
+    """Captions and stray text, then the rows: a row's cells side by side, line by line, in padded columns."""
+    rows: list[list[tuple[list[str], int, int]]] = []
     before: list[str] = []
-    steps = walk(table)
-    step = next(steps, None)
-    while step is not None:
-        what, x = step
-        skip = None
+    for what, x, seen, skip in steps_of(walk(table, visible)):
         if what == "in" and x.tag in ("td", "th"):
             rows = rows or [[]]
-            rows[-1].append((flat(x), span(x)))
-            skip = True
+            rows[-1].append((Renderer(depth + 1).render(x, seen).split("\n"), span(x, "colspan"), span(x, "rowspan")))
+            skip.append(True)
         elif what == "in" and x.tag == "tr":
             rows.append([])
         elif what == "in" and x.tag not in ("thead", "tbody", "tfoot", "colgroup", "col"):
-            if text := flat(x):
-                before.append(text)
-            skip = True
+            if text := Renderer(depth + 1).render(x, seen):
+                before += text.split("\n")
+            skip.append(True)
         elif what == "text" and (text := BLANKS.sub(" ", x).strip()):
             before.append(text)
-        try:
-            step = steps.send(skip)
-        except StopIteration:
-            break
-        if step[0] == "skipped":
-            step = next(steps, None)
+    return before + grid_lines(rows)
+
+
+def grid_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of rows of (lines, columns, rows) cells."""
+    blank = [""]
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    busy: dict[int, int] = {}  # columns that cells of earlier rows hold, and for how many rows yet
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for text, n in row:
+        at, slots, fresh = 0, [], {}
+        for lines, n, deep in row:
+            while busy.get(at):
+                slots.append((at, 1, blank))
+                at += 1
+            slots.append((at, n, lines))
             if n == 1:
-                widths[at] = max(widths.get(at, 0), min(MAX_PAD, len(text)))
+                widths[at] = max(widths.get(at, 0), min(MAX_PAD, max(map(len, lines))))
+            if deep > 1:
+                fresh |= dict.fromkeys(range(at, at + n), deep - 1)
             at += n
-    lines = []
-    for row in rows:
-        at, parts = 0, []
-        for text, n in row:
-            parts.append(text.ljust(sum(widths.get(k, 0) for k in range(at, at + n)) + 3 * (n - 1)))
-            at += n
-        lines.append(" | ".join(parts).rstrip())
-    return before + [x for x in lines if x.strip(" |")]
+        for column in sorted(c for c in busy if c >= at):
+            if column > at:
+                slots.append((at, column - at, blank))
+            slots.append((column, 1, blank))
+            at = column + 1
+        placed.append(slots)
+        busy = {c: n - 1 for c, n in busy.items() if n > 1} | fresh
+        if len(busy) > MAX_COLUMNS:
+            busy = {}
+    out = []
+    for slots in placed:
+        pads = []
+        for at, n, _ in slots:
+            held = [widths[k] for k in range(at, at + n) if k in widths]
+            pads.append(sum(held) + 3 * max(0, len(held) - 1))
+        if any(x.strip() for _, _, lines in slots for x in lines):
+            for k in range(max(len(lines) for _, _, lines in slots)):
+                out.append(" | ".join((lines[k] if k < len(lines) else "").ljust(pad) for (_, _, lines), pad in zip(slots, pads, strict=True)).rstrip())
+    return out
 
 
 class Renderer:
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
+        self.depth = depth
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
@@ -287,17 +321,13 @@ class Renderer:
         if self.lines and self.gap:
             self.lines.append("")
         self.gap = 0
-        self.lines.append(("".join(self.prefix) + self.marker + text).rstrip())
+        self.lines.append(("".join(self.prefix[:MAX_INDENT]) + self.marker + text).rstrip())
         self.marker = ""
 
-    def render(self, root: Node) -> str:
+    def render(self, root: Node, visible: bool = True) -> str:
         lists: list[list] = []
-        pre = 0
-        steps = walk(root)
-        step = next(steps, None)
-        while step is not None:
-            what, x = step
-            skip = None
+        pre = 1 if root.tag == "pre" else 0
+        for what, x, seen, skip in steps_of(walk(root, visible)):
             if what == "text":
                 if pre:
                     first, *rest = x.split("\n")
@@ -310,12 +340,12 @@ class Renderer:
             elif what == "in":
                 if x.tag == "br":
                     self.keep() if pre else self.brk(0)
-                elif x.tag == "table":
+                elif x.tag == "table" and self.depth < MAX_NEST:
                     self.brk(1)
-                    for text in table_lines(x):
+                    for text in table_lines(x, seen, self.depth):
                         self.put(text)
                     self.brk(1)
-                    skip = True
+                    skip.append(True)
                 elif x.tag in BLOCK:
                     self.brk(1 if x.tag in APART and not (x.tag in ("ul", "ol", "menu") and lists) else 0)
                     if x.tag in ("ul", "ol", "menu"):
@@ -344,12 +374,8 @@ class Renderer:
                     self.prefix.pop()
                 elif x.tag == "li":
                     self.marker = ""
-            try:
-                step = steps.send(skip)
-            except StopIteration:
-                break
-            if step[0] == "skipped":
-                step = next(steps, None)
+        if pre:
+            self.keep(last=True)
         self.brk(0)
         return "\n".join(self.lines)
 
