@@ -3,7 +3,8 @@
 Writing goes in two steps per part. The records are first compressed as one gzip stream, as many crawlers leave them.
 The normaliser then inflates that stream once from end to end, cuts it into records by their Content-Length, writes
 every record again as a gzip member of its own and notes (offset, length, kind, record id) of each in a sidecar, so that
-single records can be fetched by a ranged read. Reading back goes through that index.
+single records can be fetched by a ranged read. Reading back goes through that index. Every file begins with a warcinfo
+record. A record's id names the page and, after ``#``, the file and the record's place in it, so that it is unique.
 
 Of pages with equal payloads the one with the smallest ``page_id`` is the ``response``; the others are ``revisit`` records
 without a payload that refer to it (and keep the payload's length in their HTTP header). Null html is an empty payload.
@@ -33,25 +34,33 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "part int, file string, n_records long, n_bytes long"
 RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
 INDEX = struct.Struct("<QQQB")
+KINDS = ["response", "revisit", "warcinfo"]
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}{place and '#' + place}>"
 
 
 def page_of(urn: str | None) -> int | None:
-    name = (urn or "").rstrip(">").rpartition(":")[2]
+    name = (urn or "").rstrip(">").rpartition(":")[2].partition("#")[0]
     return int(name) if name.lstrip("-").isdigit() else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
+def info_record(file: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{file}>", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, place: str = "") -> bytes:
     """A response record, or a revisit record if ``first`` is another page's id."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     again = first is not None and first != page_id
     block = http if again else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(page_id, place)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
     if url:
         head.append(f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}")
     if again:
@@ -118,13 +127,19 @@ def normalise(blob: bytes, level: int = 1) -> tuple[bytes, bytes]:
         machine = zlib.compressobj(level, zlib.DEFLATED, 31)
         member = machine.compress(plain) + machine.flush()
         out.append(member)
-        index.append(INDEX.pack(at, len(member), len(plain), b"WARC-Type: revisit" in plain[:400]))
+        index.append(INDEX.pack(at, len(member), len(plain), KINDS.index(kind_of(plain))))
         at += len(member)
     return b"".join(out), b"".join(index)
 
 
+def kind_of(plain: bytes) -> str:
+    """A record's type, from its own header alone."""
+    found = re.search(rb"(?i)\r\nwarc-type:[ \t]*([a-z]+)", plain[: plain.index(b"\r\n\r\n")])
+    return found[1].decode().lower() if found else ""
+
+
 def index_entries(sidecar: bytes) -> list[tuple[int, int, int, int]]:
-    """(offset, length, plain length, whether a revisit) of each record."""
+    """(offset, length, plain length, number of the kind in ``KINDS``) of each record."""
     return list(INDEX.iter_unpack(sidecar))
 
 
@@ -152,7 +167,9 @@ def first_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_key"))
     first = rows.groupBy("payload_key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(first.select("payload_key", "first"), "payload_key", "left").select("page_id", "url", "html", "first")
+    # a page in very many copies is dealt over several tasks
+    found = common.skew_join(rows, common.staged(first, "payloads"), ["payload_key"], ["page_id", "url"], "left")
+    return found.select("page_id", "url", "html", "first")
 
 
 def write_warcs(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
@@ -165,20 +182,23 @@ def write_warcs(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, level
         from pyspark import TaskContext
 
         part, seq, count, mono = TaskContext.get().partitionId(), 0, 0, Monolith(level)
+        name = f"pages-{part:06d}-{seq:04d}"
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, count, mono
-            name = f"pages-{part:06d}-{seq:04d}"
+            nonlocal seq, count, mono, name
             blob, index = normalise(mono.close(), level)
             common.write_file(folder, f"{name}.warc.gz", blob)
             common.write_file(folder, f"{name}.idx", index)
             row = (part, name, count, len(blob))
             seq, count, mono = seq + 1, 0, Monolith(level)
+            name = f"pages-{part:06d}-{seq:04d}"
             return common.to_batch([row], schema)
 
         for batch in batches:
             for page_id, url, html, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
-                mono.add(record(page_id, url, html.as_py() or b"", first))
+                if not count:
+                    mono.add(info_record(f"{name}.warc.gz"))
+                mono.add(record(page_id, url, html.as_py() or b"", first, f"{name}.{count}"))
                 count += 1
                 if mono.plain >= file_bytes:
                     yield flush()
@@ -206,10 +226,13 @@ def read_warcs(spark: SparkSession, folder: str, step: int = 512) -> DataFrame:
                         src.seek(some[0][0])
                         raw = src.read(some[-1][0] + some[-1][1] - some[0][0])
                         rows = []
-                        for offset, length, _, _ in some:
+                        for offset, length, _, kind in some:
+                            if KINDS[kind] == "warcinfo":
+                                continue
                             member = raw[offset - some[0][0] :][:length]
                             rows.append((*parsed(zlib.decompress(member, 31)), f"{name}.warc.gz", offset, length))
-                        yield common.to_batch(rows, schema)
+                        if rows:
+                            yield common.to_batch(rows, schema)
 
     cores = max(spark.sparkContext.defaultParallelism, 1)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file").repartition(4 * cores, "file").mapInArrow(run, RECORD)
