@@ -37,6 +37,8 @@ MAGIC = b"QTOK1\n"
 VOCABULARY = "byte_bpe_50k.json"
 MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 DECODED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("within", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("data_bytes", T.LongType())])
+#: Write tasks whose files are counted together; there are as many blocks as partitions over this.
+PARTS_A_BLOCK = 1000
 #: Letters and other characters for which the pre-tokenizer's classes are spelled out here; texts with any other
 #: character are cut only at sure boundaries and left to the library.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -47,24 +49,26 @@ WORD = re.compile(rf" [{LETTERS}]+")
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
 PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTING)}
+LONG = 64
 #: Elsewhere, a space is a boundary of pre-tokens if a non-space stands before or after it.
 SURE = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
 class Encoder:
-    """Encodes whole texts with a memo of their pieces; a piece that the memo lacks goes to the tokenizers library."""
+    """Encodes whole texts with a memo of their pieces; a piece that the memo lacks goes to the tokenizers library.
 
-    def __init__(self, path: str, memo_limit: int = 1_000_000):
+    The memo is emptied when its pieces pass ``memo_chars`` characters; pieces over ``LONG`` characters aren't kept in it.
+    """
+
+    def __init__(self, path: str, memo_chars: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-        self.limit = memo_limit
+        self.held, self.limit = 0, memo_chars
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > self.limit:
-            self.memo.clear()
         tokenize = self.tokenizer.model.tokenize
         for word in filter(WORD.fullmatch, pieces):  # one pre-token each: straight to the merge model
             self.memo[word] = np.array([x.id for x in tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))], self.width).tobytes()
@@ -82,13 +86,22 @@ class Encoder:
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.pieces(x) for x in texts]
-        new = set().union(*cut).difference(self.memo)
+        every = set().union(*cut)
+        new = every.difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > self.limit:  # a fresh memo must hold all that these texts need
-                new = set().union(*cut)
+            size = sum(map(len, new))
+            if self.held + size > self.limit:  # a fresh memo must hold all that these texts need
+                self.memo.clear()
+                self.held, new, size = 0, every, sum(map(len, every))
+            self.held += size
             self.learn(list(new))
         get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.width) for x in cut]
+        found = [np.frombuffer(b"".join(map(get, x)), self.width) for x in cut]
+        for piece in new:
+            if len(piece) > LONG:
+                del self.memo[piece]
+                self.held -= len(piece)
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -226,9 +239,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([part] * n, [seq] * n, keys, ends - counts, counts, data, [size] * n), kinds, strict=True)], schema=schema)
 
-    # one row per file: what the running totals need, far below one row per document
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long").alias("before"))
+    # running totals in two steps, within blocks of parts and over the blocks, so that no task orders all files
+    block = F.expr(f"part DIV {PARTS_A_BLOCK}").alias("block")
+    inside = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = manifest.select(block, "n_ids").groupBy("block").agg(F.sum("n_ids").alias("n"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    starts = manifest.select("part", "seq", block, "n_ids").withColumn("within_block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(F.broadcast(blocks), "block")
+    starts = starts.select("part", "seq", (F.col("start") + F.col("within_block")).cast("long").alias("before"))
     cores = max(spark.sparkContext.defaultParallelism, 1)
     decoded = manifest.select("part", "seq", "file").repartition(4 * cores, "file").mapInArrow(run, DECODED)
     return decoded.join(F.broadcast(starts) if _few(manifest) else starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
