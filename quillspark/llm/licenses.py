@@ -3,7 +3,8 @@
 The automaton is built over the token sequences of all templates. Every text streams through it once; after each word
 the state and the match length tell the longest template passage that ends there (matching statistics). Matches that
 cannot be prolonged and reach ``min_match`` words are placed in their templates and chained in template order; a template
-counts as found when its chain covers at least ``min_cover`` of its words. Short phrase templates must match whole.
+counts as found when its chain covers at least ``min_cover`` of its words and holds a passage that no other template has, so that
+wording common to several licences names none of them. Short phrase templates must match whole.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Null or empty text: no words, no labels,
 score 0. Equal rows give equal results. An empty table gives no row.
@@ -23,7 +24,7 @@ from . import common
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Passages of public licences and notices by label, in plain words.
+#: Passages of public licences and notices by label, word for word.
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "apache-2": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -36,6 +37,9 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
 #: Byte table: letters A-Z folded, every byte that is no part of a word made a space.
@@ -142,7 +146,7 @@ class Scanner:
         get = self.alphabet.get
         tokens = [get(w, -1) for w in found]
         base: list[tuple[int, int]] = []
-        places: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        places: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
         for start, stop in runs(tokens, self.shortest):
             before = (0, 0, 0)
             for end, length, state in self.automaton.matches(tokens[start:stop], start):
@@ -156,9 +160,9 @@ class Scanner:
         spans = [(self.labels[t], at, at + self.size[t], 1.0) for at, t in base]
         best = 1.0 if base else 0.0
         for t, found_at in places.items():
-            for start, stop, cover in self.chains(found_at, self.size[t]):
+            for start, stop, cover, own in self.chains(found_at, self.size[t]):
                 best = max(best, cover)
-                if cover >= self.min_cover:
+                if own and cover >= self.min_cover:
                     spans.append((self.labels[t], start, stop, cover))
         spans = sorted(set(spans))
         starts = [at for at, _ in base]
@@ -169,27 +173,30 @@ class Scanner:
         """Note a match that could not be prolonged, in every template that holds it."""
         end, length, state = match
         if length >= self.min_match:
-            for t, k in self.automaton.ends[state]:
-                if t >= self.n_phrases:
-                    places[t].append((end - length + 1, k - length + 1, length))
-
-    def chains(self, found: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, int, float]]:
-        """Chain matches that follow each other in the text and in the template; (start, stop, part of the template)."""
+            held = [(t, k) for t, k in self.automaton.ends[state] if t >= self.n_phrases]
+            own = len({t for t, _ in held}) == 1
+            for t, k in held:
+                places[t].append((end - length + 1, k - length + 1, length, own))
+
+    def chains(self, found: list[tuple[int, int, int, bool]], size: int) -> Iterator[tuple[int, int, float, bool]]:
+        """Chain matches that follow each other in the text and in the template; (start, stop, part of the template, and
+        whether a passage of the chain is in this template alone)."""
         start = stop = at = covered = 0
-        for begin, place, length in sorted(found):
+        alone = False
+        for begin, place, length, own in sorted(found):
             if covered and begin - stop <= self.max_gap and place + length > at and begin + length > stop:
                 cut = max(0, at - place, stop - begin)
                 if length > cut:
                     covered += length - cut
-                    stop, at = begin + length, place + length
+                    stop, at, alone = begin + length, place + length, alone or own
                 continue
             if covered and begin < stop:
                 continue
             if covered:
-                yield start, stop, min(1.0, covered / size)
-            start, stop, at, covered = begin, begin + length, place + length, length
+                yield start, stop, min(1.0, covered / size), alone
+            start, stop, at, covered, alone = begin, begin + length, place + length, length, own
         if covered:
-            yield start, stop, min(1.0, covered / size)
+            yield start, stop, min(1.0, covered / size), alone
 
 
 def runs(tokens: list[int], least: int) -> Iterator[tuple[int, int]]:
