@@ -1,23 +1,27 @@
 """Benchmark decontamination: BM25 over test items, searched with every training passage by block-max WAND.
 
-The items are the indexed side. A term's contribution to an item's BM25 score is divided by the score of the item's own
-text, so that one threshold serves all items. Items are grouped into blocks in id order; each posting list has, per block,
-its largest contribution. Every document is cut into passages of twice the longest item's length, half overlapping, so
-that any stretch as long as an item lies whole in one of them. For a passage,
-
-* the longest lists, whose bounds together stay under half the threshold in every block, never open a block by
-  themselves: only blocks in which the other lists could make up the difference are looked at (the pivot rule);
-* a block whose summed block maxima miss the threshold is skipped;
+The items are the indexed side. Document frequencies, the number of items, their mean and greatest length are counted once
+over all items, by DataFrame aggregates, so that scores don't depend on how the index is cut. A term's contribution to an
+item's BM25 score is divided by the score of the item's own text, so that one threshold serves all items. Items stand in
+blocks; each posting list has, per block, its largest contribution. Every document is cut into passages of twice the longest
+item's length, half overlapping, so that any stretch as long as an item lies whole in one of them. For a passage,
+
+* its own terms are put in order, longest posting list first, and their largest contributions are added up; the term at
+  which the sum reaches the threshold is the pivot: an item without any term from the pivot on can't reach it, so only
+  blocks in the lists from the pivot on are looked at;
+* such a block is skipped if its maxima of these lists and the sum before the pivot miss the threshold;
 * the items of the remaining blocks are scored in full; all that reach the threshold are retrieved, not the best k.
 
-This runs for the passages of many documents at once in numpy. A retrieved item counts as a leak if at least ``overlap`` of
-the 5-word shingles of its question and of its answer stand in the passage. The part after the last question mark or
-``answer:`` is the answer, or else the last quarter of the words.
+This runs for many passages at once in numpy, in slices of bounded size. A retrieved item counts as a leak if at least
+``overlap`` of the 5-word shingles of its question and of its answer stand in the passage. What follows the last question
+mark or ``answer:`` is the answer; an item without such a mark is a question only.
+
+The index is a table in the shared folder, in parts of about ``part_bytes`` of item text. A task holds the words of
+``held_chars`` of documents at a time and takes one part after another to them; nothing of it goes through the driver.
 
 Words are runs of letters and digits, case-folded. Null or empty text has no passages; null items and items without words
-are left out; repeated documents each get their rows, repeated items are items of their own; an empty table on either side
-gives no row. Benchmarks over ``block_bytes`` of text are searched in several blocks of items, each an index of bounded
-size with statistics of its own; so what a task holds never grows with either table.
+are left out, items of null id are found like others; repeated documents each get their rows, repeated items are items of
+their own; an empty table on either side gives no row. A document of null id is a document of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,10 @@ WORD = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"(?is)^(.*(?:\?|\banswer\s*:))(.+)$")
 K1, B = 1.2, 0.75
 SHINGLE = 5
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
-SQL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
+SQL = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+#: Passage entries that are worked on at once.
+SLICE = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -52,9 +57,7 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     cut = ANSWER.match(text)
     if cut and WORD.search(cut[1]) and WORD.search(cut[2]):
         return words(cut[1]), words(cut[2])
-    found = words(text)
-    at = len(found) - max(1, len(found) // 4)
-    return found[:at], found[at:]
+    return words(text), []
 
 
 def shingles(ids: list[int]) -> set[tuple[int, ...]]:
@@ -63,79 +66,87 @@ def shingles(ids: list[int]) -> set[tuple[int, ...]]:
 
 
 class Index:
-    """Inverted index of the items with block maxima."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float, block: int = 8):
-        self.threshold = threshold
-        split = [(key, parts(text)) for key, text in sorted(items)]
-        split = [(key, q, a) for key, (q, a) in split if q or a]
-        self.keys = [key for key, _, _ in split]
-        texts = [q + a for _, q, a in split]
-        n, df = len(texts), Counter(w for x in texts for w in set(x))
-        self.vocabulary = {w: k for k, w in enumerate(df)}
-        self.longest = max(map(len, texts), default=1)
-        average = sum(map(len, texts)) / max(n, 1)
+    """Inverted index of some items with block maxima.
+
+    ``items``: (id, question words, answer words, frequency among all items of each distinct word); ``n``, ``average`` and
+    ``longest`` are those of all items, wherever they are indexed.
+    """
+
+    def __init__(self, items: list[tuple[int | None, list[str], list[str], dict[str, int]]], threshold: float, n: int, average: float, longest: int, block: int = 8):
+        self.threshold, self.longest, self.block = threshold, longest, block
+        items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        self.keys = [x[0] for x in items]
+        self.n_blocks = max(1, -(-len(items) // block))
+        lists: dict[str, set[int]] = {}
+        for i, (_, q, a, _) in enumerate(items):
+            for w in (*q, *a):
+                lists.setdefault(w, set()).add(i // block)
+        # numbers ascend from the longest list to the shortest
+        self.vocabulary = {w: k for k, w in enumerate(sorted(lists, key=lambda w: (-len(lists[w]), w)))}
         term, item, value = [], [], []
-        for i, x in enumerate(texts):
-            got = {self.vocabulary[w]: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x) / average)) for w, c in Counter(x).items()}
+        for i, (_, q, a, df) in enumerate(items):
+            size = len(q) + len(a)
+            got = {self.vocabulary[w]: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / average)) for w, c in Counter((*q, *a)).items()}
             own = sum(got.values())
             term += got
             item += [i] * len(got)
             value += [v / own for v in got.values()]
         # by item: full scores; by term and block: the bounds
-        self.item_first = np.searchsorted(np.array(item, np.int64), np.arange(n + 1))
+        self.item_first = np.searchsorted(np.array(item, np.int64), np.arange(len(items) + 1))
         self.item_terms, self.item_values = np.array(term, np.int64), np.array(value)
-        self.block, self.n_blocks = block, -(-n // block)
-        key = np.array(term, np.int64) * max(self.n_blocks, 1) + np.array(item, np.int64) // block
-        lists, where = np.unique(key, return_inverse=True)
-        bound = np.zeros(len(lists))
-        np.maximum.at(bound, where, self.item_values)
-        self.list_block, self.list_bound = lists % max(self.n_blocks, 1), bound
-        self.list_first = np.searchsorted(lists // max(self.n_blocks, 1), np.arange(len(df) + 1))
-        self.spare = np.zeros(max(self.n_blocks, 1))
-        self.opens = np.ones(len(df), bool)
-        for t in sorted(range(len(df)), key=lambda t: self.list_first[t] - self.list_first[t + 1]):
-            s = slice(self.list_first[t], self.list_first[t + 1])
-            more = self.spare.copy()
-            more[self.list_block[s]] += self.list_bound[s]
-            if more.max() > threshold / 2:
-                break
-            self.spare, self.opens[t] = more, False
+        key = np.array(term, np.int64) * self.n_blocks + np.array(item, np.int64) // block
+        found, where = np.unique(key, return_inverse=True)
+        self.list_block, self.list_bound = found % self.n_blocks, np.zeros(len(found))
+        np.maximum.at(self.list_bound, where, self.item_values)
+        self.list_first = np.searchsorted(found // self.n_blocks, np.arange(len(lists) + 1))
+        self.most = np.append(np.maximum.reduceat(self.list_bound, self.list_first[:-1]) if len(lists) else [], 0.0)
         get = self.vocabulary.__getitem__
-        self.questions = [shingles(list(map(get, q))) for _, q, _ in split]
-        self.answers = [shingles(list(map(get, a))) for _, _, a in split]
+        self.questions = [shingles(list(map(get, q))) for _, q, _, _ in items]
+        self.answers = [shingles(list(map(get, a))) for _, _, a, _ in items]
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, float, int, np.ndarray]]:
         """(document, item, score, first word, words) of all passages that reach the threshold with an item."""
         size, step = 2 * self.longest, self.longest
-        if not self.keys:
-            return
-        starts = [np.arange(0, max(1, len(x) - step), step) for x in docs]
-        places = np.concatenate(([0], np.cumsum([len(x) + size for x in docs])))
-        flat = np.full(int(places[-1]), -1, np.int64)
-        for x, p in zip(docs, places.tolist(), strict=False):
-            flat[p : p + len(x)] = x
-        doc = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-        start = np.concatenate(starts)
-        passages = np.lib.stride_tricks.sliding_window_view(flat, size)[places[doc] + start]
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        # documents of about equal length together, so that padding at most doubles a slice
+        for level in np.unique(np.frexp(sizes)[1]).tolist() if self.keys else []:
+            some = np.flatnonzero(np.frexp(sizes)[1] == level)
+            width = int(min(size, sizes[some].max()))
+            if not width:
+                continue
+            starts = [np.arange(0, max(1, sizes[d] - step), step) for d in some.tolist()]
+            doc, start = np.repeat(some, [len(s) for s in starts]), np.concatenate(starts)
+            for at in range(0, len(doc), max(1, SLICE // width)):
+                mine, first = doc[at : at + max(1, SLICE // width)], start[at : at + max(1, SLICE // width)]
+                passages = np.full((len(mine), width), -1, np.int32)
+                for k, (d, s) in enumerate(zip(mine.tolist(), first.tolist(), strict=True)):
+                    piece = docs[d][s : s + width]
+                    passages[k, : len(piece)] = piece
+                for row, i, score in self.hits(passages):
+                    yield int(mine[row]), i, score, int(first[row]), passages[row]
+
+    def hits(self, passages: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) at or above the threshold."""
         terms = np.sort(passages, axis=1)
         fresh = terms >= 0
         fresh[:, 1:] &= terms[:, 1:] != terms[:, :-1]
-        row, column = np.nonzero(fresh & np.append(self.opens, False)[terms])
+        reached = np.cumsum(np.where(fresh, self.most[terms], 0.0), axis=1)
+        opens = fresh & (reached >= self.threshold - 1e-9)
+        before = np.where(fresh & ~opens, reached, 0.0).max(1)
+        row, column = np.nonzero(opens)
         opening = terms[row, column]
         count = self.list_first[opening + 1] - self.list_first[opening]
-        at = np.repeat(self.list_first[opening] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum())) if len(count) else np.zeros(0, np.int64)
-        key = np.repeat(row, count) * self.n_blocks + self.list_block[at]
-        if not len(key):
+        if not count.sum():
             return
+        at = np.repeat(self.list_first[opening] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+        key = np.repeat(row, count) * self.n_blocks + self.list_block[at]
         order = np.argsort(key, kind="stable")
         key, bound = key[order], self.list_bound[at][order]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         total, key = np.add.reduceat(bound, new), key[new]
-        open_ = np.flatnonzero(total + self.spare[key % self.n_blocks] >= self.threshold - 1e-9)
         mask = np.zeros(len(self.vocabulary) + 1, bool)
         at_row, known = -1, None
-        for k in key[open_].tolist():
+        for k in key[total + before[key // self.n_blocks] >= self.threshold - 1e-9].tolist():
             r, b = divmod(k, self.n_blocks)
             if r != at_row:
                 if known is not None:
@@ -147,7 +158,7 @@ class Index:
             s = slice(first[0], first[-1])
             scores = np.add.reduceat(np.where(mask[self.item_terms[s]], self.item_values[s], 0.0), first[:-1] - first[0])
             for i in np.flatnonzero(scores >= self.threshold - 1e-9).tolist():
-                yield int(doc[r]), lo + i, float(scores[i]), int(start[r]), passages[r]
+                yield r, lo + i, float(scores[i])
 
     def leaks(self, docs: list[np.ndarray], overlap: float) -> Iterator[tuple[int, int, float, float, float, int]]:
         """The best verified passage of each document and item."""
@@ -164,39 +175,84 @@ class Index:
             yield d, i, score, q, a, -first
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per document and leaked item: best BM25 score, overlaps and the passage's first word."""
-    spark = docs.sparkSession
-    common.ensure_workers(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return reduce(DataFrame.union, (_search(rows, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k), threshold, overlap) for k in range(n)))
+def stored_index(benchmark: DataFrame, part_bytes: int, item_col: str, text_col: str) -> tuple[str, int, dict]:
+    """Write the items with their words' frequencies below the shared folder; its path, number of parts, and totals."""
+    spark = benchmark.sparkSession
+    schema = pa.schema([("item_id", pa.int64()), ("question", pa.list_(pa.string())), ("answer", pa.list_(pa.string()))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, *parts(text)) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if rows := [x for x in rows if x[1]]:
+                yield common.to_batch(rows, schema)
+
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    items = common.staged(items.mapInArrow(split, "item_id long, question array<string>, answer array<string>").withColumn("size", F.size("question") + F.size("answer")), "items")
+    n, average, longest, size = items.agg(F.count(F.lit(1)), F.avg("size"), F.max("size"), F.sum(F.octet_length(F.array_join(F.concat("question", "answer"), " ")))).first()
+    n_parts = max(1, -(-(size or 0) // part_bytes))
+    key = F.xxhash64("item_id", "question", "answer").alias("key")
+    each = items.select(key, F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word"))
+    frequency = common.staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "frequency")
+    found = common.skew_join(each.distinct(), frequency, ["word"], ["key"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("df"))
+    path = common.staging(spark, "index")
+    whole = items.withColumn("key", key).join(found, "key").withColumn("part", F.pmod("key", F.lit(n_parts)))
+    whole.select("part", "item_id", "question", "answer", "df").repartition(n_parts, "part").write.partitionBy("part").parquet(path)
+    return path, n_parts, {"n": n, "average": average or 1.0, "longest": longest or 1}
 
 
-def _search(rows: DataFrame, items: DataFrame, threshold: float, overlap: float) -> DataFrame:
-    # one block of items, of bounded size: it goes to every task
-    held = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+_indexes: dict[tuple, Index | None] = {}
+
+
+def loaded(path: str, part: int, threshold: float, totals: dict) -> Index | None:
+    """A part of the index; a worker keeps the last one it read."""
+    import pyarrow.dataset as ds
+
+    if (path, part, threshold) not in _indexes:
+        system, folder = common.filesystem(f"{path}/part={part}")
+        rows: list[tuple] = []
+        if [x for x in system.get_file_info([folder]) if x.type.name == "Directory"]:
+            for batch in ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["item_id", "question", "answer", "df"]):
+                rows += [(*x, dict(df)) for *x, df in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+        _indexes.clear()
+        _indexes[path, part, threshold] = Index(rows, threshold, **totals) if rows else None
+    return _indexes[path, part, threshold]
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, part_bytes: int, held_chars: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The columns of ``SCHEMA``: the text key tells documents of null id apart."""
+    common.ensure_workers(docs.sparkSession)
+    path, n_parts, totals = stored_index(benchmark, part_bytes, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, threshold)
-        get = index.vocabulary.get
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for some in common.groups(texts, 1 << 20):
-                docs = []
-                for k in some:
-                    found = words(texts[k])
-                    docs.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
-                got = [(keys[some.start + d], index.keys[i], score, q, a, first) for d, i, score, q, a, first in index.leaks(docs, overlap)]
-                if got:
+        def found(keys: list[tuple], bodies: list[list[str]]) -> Iterator[pa.RecordBatch]:
+            for part in range(n_parts):
+                if (index := loaded(path, part, threshold, totals)) is None:
+                    continue
+                get = index.vocabulary.get
+                docs = [np.fromiter((get(w, -1) for w in x), np.int32, len(x)) for x in bodies]
+                if got := [(*keys[d], index.keys[i], score, q, a, first) for d, i, score, q, a, first in index.leaks(docs, overlap)]:
                     yield common.to_batch(got, SCHEMA)
 
-    return rows.mapInArrow(run, SQL)
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            texts = [x or "" for x in batch.column(2).to_pylist()]
+            for some in common.groups(texts, held_chars if n_parts > 1 else 1 << 20):
+                yield from found([keys[k] for k in some], [words(texts[k]) for k in some])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, SQL)
+
+
+def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part_bytes: int = 16 << 20, held_chars: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row per document and leaked item: best BM25 score, overlaps and the passage's first word."""
+    return _search(docs, benchmark, threshold, overlap, part_bytes, held_chars, id_col, text_col, item_col, item_text_col).drop("text_key")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any leaked item, with all their columns. Rows that share an id go or stay together."""
-    leaked = leaked_items(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(leaked["leaked_id"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, part_bytes: int = 16 << 20, held_chars: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents without any leaked item, with all their columns. Rows that share an id go or stay together; those of
+    null id do so by their text."""
+    leaked = _search(docs, benchmark, threshold, overlap, part_bytes, held_chars, id_col, text_col, item_col, item_text_col)
+    gone = leaked.select(F.col("doc_id").alias("_leaked_id"), F.when(F.col("doc_id").isNull(), F.col("text_key")).otherwise(0).alias("_leaked_text")).distinct()
+    ident = docs[id_col].cast("long")
+    text = F.when(ident.isNull(), F.xxhash64(docs[text_col].cast("string"))).otherwise(0)
+    return docs.join(gone, ident.eqNullSafe(gone["_leaked_id"]) & (text == gone["_leaked_text"]), "left_anti")
