@@ -13,11 +13,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Every round joins links with the least neighbour of a node (a partial aggregate, so a hub costs one row per task) and
     is written to the shared folder, which cuts the lineage. Links shrink towards stars; rounds grow with the logarithm
-    of the longest path. Links with a null end are ignored.
+        of the longest path, so that ``most_rounds`` is only a stop against endless work: beyond it an error is raised.
+    Links with a null end are ignored; without any link the work ends at once.
     """
     edges = staged(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
     before, rows = None, edges.count()
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if rows else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,9 +26,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.select("u", F.col("m").alias("v")).union(moved).distinct(), "links", rows)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             break
         before, rows = now, now[0]
     else:
-        raise RuntimeError("components did not settle")
+        if rows:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,12 +12,12 @@ task's work, and the crowd's largest component isn't compared with itself. So no
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
 probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut five standard
 deviations below), the others are confirmed on the full sets: candidates are grouped by connected component, components
-over ``cell_docs`` are cut into cells by pairs of shards of documents, and within a cell a pair is compared unless already
-joined.
+over ``cell_docs`` documents, ``cell_pairs`` pairs or ``cell_values`` shingles are cut into cells by pairs of shards of
+documents, and within a cell a pair is compared unless already joined.
 
-Null or blank text: empty set, linked with nothing. Rows that share an id are one node (each row keeps its own set size);
-a null id is a node after all others whose component is null and which is kept only if it stands alone; an empty table gives
-no row; other columns are ignored.
+Null or blank text: empty set, linked with nothing. Rows that share an id are one node with the links of all its rows (each
+row keeps its own set size); rows of null id are a node after all others (that of the id 2**63 - 1, if there is one) whose
+component is null and which is kept only if it stands alone; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def tree_orders(trees: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n_shingles, set_key, signature) of every document."""
-    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+    """(node, null_id, n_shingles, set_key, signature) of every document."""
+    schema = pa.schema([("node", pa.int64()), ("null_id", pa.bool_()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +92,10 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 values, first = shingle_sets([texts[k] for k in some], words)
                 sig, n = signatures(values, first), np.diff(first)
                 keys = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield common.to_batch([(nodes[k], int(n[j]), keys[j], sig[j].tobytes() if n[j] else None) for j, k in enumerate(some)], schema)
+                yield common.to_batch([(LAST if nodes[k] is None else nodes[k], nodes[k] is None, int(n[j]), keys[j], sig[j].tobytes() if n[j] else None) for j, k in enumerate(some)], schema)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, n_shingles long, set_key binary, signature binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, null_id boolean, n_shingles long, set_key binary, signature binary")
 
 
 def shared_trees(classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -224,13 +224,20 @@ def crowded_candidates(placed: DataFrame, trees: int, depth: int, reach: int, si
     return cells.groupBy("tree", "prefix", "low", "high").applyInArrow(run, "a long, b long, la long, lb long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int, cell_docs: int, id_col: str, text_col: str) -> DataFrame:
-    """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already."""
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int, cell_docs: int, cell_pairs: int, cell_values: int, id_col: str, text_col: str) -> DataFrame:
+    """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already.
+
+    ``s`` shards make ``s * (s + 1) / 2`` cells, each with two shards' documents and a share of the pairs.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     # labels stand for documents that are joined already, so that a large group counts as one node here
     component = connected_components(pairs.select("la", "lb").distinct(), "la", "lb")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("la").alias("node")), F.struct(F.col("b").alias("doc"), F.col("lb").alias("node")))).alias("x")).select("x.*").distinct()
-    sizes = ends.join(component, "node").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_docs)).alias("shards"))
+    known = ends.join(classes.select(F.col("node").alias("doc"), "n_shingles"), "doc").join(component, "node")
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("values"))
+    weight = pairs.join(component.withColumnRenamed("node", "la"), "la").groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    shards = F.greatest(F.ceil(F.col("docs") / F.lit(cell_docs)), F.ceil(F.sqrt(2 * F.col("pairs") / F.lit(cell_pairs))), F.ceil(2 * F.col("values") / F.lit(cell_values)))
+    sizes = sizes.join(weight, "component").select("component", shards.alias("shards"))
     shard = component.join(sizes, "component").select("node", "component", "shards")
     edges = pairs.join(shard.withColumnRenamed("node", "la"), "la")
     of = lambda x: F.pmod(F.xxhash64(x), F.col("shards"))
@@ -281,7 +288,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
@@ -290,23 +297,36 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
     found = common.staged(shared_trees(classes, trees, least_depth), "trees")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return common.staged(confirmed(docs, common.staged(pairs, "pairs"), words, percent, cell_docs, id_col, text_col), "confirmed")
+        pairs = common.staged(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        return common.staged(confirmed(docs, pairs, classes, words, percent, cell_docs, cell_pairs, cell_values, id_col, text_col), "confirmed")
 
-    def placed(component: DataFrame | None = None) -> DataFrame:
-        if component is None:
-            return sorted_orders(classes.withColumn("label", F.col("node")), found, trees)
+    def placed(component: DataFrame) -> DataFrame:
         label = component.withColumnRenamed("component", "label")
         return sorted_orders(classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), found, trees)
 
-    links = links_of(candidates(placed(), least_depth, reach, percent / 100))
-    component = connected_components(links)
-    links = links.union(links_of(candidates(placed(component), least_depth, wide_reach, percent / 100)))
-    component = connected_components(links)
-    links = links.union(links_of(crowded_candidates(placed(component), trees, least_depth, wide_reach, percent / 100, crowd_rows)))
+    firsts = classes.select("set_key", F.col("node").alias("first"))
+    # an id with several rows belongs to the classes of all of them
+    again = sketches.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    links = full.select("node", "set_key").join(again, "node", "left_semi").join(firsts, "set_key").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    links = common.staged(links, "repeated")
     component = connected_components(links)
-    named = classes.select("set_key", F.col("node").alias("first")).join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
-    rows = sketches.select("node", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component", F.coalesce("component", "node"))
-    real = lambda x: F.when(F.col(x) != LAST, F.col(x))
+    for candidate in (
+        lambda x: candidates(x, least_depth, reach, percent / 100),
+        lambda x: candidates(x, least_depth, wide_reach, percent / 100),
+        lambda x: crowded_candidates(x, trees, least_depth, wide_reach, percent / 100, crowd_rows),
+    ):
+        more = links_of(candidate(placed(component)))
+        if not more.isEmpty():
+            links = links.union(more)
+            component = connected_components(links)
+    named = firsts.join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
+    rows = sketches.select("node", "null_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    # a row without a set goes with the other rows of its id
+    alone = again.join(component, "node").withColumnRenamed("component", "shared")
+    rows = rows.join(alone, "node", "left").withColumn("component", F.coalesce("component", "shared", "node"))
+    real = lambda x: F.when(~F.col("null_id") | (F.col(x) != LAST), F.col(x))
     return rows.select(real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
