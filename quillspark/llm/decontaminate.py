@@ -7,8 +7,8 @@ blocks; each posting list has, per block, its largest contribution. Every docume
 item's length, half overlapping, so that any stretch as long as an item lies whole in one of them. For a passage,
 
 * its own terms are put in order, longest posting list first, and their largest contributions are added up; the term at
-  which the sum reaches the threshold is the pivot: an item without any term from the pivot on can't reach it, so only
-  blocks in the lists from the pivot on are looked at;
+  which the sum reaches a share ``PIVOT`` of the threshold is the pivot: an item without any term from the pivot on can't
+  reach the threshold, so only blocks in the lists from the pivot on are looked at;
 * such a block is skipped if its maxima of these lists and the sum before the pivot miss the threshold;
 * the items of the remaining blocks are scored in full; all that reach the threshold are retrieved, not the best k.
 
@@ -44,6 +44,8 @@ K1, B = 1.2, 0.75
 SHINGLE = 5
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
 SQL = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+#: The share of the threshold at whose reaching the pivot lies: the smaller, the more lists and the fewer blocks are looked at.
+PIVOT = 0.25
 #: Passage entries that are worked on at once.
 SLICE = 1 << 20
 
@@ -131,7 +133,7 @@ class Index:
         fresh = terms >= 0
         fresh[:, 1:] &= terms[:, 1:] != terms[:, :-1]
         reached = np.cumsum(np.where(fresh, self.most[terms], 0.0), axis=1)
-        opens = fresh & (reached >= self.threshold - 1e-9)
+        opens = fresh & (reached >= PIVOT * self.threshold - 1e-9)
         before = np.where(fresh & ~opens, reached, 0.0).max(1)
         row, column = np.nonzero(opens)
         opening = terms[row, column]
