@@ -5,9 +5,9 @@ shingle) and a MinHash signature of ``SLOTS`` 16-bit values. Documents of equal
 once per tree, each tree by another order of the slots. In a sorted order, those with the longest common prefix stand next
 to each other; every document takes the ``reach`` documents before it as candidates while they share ``least_depth`` slots.
 A second pass goes ``wide_reach`` far, but only for pairs that the first one has left in different components. A third one
-takes the prefixes of ``least_depth`` slots that more documents share than a window spans, and looks at all their pairs
-that are still in different components: such a crowd is cut into shards of about ``crowd_rows``, every pair of shards is a
-task's work, and the crowd's largest component isn't compared with itself. So no pair that shares a prefix is left out.
+takes the prefixes of ``least_depth`` slots that more documents share than a window spans. Such a crowd's largest component
+isn't compared with itself; all others are candidates for each other, by shards of about ``crowd_rows``, and meet all of the
+largest component with their full sets, in blocks of documents. So no pair that shares a prefix is left out.
 
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
 probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut five standard
@@ -181,8 +181,20 @@ def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) ->
     return ranged.mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
-def crowded_candidates(placed: DataFrame, trees: int, depth: int, reach: int, similarity: float, crowd_rows: int) -> DataFrame:
-    """(a, b, la, lb), as of ``candidates``, of all pairs in prefixes that more than ``reach`` + 1 classes share."""
+def crowd_members(placed: DataFrame, depth: int, reach: int) -> DataFrame:
+    """The rows of ``placed`` whose prefix more than ``reach`` + 1 classes share, unless these are all of one label.
+
+    Adds the prefix, its ``largest`` label, the number of ``others`` and the trees in which the node stands in such a crowd.
+    """
+    rows = placed.withColumn("prefix", F.substring("slots", 1, 2 * depth))
+    labels = rows.groupBy("tree", "prefix", "label").agg(F.count(F.lit(1)).alias("n"))
+    crowds = labels.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("n") > reach + 1) & (F.col("n") > F.col("most.n")))
+    crowds = crowds.select("tree", "prefix", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.n")).alias("others"))
+    return rows.join(crowds, ["tree", "prefix"]).withColumn("crowded", F.sum(F.expr("shiftleft(1L, tree)")).over(Window.partitionBy("node")))
+
+
+def crowded_candidates(crowd: DataFrame, depth: int, trees: int, similarity: float, crowd_rows: int) -> DataFrame:
+    """(a, b, la, lb), as of ``candidates``, of all pairs in a crowd that are not of its largest label."""
     order, cut = tree_orders(trees), least_agreement(similarity)
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "la", "lb")])
 
@@ -201,7 +213,7 @@ def crowded_candidates(placed: DataFrame, trees: int, depth: int, reach: int, si
             x, y = left[at + x], right[y]
             agree = (sig[x] == sig[y]).mean(1) >= cut
             x, y = x[agree], y[agree]
-            for t in range(tree):  # a pair is named once, in the first tree in which it shares a crowded prefix
+            for t in range(tree):  # a pair is looked at once, in the first tree in which it shares a crowded prefix
                 if len(x):
                     other = (crowded[x] >> t & 1 == 0) | (sig[x][:, order[t, :depth]] != sig[y][:, order[t, :depth]]).any(1)
                     x, y = x[other], y[other]
@@ -210,20 +222,56 @@ def crowded_candidates(placed: DataFrame, trees: int, depth: int, reach: int, si
             found.append((node[x], node[y], label[x], label[y]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (list(zip(*found, strict=True)) or [()] * 4)], schema=schema)
 
-    rows = placed.withColumn("prefix", F.substring("slots", 1, 2 * depth))
-    labels = rows.groupBy("tree", "prefix", "label").agg(F.count(F.lit(1)).alias("n"))
-    crowds = labels.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("n") > reach + 1) & (F.col("n") > F.col("most.n")))
-    shards = lambda x: F.ceil(x / F.lit(crowd_rows))
-    # shards of the rest come first, those of the largest label last; the latter meet only the former
-    crowds = crowds.select("tree", "prefix", F.col("most.label").alias("largest"), shards(F.col("n") - F.col("most.n")).alias("others"), shards(F.col("most.n")).alias("own"))
-    part = lambda x: F.pmod(F.xxhash64("node"), x)
-    rows = rows.join(crowds, ["tree", "prefix"]).withColumn("crowded", F.sum(F.expr("shiftleft(1L, tree)")).over(Window.partitionBy("node")))
-    rows = rows.withColumn("shard", F.when(F.col("label") == F.col("largest"), F.col("others") + part(F.col("own"))).otherwise(part(F.col("others"))))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("shard") < F.col("others"), F.col("others") + F.col("own")).otherwise(F.col("others")) - 1)))
+    shards = F.ceil(F.col("others") / F.lit(crowd_rows))
+    rows = crowd.filter("label <> largest").withColumn("shard", F.pmod(F.xxhash64("node"), shards)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
     cells = rows.select("tree", "prefix", F.least("shard", "with").alias("low"), F.greatest("shard", "with").alias("high"), "shard", "crowded", "slots", "node", "n_shingles", "label")
     return cells.groupBy("tree", "prefix", "low", "high").applyInArrow(run, "a long, b long, la long, lb long")
 
 
+def visits(docs: DataFrame, crowd: DataFrame, members: DataFrame, words: int, percent: int, block_docs: int, cell_values: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between the other members of a crowd and its largest component, (node, n_shingles, label) of ``members``.
+
+    They meet in blocks of documents with their full sets; a guest that has found a link is done with the block, and only
+    links go out, never pairs.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cut = least_agreement(percent / 100)
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, guest, bodies = table.column("node").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False), common.column_bytes(table.column("text"))
+        sets: list[np.ndarray] = []
+        signs = []
+        for some in common.groups(bodies, 1 << 20):
+            values, first = shingle_sets([bodies[k] for k in some], words)
+            sets += [values[first[j] : first[j + 1]].copy() for j in range(len(some))]
+            signs.append(signatures(values, first))
+        sig, n = np.concatenate(signs), np.fromiter(map(len, sets), np.int64, len(sets))
+        home = np.flatnonzero(~guest & (n > 0))
+        found = []
+        for x in np.flatnonzero(guest & (n > 0)).tolist():
+            near = home[np.minimum(n[home], n[x]) >= percent / 100 * np.maximum(n[home], n[x]) - 1e-9]
+            agree = (sig[near] == sig[x]).mean(1)
+            order = np.argsort(-agree, kind="stable")[: int((agree >= cut).sum())]
+            y = next((y for y in near[order].tolist() if similar(sets[x], sets[y], percent)), None)
+            if y is not None:
+                found.append((int(nodes[x]), int(nodes[y])))
+        return pa.Table.from_batches([common.to_batch(found, schema)] if found else [], schema)
+
+    guests = common.staged(crowd.filter("label <> largest").select("node", F.col("largest").alias("home")).distinct(), "guests")
+    homes = guests.groupBy("home").agg(F.count(F.lit(1)).alias("n_guests"))
+    members = members.join(homes, F.col("label") == F.col("home"), "left_semi").select("node", "n_shingles", F.col("label").alias("home"))
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("n_members"), F.sum("n_shingles").alias("values")).join(homes, "home")
+    own = F.greatest(F.ceil(F.col("n_members") / F.lit(block_docs)), F.ceil(F.col("values") / F.lit(cell_values)))
+    sizes = common.staged(sizes.select("home", own.alias("own"), F.ceil(F.col("n_guests") / F.lit(block_docs)).alias("rooms")), "homes")
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    here = members.join(common.hinted(sizes), "home").select("node", F.lit(False).alias("guest"), "home", part("own").alias("low"), each("rooms").alias("high"))
+    there = guests.join(common.hinted(sizes), "home").select("node", F.lit(True).alias("guest"), "home", each("own").alias("low"), part("rooms").alias("high"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(here.union(there).hint("merge"), "node")
+    return rows.groupBy("home", "low", "high").applyInArrow(meet, "a long, b long")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int, cell_docs: int, cell_pairs: int, cell_values: int, id_col: str, text_col: str) -> DataFrame:
     """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already.
 
@@ -312,15 +360,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
     links = full.select("node", "set_key").join(again, "node", "left_semi").join(firsts, "set_key").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = common.staged(links, "repeated")
     component = connected_components(links)
-    for candidate in (
-        lambda x: candidates(x, least_depth, reach, percent / 100),
-        lambda x: candidates(x, least_depth, wide_reach, percent / 100),
-        lambda x: crowded_candidates(x, trees, least_depth, wide_reach, percent / 100, crowd_rows),
-    ):
-        more = links_of(candidate(placed(component)))
+    for width in (reach, wide_reach):
+        more = links_of(candidates(placed(component), least_depth, width, percent / 100))
         if not more.isEmpty():
             links = links.union(more)
             component = connected_components(links)
+    crowd = common.staged(crowd_members(placed(component), least_depth, wide_reach), "crowds")
+    if not crowd.isEmpty():
+        links = links.union(links_of(crowded_candidates(crowd, least_depth, trees, percent / 100, crowd_rows)))
+        members = classes.join(component.withColumnRenamed("component", "label"), "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
+        links = links.union(common.staged(visits(docs, crowd, members, words, percent, crowd_rows, cell_values, id_col, text_col), "visits"))
+        component = connected_components(links)
     named = firsts.join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     rows = sketches.select("node", "null_id", "n_shingles", "set_key").join(named, "set_key", "left")
     # a row without a set goes with the other rows of its id
