@@ -336,7 +336,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 48, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 8, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
