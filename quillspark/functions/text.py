@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Categories of file extensions.
 CATEGORIES = {
-    ".pdf": "document", ".docx": "document", ".doc": "document", ".epub": "document", ".md": "text", ".txt": "text", ".rst": "text", ".log": "text",
-    ".csv": "spreadsheet", ".xlsx": "spreadsheet", ".html": "web", ".htm": "web", ".json": "data", ".yaml": "data", ".yml": "data", ".toml": "data", ".pptx": "presentation",
+    ".pdf": "document", ".docx": "document", ".epub": "document", ".pptx": "document", ".txt": "plaintext", ".md": "plaintext", ".rst": "plaintext", ".log": "plaintext",
+    ".json": "plaintext", ".yaml": "plaintext", ".yml": "plaintext", ".toml": "plaintext", ".csv": "data", ".xlsx": "data", ".html": "web", ".htm": "web",
 }
 #: Directory names that never become tags.
-SYSTEM_DIRECTORIES = ["users", "home", "documents", "desktop", "downloads", "volumes", "tmp", "var", "private", "corpus"]
+SYSTEM_DIRECTORIES = ["library", "applications", "system", "users", "home", ".git", ".venv", ".env", "node_modules", "__pycache__", "desktop", "documents", "downloads", "movies", "music", "pictures"]
+#: Trace keys that hold such a word are redacted.
+SENSITIVE_KEYS = "question|answer|content|prompt|chunk|source|message"
+MAX_TRACE_CHARS = 8000
 MAX_TAGS = 5
 YEAR = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
 REFUSALS = r"(?i)\b(i can(?:no|')t|i am unable|not able to|no information|cannot find)\b"
@@ -40,9 +43,22 @@ def year_of(*sources: Column) -> Column:
 
 
 def tags_of(path: Column) -> Column:
-    """Up to five distinct lower-case directory names, system directories left out."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(path), r"[^/]*$", ""), "/"), lambda x: (x != "") & ~x.isin(SYSTEM_DIRECTORIES))
-    return F.slice(F.array_distinct(parts), 1, MAX_TAGS)
+    """Up to five distinct directory names, lower-case, with spaces and hyphens as underscores; names of one character and
+    system directories are left out."""
+    parts = F.filter(F.split(F.regexp_replace(F.lower(path), r"[^/]*$", ""), "/"), lambda x: (F.length(x) > 1) & ~x.isin(SYSTEM_DIRECTORIES))
+    return F.slice(F.array_distinct(F.transform(parts, lambda x: F.translate(x, " -", "__"))), 1, MAX_TAGS)
+
+
+def normalised_path(path: Column) -> Column:
+    """Absolute path without empty, ``.`` and ``..`` parts."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, x)))
+    return F.concat(F.lit("/"), F.array_join(up, "/"))
+
+
+def safe_number(value: Column, default: float | int, kind: str = "long") -> Column:
+    """The value as a number, or the default where it is none."""
+    return F.coalesce(F.trim(value.cast("string")).try_cast(kind), F.lit(default).cast(kind))
 
 
 def term_text(text: Column) -> Column:
@@ -127,10 +143,23 @@ def limit_words(text: Column, n: int) -> Column:
 
 
 def chat_title(text: Column, n: int = 50) -> Column:
-    """First line without Markdown signs, at most n characters and an ellipsis."""
-    line = F.split(F.trim(text), "\n")[0]
-    line = F.trim(F.regexp_replace(F.regexp_replace(line, r"^[#>\-*\s]+", ""), r"[*_`~]+", ""))
-    return F.when(F.length(line) > n, F.concat(F.rtrim(F.substring(line, 1, n)), F.lit("…"))).otherwise(line)
+    """First line without Markdown headings, links, decorators and list signs, at most n characters and three dots; null if
+    nothing is left of it."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    raw = strip(F.split(text, "\n", 2)[0])
+    line = F.regexp_replace(raw, r"^\s{0,3}#{1,6}\s+", "")
+    for pattern, put in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[*_`~]+", ""), (r"^\s*[-+*>\s]+", ""), (r"\s+", " ")):
+        line = F.regexp_replace(line, pattern, put)
+    line = strip(line)
+    line = F.when(line != "", line).otherwise(raw)
+    cut = F.when(F.length(line) > n, F.concat(strip(F.substring(line, 1, n)), F.lit("..."))).otherwise(line)
+    return F.when(line != "", cut)
+
+
+def answer_signals(answer: Column) -> Column:
+    """Whether an answer has Markdown, a list, a table, and its words; null counts as empty."""
+    text = F.coalesce(answer, F.lit(""))
+    return F.struct(text.rlike(r"[#*\[\]`]").alias("has_markdown"), text.rlike(r"(?m)^\s*[-*\x{2022}]|\d+\.").alias("has_list"), text.rlike(r"\|.*\|").alias("has_table"), word_count(text).alias("word_count"))
 
 
 def sanitised_answer(text: Column) -> Column:
@@ -169,10 +198,13 @@ def event_id(*parts: Column, bucket_seconds: int = 60, created_at: Column) -> Co
 
 
 def redacted(value: Column, key: Column, mode: str) -> Column:
-    """Trace values: off as they are, minimal cut to 200 characters, strict as lengths; secrets always masked."""
-    secret = F.lower(key).rlike("token|secret|password|api_key|authorization")
-    shown = {"off": value, "minimal": F.substring(value, 1, 200), "strict": F.concat(F.lit("<"), F.length(value).cast("string"), F.lit(" chars>"))}[mode]
-    return F.when(secret, "***").otherwise(shown)
+    """Trace strings: cut at ``MAX_TRACE_CHARS``; those of sensitive keys cut to 500 characters (minimal) or to their length
+    (strict)."""
+    size = F.length(value).cast("string")
+    plain = F.when(F.length(value) > MAX_TRACE_CHARS, F.concat(F.substring(value, 1, MAX_TRACE_CHARS), F.lit("... (truncated)"))).otherwise(value)
+    brief = F.when(F.length(value) > 500, F.concat(F.substring(value, 1, 500), F.lit("... [REDACTED_TAIL length="), size, F.lit("]"))).otherwise(value)
+    hidden = {"off": plain, "minimal": brief, "strict": F.concat(F.lit("[REDACTED length="), size, F.lit("]"))}[mode]
+    return F.when(F.lower(F.trim(key)).rlike(SENSITIVE_KEYS), hidden).otherwise(plain)
 
 
 def scan_timeout(size_bytes: Column, base: float = 90, per_mib: float = 22, least: float = 30, most: float = 600) -> Column:

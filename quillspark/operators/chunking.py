@@ -1,55 +1,102 @@
-"""Splitting text into parents and children under a token budget."""
+"""Splitting text into parents and children under a token budget.
+
+A text is a row of blocks: headers, tables and paragraphs, parted by blank lines. Parents pack consecutive blocks while their
+words fit; a table is never cut and begins no overlap; a longer paragraph is cut at sentences, then at words. A new parent
+repeats the last sentences of the one before that fit ``overlap`` words, back to a table at most, unless it begins with one. Every parent knows
+the headers above its first own block. Children pack the sentences of a parent in the same way.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HEADER = re.compile(r"^(#+)[ \t]+(\S.*)$")
+TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def blocks(text: str) -> Iterator[tuple[str, int, str]]:
+    """(kind, place of the first character, text) of each block; kinds are header, table and paragraph."""
+    held: list[str] = []
+    kind, begin, at = "", 0, 0
+    for line in [*text.split("\n"), ""]:
+        new = "header" if HEADER.match(line) else "table" if TABLE_ROW.match(line) else "paragraph" if line.strip() else ""
+        if held and (new != kind or new == "header"):
+            yield kind, begin, "\n".join(held)
+            held = []
+        if new:
+            if not held:
+                kind, begin = new, at
+            held.append(line)
+        at += len(line) + 1
+
 
-def packed(parts: list[str], budget: int, joint: str) -> Iterator[str]:
-    """Joins consecutive parts while their words fit; a part over the budget is cut by words."""
+def tail(text: str, overlap: int) -> str:
+    """The last whole sentences of a text that fit ``overlap`` words."""
+    kept: list[str] = []
+    for sentence in reversed([x for line in text.strip().split("\n") for x in SENTENCE_END.split(line.strip())]):
+        overlap -= len(sentence.split())
+        if overlap < 0 or TABLE_ROW.match(sentence):
+            break
+        kept.insert(0, sentence)
+    return " ".join(kept)
+
+
+def pieces(text: str, budget: int) -> Iterator[str]:
+    """A paragraph cut at sentences, and a sentence over the budget at words."""
+    for sentence in SENTENCE_END.split(text.strip()):
+        words = sentence.split()
+        for at in range(0, len(words), budget):
+            yield sentence if len(words) <= budget else " ".join(words[at : at + budget])
+
+
+def packed(parts: list[tuple[str, bool]], budget: int, overlap: int, joint: str) -> Iterator[tuple[int, str]]:
+    """(number of the first own part, text): joins consecutive (text, whole) parts while their words fit."""
     held: list[str] = []
-    size = 0
-    for part in parts:
-        words = part.split()
-        while len(words) > budget:
-            if held:
-                yield joint.join(held)
-                held, size = [], 0
-            yield " ".join(words[:budget])
-            words = words[budget:]
-            part = " ".join(words)
-        if not words:
-            continue
-        if size + len(words) > budget and held:
-            yield joint.join(held)
-            held, size = [], 0
+    size = first = 0
+    for k, (part, whole) in enumerate(parts):
+        n = len(part.split())
+        if held and size + n > budget:
+            yield first, joint.join(held)
+            again = "" if whole else tail(joint.join(held), min(overlap, budget - n))
+            held, size, first = ([again] if again else []), len(again.split()), k
         held.append(part)
-        size += len(words)
+        size += n
     if held:
-        yield joint.join(held)
-
+        yield first, joint.join(held)
 
-def chunk_text(text: str, parent_budget: int, child_budget: int) -> list[tuple[int, int, str]]:
-    """(parent, child or -1, content); blank text gives nothing, any other at least one chunk."""
-    import re
 
+def chunk_text(text: str, parent_budget: int, child_budget: int, overlap: int = 0) -> list[tuple[int, int, str, str, int]]:
+    """(parent, child or -1, content, section path, place in the text); blank text gives nothing, any other one chunk at least."""
+    parts: list[tuple[str, bool]] = []
+    about: list[tuple[str, int]] = []
+    stack: list[tuple[int, str]] = []
+    for kind, place, body in blocks(text):
+        if kind == "header":
+            level, name = len(HEADER.match(body)[1]), HEADER.match(body)[2].strip()
+            stack = [x for x in stack if x[0] < level] + [(level, name)]
+        for piece in [body] if kind != "paragraph" or len(body.split()) <= parent_budget else pieces(body, parent_budget):
+            parts.append((piece, kind == "table"))
+            about.append((" > ".join(x for _, x in stack), place))
     rows = []
-    for p, parent in enumerate(packed([x for x in text.split("\n") if x.strip()], parent_budget, "\n")):
-        rows.append((p, -1, parent))
-        rows += [(p, c, child) for c, child in enumerate(packed(re.split(r"(?<=[.!?])\s+", parent), child_budget, " "))]
+    for p, (first, parent) in enumerate(packed(parts, parent_budget, overlap, "\n")):
+        rows.append((p, -1, parent, *about[first]))
+        sentences = [(x, False) for x in pieces(parent, child_budget)]
+        rows += [(p, c, child, *about[first]) for c, (_, child) in enumerate(packed(sentences, child_budget, overlap, " "))]
     return rows
 
 
-def budget_chunks(docs: DataFrame, parent_budget: int = 512, child_budget: int = 150) -> DataFrame:
-    """(file_id, parent, child, content, n_words) in Arrow batches."""
+def budget_chunks(docs: DataFrame, parent_budget: int = 512, child_budget: int = 150, overlap: int = 60) -> DataFrame:
+    """(file_id, parent, child, content, section, place, n_words) in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *x, len(x[2].split())) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in chunk_text(t or "", parent_budget, child_budget)]
-            yield pd.DataFrame(rows, columns=["file_id", "parent", "child", "content", "n_words"])
+            rows = [(i, *x, len(x[2].split())) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in chunk_text(t or "", parent_budget, child_budget, overlap)]
+            yield pd.DataFrame(rows, columns=["file_id", "parent", "child", "content", "section", "place", "n_words"])
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(run, "file_id long, parent int, child int, content string, n_words int")
+    return docs.select("doc_id", F.col("text")).mapInPandas(run, "file_id long, parent int, child int, content string, section string, place int, n_words int")

@@ -144,7 +144,8 @@ def coverage_selection(candidates: DataFrame, k: int) -> DataFrame:
 def evidence(claims: DataFrame, sources: DataFrame, threshold: int = 2) -> DataFrame:
     """Per claim the largest number of its words that one source holds, and whether that supports it.
 
-    Claims and sources meet on shared words, never all with all.
+    Claims and sources meet on shared words, which are few per claim; a common word still brings most sources to a claim, as
+    each of them may hold the most words, so claims are meant to be few.
     """
     a = claims.select("claim_id", F.explode(T.tokens(F.col("claim"))).alias("word"))
     b = sources.select("source_id", F.explode(T.tokens(F.col("text"))).alias("word"))

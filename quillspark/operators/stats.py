@@ -69,16 +69,24 @@ def since(rows: DataFrame, now: Column, days: int) -> DataFrame:
     return rows.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+#: A question about a named file, and the limits of the rules.
+FILE_QUESTION = r"(?i)\b(?:what|which|summari[sz]e|describe)\b.*\b[\w\-\s()]+\.[a-z0-9]{2,5}\b"
+LEAST_CHUNKS, LONG_QUESTION_WORDS, SHORT_ANSWER_CHARS = 3, 10, 20
+
+
 def detected_issues(rows: DataFrame) -> DataFrame:
-    """Adds ``issues`` by rule from the measures of a response."""
+    """Adds ``issues``: the seven rules over the measures of a response, in their order."""
+    searched = F.col("query_type").isin("focused", "coverage")
+    long = (F.size(F.array_remove(F.split(F.trim("question"), r"\s+"), "")) > LONG_QUESTION_WORDS) | (F.col("query_type") == "coverage")
+    one_file = (F.col("query_type") == "focused") & F.col("question").rlike(FILE_QUESTION) & (F.col("sources_count") > 0)
     rules = [
+        ("retrieval_failure", searched & (F.col("raw_chunks_count") == 0)),
+        ("insufficient_retrieval", searched & (F.col("raw_chunks_count") > 0) & (F.col("raw_chunks_count") < LEAST_CHUNKS) & long & ~one_file),
+        ("empty_answer", F.col("has_empty_answer") | (F.trim(F.coalesce("answer", F.lit(""))) == "")),
+        ("refusal_bias", F.col("has_refusal_pattern")),
         ("timeout", F.col("timeout_occurred")),
-        ("empty_answer", F.col("has_empty_answer")),
-        ("refusal", F.col("has_refusal_pattern")),
-        ("no_sources", F.col("sources_count") == 0),
-        ("low_sources", (F.col("query_type") == "coverage") & (F.col("sources_count") < 3)),
-        ("slow", F.col("generation_seconds") > 60),
-        ("no_chunks", F.col("raw_chunks_count") == 0),
+        ("very_short_answer", (F.col("query_type") != "simple") & (F.col("answer_length") > 0) & (F.col("answer_length") < SHORT_ANSWER_CHARS)),
+        ("unsupported_claims_detected", F.col("unsupported_claim_count") > 0),
     ]
     return rows.withColumn("issues", F.array_compact(F.array(*(F.when(x, name) for name, x in rules))))
 
@@ -89,9 +97,25 @@ def dominant_share(rows: DataFrame, group: str, key: str) -> DataFrame:
     return counts.groupBy(group).agg(F.round(F.max("n") / F.sum("n"), 6).alias("dominant_share"), F.count(F.lit(1)).alias("n_keys"))
 
 
-def adaptive_top_k(n_files: Column, base: int, least: int = 4, most: int = 40) -> Column:
-    """Grows with the logarithm of the corpus, cut towards zero and kept within bounds."""
-    return F.greatest(F.lit(least), F.least(F.lit(most), (F.lit(base) * (1 + F.log2(1 + n_files) / 10)).cast("int")))
+def adaptive_top_k(n_files: Column, n_parents: Column, query_type: Column, base: Column) -> Column:
+    """Results to fetch: a quarter of the files, 30 at most, for coverage; a logarithmic curve over the parent chunks, 25 at
+    most, for focused questions; never under the profile's own number, but for small corpora (10 to 12)."""
+    coverage = F.when(n_files <= 0, base).otherwise(F.greatest(F.least((n_files * 0.25).cast("long"), F.lit(30)), base))
+    curve = 8 + (F.log2(F.greatest(n_parents / 100, F.lit(1.0))) * 3).cast("long")
+    focused = F.when(n_parents <= 0, base).when(n_parents < 500, F.greatest(F.lit(10), F.least(base, F.lit(12)))).otherwise(F.greatest(base, F.least(curve, F.lit(25))))
+    return F.when(query_type == "coverage", coverage).otherwise(focused).cast("long")
+
+
+def tuning_is_stale(hours: Column, parents_then: Column, parents_now: Column, most_hours: int = 24, most_drift: float = 0.2) -> Column:
+    """Whether cached numbers must be computed anew: by age, or because the corpus has drifted by over a fifth."""
+    drift = F.when(parents_then <= 0, parents_now != parents_then).otherwise(F.abs(parents_now - parents_then) / parents_then > most_drift)
+    return (hours >= most_hours) | drift
+
+
+def stale_scans_failed(scans: DataFrame, now: Column) -> DataFrame:
+    """Scans still running are marked failed as of now."""
+    running = F.col("status") == "running"
+    return scans.withColumn("completed_at", F.when(running, now).otherwise(F.col("completed_at"))).withColumn("status", F.when(running, "failed").otherwise(F.col("status")))
 
 
 def prune_logs(logs: DataFrame, now: Column, days: int, newest: int) -> DataFrame:

@@ -1,8 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import changes, chunking, filters, stats, terms
+from quillspark.operators import changes, chunking, filters, gates, stats, terms
 from quillspark.sources import corpus
 from quillspark.streaming import events
 
@@ -73,6 +75,38 @@ def test_chunking():
     assert all(len(x[2].split()) <= 10 for x in parents) and all(len(x[2].split()) <= 3 for x in rows if x[1] >= 0)
     assert " ".join(x[2] for x in parents).split() == ("one two three. four five. " + "w " * 25).split()
     assert chunking.chunk_text(" \n ", 5, 5) == []
+    text = "# One\nFirst sentence here. Second one is longer now.\n\n## Two\n| a | b |\n| c | d |\n\n" + " ".join(f"Number {k} says so." for k in range(12)) + "\n# Three\nend."
+    rows = chunking.chunk_text(text, 16, 8, 4)
+    parents = [x for x in rows if x[1] == -1]
+    assert sum("| a | b |\n| c | d |" in x[2] for x in parents) == 1
+    assert parents[0][3] == "One" and parents[-1][3] in ("One > Two", "Three") and any(x[3] == "One > Two" for x in parents)
+    assert all(len(x[2].split()) <= 16 for x in parents) and all(len(x[2].split()) <= 8 for x in rows if x[1] >= 0)
+    said = [re.findall(r"Number (\d+) says so", x[2]) for x in parents]
+    said = [x for x in said if x]
+    assert all(a[-1] == b[0] for a, b in zip(said, said[1:])) and {int(k) for x in said for k in x} == set(range(12))
+    assert chunking.tail("One two. Three four five. Six.", 4) == "Three four five. Six." and chunking.tail("One two three.", 2) == ""
+
+
+def test_rules(spark):
+    assert one(spark, T.tags_of, "/home/x/My-Docs/a b/Downloads/my-docs/t.txt") == ["my_docs", "a_b"]
+    assert one(spark, T.chat_title, "- [x](http://y) **b**  c\nd") == "x b c" and one(spark, T.chat_title, "\nx") is None
+    assert one(spark, T.chat_title, "w" * 60) == "w" * 50 + "..."
+    assert one(spark, T.normalised_path, "/a//b/./c/../d") == "/a/b/d" and one(spark, T.normalised_path, "../x") == "/x"
+    assert one(spark, lambda v: T.redacted(v, F.lit("user_question"), "strict"), "abc") == "[REDACTED length=3]"
+    assert one(spark, lambda v: T.redacted(v, F.lit("prompt"), "minimal"), "x" * 600) == "x" * 500 + "... [REDACTED_TAIL length=600]"
+    assert one(spark, lambda v: T.redacted(v, F.lit("name"), "strict"), "x" * 9000) == "x" * 8000 + "... (truncated)"
+    assert one(spark, lambda v: T.redacted(v, F.lit("answer"), "off"), "abc") == "abc"
+    assert one(spark, lambda v: T.safe_number(v, 5), "x1") == 5 and one(spark, lambda v: T.safe_number(v, 5), " 7 ") == 7
+    gate = lambda p, c: gates.continuation_gate(F.split(p, ","), F.split(c, ","), F.lit(True), F.lit(False)).alias("g")
+    assert tuple(one(spark, gate, "a,b", "b,c")) == (True, 1) and tuple(one(spark, gate, "a", "c")) == (False, 0)
+    stale = spark.range(1).select(*(stats.tuning_is_stale(F.lit(h), F.lit(a), F.lit(b)) for h, a, b in ((25, 10, 10), (1, 10, 12), (1, 10, 13), (1, 0, 1)))).first()
+    assert tuple(stale) == (True, False, True, True)
+
+
+def test_upload_orphans(spark):
+    listed = spark.createDataFrame([("c", "a"), ("c", "b"), ("c", "d")], "chat_id string, stored_name string")
+    held = spark.createDataFrame([("c", "a", None), ("c", "b", "2024")], "chat_id string, stored_name string, deleted_at string")
+    assert sorted(r.stored_name for r in gates.upload_orphans(listed, held).collect()) == ["b", "d"]
 
 
 def test_terms(spark):
