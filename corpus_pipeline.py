@@ -21,11 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity 0.8 or more."""
     verdicts = near_dedup.near_duplicates(docs, words=5, percent=80)
-    key = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.LAST))
-    kept = verdicts.filter("kept").select(key().alias("_node")).distinct()
+    ident = F.col("doc_id").cast("long")
+    key = [ident.isNull().alias("_null"), F.coalesce(ident, F.lit(0)).alias("_id")]
+    kept = verdicts.filter("kept").select(*key).distinct()
     # repeated rows lie together after the join, so that leaving one of them takes no further shuffle of the texts
-    rows = docs.withColumn("_node", key()).join(kept.hint("merge"), "_node", "left_semi")
-    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_node", "_text"]).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), *key, F.xxhash64("text").alias("_text")).join(kept.hint("merge"), ["_null", "_id"], "left_semi")
+    return rows.dropDuplicates(["_null", "_id", "_text"]).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ def test_stages(spark, folder):
     good = {(k, t) for k, t, *_ in rows if len(WORD.findall(t or "")) >= 20 and not (t or "").startswith("again")}
     assert set(at["quality_rules"]) == good and len(at["quality_rules"]) == len(good)
     component = {k: c for (k, _), c in brute_components([x for x in good if x[0] is not None], 5).items()}
+    odd = stages["near_duplicates"](spark, spark.createDataFrame([(1, "a b c", 5, "x"), (1, "a b c", 5, "x")], "doc_id long, text string, _id int, _text string"), path).collect()
+    assert [tuple(r) for r in odd] == [(1, "a b c", 5, "x")]
     assert {k for k, _ in at["near_duplicates"]} == {k for k, c in component.items() if k == c} | {None}
     leaked = {k for k, t in good if any(x in t for _, x in items)}
     assert {k for k, _ in at["decontamination"]} == {k for k, _ in at["near_duplicates"]} - leaked
