@@ -4,10 +4,10 @@ Every document gets the set of its 4-word shingles (words ``[^\\x20\\x09-\\x0D]+
 shingle) and a MinHash signature of ``SLOTS`` 16-bit values. Documents of equal sets are one class. The classes are sorted
 once per tree, each tree by another order of the slots. In a sorted order, those with the longest common prefix stand next
 to each other; every document takes the ``reach`` documents before it as candidates while they share ``least_depth`` slots.
-A second pass goes ``wide_reach`` far, but only for pairs that the first one has left in different components. A third one
-takes the prefixes of ``least_depth`` slots that more documents share than a window spans. Such a crowd's largest component
-isn't compared with itself; all others are candidates for each other, by shards of about ``crowd_rows``, and meet all of the
-largest component with their full sets, in blocks of documents. So no pair that shares a prefix is left out.
+A second pass takes the prefixes of ``least_depth`` slots that more documents share than that window spans. The
+largest component of such a crowd is a home, the others are its guests: guests meet all of the home and each other, with
+their full sets, in blocks of about ``block_docs`` documents that emit links only. So no pair that shares a prefix is left
+out, however crowded it is.
 
 A pair with similarity 0.8 shares two slots in a given tree with probability 0.64, so that 16 trees miss it with
 probability 1e-7. Candidates whose signatures or sizes rule the similarity out are let go (signature cut five standard
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, wordhash
@@ -181,64 +181,27 @@ def candidates(placed: DataFrame, depth: int, reach: int, similarity: float) ->
     return ranged.mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
-def crowd_members(placed: DataFrame, depth: int, reach: int) -> DataFrame:
-    """The rows of ``placed`` whose prefix more than ``reach`` + 1 classes share, unless these are all of one label.
-
-    Adds the prefix, its ``largest`` label, the number of ``others`` and the trees in which the node stands in such a crowd.
-    """
-    rows = placed.withColumn("prefix", F.substring("slots", 1, 2 * depth))
+def crowd_guests(placed: DataFrame, depth: int, reach: int) -> DataFrame:
+    """(home, node, n_shingles, label): where more than ``reach`` + 1 classes share a prefix, its largest label is a home, and
+    those of other labels are its guests; two members of a crowd that are still apart are guest and home, or guests of one home."""
+    rows = placed.withColumn("prefix", F.substring("slots", 1, 2 * depth)).drop("slots")
     labels = rows.groupBy("tree", "prefix", "label").agg(F.count(F.lit(1)).alias("n"))
     crowds = labels.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter((F.col("n") > reach + 1) & (F.col("n") > F.col("most.n")))
-    crowds = crowds.select("tree", "prefix", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.n")).alias("others"))
-    return rows.join(crowds, ["tree", "prefix"]).withColumn("crowded", F.sum(F.expr("shiftleft(1L, tree)")).over(Window.partitionBy("node")))
+    rows = rows.join(crowds.select("tree", "prefix", F.col("most.label").alias("home")), ["tree", "prefix"]).filter("label <> home")
+    return rows.select("home", "node", "n_shingles", "label").distinct()
 
 
-def crowded_candidates(crowd: DataFrame, depth: int, trees: int, similarity: float, crowd_rows: int) -> DataFrame:
-    """(a, b, la, lb), as of ``candidates``, of all pairs in a crowd that are not of its largest label."""
-    order, cut = tree_orders(trees), least_agreement(similarity)
-    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "la", "lb")])
+def meetings(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int, percent: int, block_docs: int, block_values: int, id_col: str, text_col: str) -> DataFrame:
+    """Links of guests with their homes' members, (node, n_shingles, label), and with each other.
 
-    def run(table: pa.Table) -> pa.Table:
-        node, n, label, shard, crowded = (table.column(c).to_numpy() for c in ("node", "n_shingles", "label", "shard", "crowded"))
-        tree, low, high = (table.column(c)[0].as_py() for c in ("tree", "low", "high"))
-        sig = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint16).reshape(-1, SLOTS)[:, np.argsort(order[tree])]
-        left, right = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
-        found = []
-        for at in range(0, len(left), 16):
-            i, j = left[at : at + 16, None], right[None, :]
-            near = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            if low == high:
-                near &= i < j
-            x, y = np.nonzero(near)
-            x, y = left[at + x], right[y]
-            agree = (sig[x] == sig[y]).mean(1) >= cut
-            x, y = x[agree], y[agree]
-            for t in range(tree):  # a pair is looked at once, in the first tree in which it shares a crowded prefix
-                if len(x):
-                    other = (crowded[x] >> t & 1 == 0) | (sig[x][:, order[t, :depth]] != sig[y][:, order[t, :depth]]).any(1)
-                    x, y = x[other], y[other]
-            swap = node[x] > node[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.append((node[x], node[y], label[x], label[y]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (list(zip(*found, strict=True)) or [()] * 4)], schema=schema)
-
-    shards = F.ceil(F.col("others") / F.lit(crowd_rows))
-    rows = crowd.filter("label <> largest").withColumn("shard", F.pmod(F.xxhash64("node"), shards)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
-    cells = rows.select("tree", "prefix", F.least("shard", "with").alias("low"), F.greatest("shard", "with").alias("high"), "shard", "crowded", "slots", "node", "n_shingles", "label")
-    return cells.groupBy("tree", "prefix", "low", "high").applyInArrow(run, "a long, b long, la long, lb long")
-
-
-def visits(docs: DataFrame, crowd: DataFrame, members: DataFrame, words: int, percent: int, block_docs: int, cell_values: int, id_col: str, text_col: str) -> DataFrame:
-    """Links between the other members of a crowd and its largest component, (node, n_shingles, label) of ``members``.
-
-    They meet in blocks of documents with their full sets; a guest that has found a link is done with the block, and only
-    links go out, never pairs.
+    They meet in blocks of bounded documents and shingles, with their full sets; labels that a block has joined aren't
+    compared again, and only links leave it, never pairs.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     cut = least_agreement(percent / 100)
 
     def meet(table: pa.Table) -> pa.Table:
-        nodes, guest, bodies = table.column("node").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False), common.column_bytes(table.column("text"))
+        nodes, labels, sides, bodies = table.column("node").to_pylist(), table.column("label").to_pylist(), table.column("side").to_numpy(), common.column_bytes(table.column("text"))
         sets: list[np.ndarray] = []
         signs = []
         for some in common.groups(bodies, 1 << 20):
@@ -246,29 +209,43 @@ def visits(docs: DataFrame, crowd: DataFrame, members: DataFrame, words: int, pe
             sets += [values[first[j] : first[j + 1]].copy() for j in range(len(some))]
             signs.append(signatures(values, first))
         sig, n = np.concatenate(signs), np.fromiter(map(len, sets), np.int64, len(sets))
-        home = np.flatnonzero(~guest & (n > 0))
+        label = np.array(labels, np.int64)
+        right = np.flatnonzero((sides != 0) & (n > 0))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = root[x]
+            return x
+
         found = []
-        for x in np.flatnonzero(guest & (n > 0)).tolist():
-            near = home[np.minimum(n[home], n[x]) >= percent / 100 * np.maximum(n[home], n[x]) - 1e-9]
+        for x in np.flatnonzero((sides != 1) & (n > 0)).tolist():
+            near = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) >= percent / 100 * np.maximum(n[right], n[x]) - 1e-9)]
+            near = near[near > x] if sides[x] == 2 else near
             agree = (sig[near] == sig[x]).mean(1)
-            order = np.argsort(-agree, kind="stable")[: int((agree >= cut).sum())]
-            y = next((y for y in near[order].tolist() if similar(sets[x], sets[y], percent)), None)
-            if y is not None:
-                found.append((int(nodes[x]), int(nodes[y])))
+            for y in near[np.argsort(-agree, kind="stable")[: int((agree >= cut).sum())]].tolist():
+                a, b = top(labels[x]), top(labels[y])
+                if a != b and similar(sets[x], sets[y], percent):
+                    root[max(a, b)] = min(a, b)
+                    found.append((nodes[x], nodes[y]))
         return pa.Table.from_batches([common.to_batch(found, schema)] if found else [], schema)
 
-    guests = common.staged(crowd.filter("label <> largest").select("node", F.col("largest").alias("home")).distinct(), "guests")
-    homes = guests.groupBy("home").agg(F.count(F.lit(1)).alias("n_guests"))
-    members = members.join(homes, F.col("label") == F.col("home"), "left_semi").select("node", "n_shingles", F.col("label").alias("home"))
-    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("n_members"), F.sum("n_shingles").alias("values")).join(homes, "home")
-    own = F.greatest(F.ceil(F.col("n_members") / F.lit(block_docs)), F.ceil(F.col("values") / F.lit(cell_values)))
-    sizes = common.staged(sizes.select("home", own.alias("own"), F.ceil(F.col("n_guests") / F.lit(block_docs)).alias("rooms")), "homes")
+    shards = lambda docs, values: F.greatest(F.ceil(F.col(docs) / F.lit(block_docs)), F.ceil(F.col(values) / F.lit(block_values)))
+    homes = guests.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("values")).select("home", shards("n", "values").alias("rooms"))
+    members = members.join(homes, F.col("label") == F.col("home"), "left_semi").withColumn("home", F.col("label"))
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("values")).select("home", shards("n", "values").alias("own"))
+    sizes = common.hinted(common.staged(sizes.join(homes, "home"), "homes"))
     part = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    here = members.join(common.hinted(sizes), "home").select("node", F.lit(False).alias("guest"), "home", part("own").alias("low"), each("rooms").alias("high"))
-    there = guests.join(common.hinted(sizes), "home").select("node", F.lit(True).alias("guest"), "home", each("own").alias("low"), part("rooms").alias("high"))
+    here = members.join(sizes, "home").select("home", "node", "label", F.lit(1).alias("side"), F.negative(part("own") + 1).alias("low"), each("rooms").alias("high"))
+    there = guests.join(sizes, "home").withColumn("mine", part("rooms"))
+    visits = there.select("home", "node", "label", F.lit(0).alias("side"), each("own").alias("low"), F.col("mine").alias("high")).withColumn("low", F.negative(F.col("low") + 1))
+    among = there.withColumn("with", each("rooms"))
+    side = F.when(F.col("with") == F.col("mine"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
+    among = among.select("home", "node", "label", side.alias("side"), F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(here.union(there).hint("merge"), "node")
+    rows = texts.join(here.union(visits).union(among).hint("merge"), "node")
     return rows.groupBy("home", "low", "high").applyInArrow(meet, "a long, b long")
 
 
@@ -283,7 +260,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int,
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("la").alias("node")), F.struct(F.col("b").alias("doc"), F.col("lb").alias("node")))).alias("x")).select("x.*").distinct()
     known = ends.join(classes.select(F.col("node").alias("doc"), "n_shingles"), "doc").join(component, "node")
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("values"))
-    weight = pairs.join(component.withColumnRenamed("node", "la"), "la").groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    weight = pairs.groupBy(F.col("la").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(component, "node").groupBy("component").agg(F.sum("n").alias("pairs"))
     shards = F.greatest(F.ceil(F.col("docs") / F.lit(cell_docs)), F.ceil(F.sqrt(2 * F.col("pairs") / F.lit(cell_pairs))), F.ceil(2 * F.col("values") / F.lit(cell_values)))
     sizes = sizes.join(weight, "component").select("component", shards.alias("shards"))
     shard = component.join(sizes, "component").select("node", "component", "shards")
@@ -336,7 +313,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, wide_reach: int = 8, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, crowd_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, block_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
     sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
@@ -360,16 +337,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
     links = full.select("node", "set_key").join(again, "node", "left_semi").join(firsts, "set_key").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = common.staged(links, "repeated")
     component = connected_components(links)
-    for width in (reach, wide_reach):
-        more = links_of(candidates(placed(component), least_depth, width, percent / 100))
-        if not more.isEmpty():
-            links = links.union(more)
-            component = connected_components(links)
-    crowd = common.staged(crowd_members(placed(component), least_depth, wide_reach), "crowds")
-    if not crowd.isEmpty():
-        links = links.union(links_of(crowded_candidates(crowd, least_depth, trees, percent / 100, crowd_rows)))
+    links = links.union(links_of(candidates(placed(component), least_depth, reach, percent / 100)))
+    component = connected_components(links)
+    guests = common.staged(crowd_guests(placed(component), least_depth, reach), "guests")
+    if not guests.isEmpty():
         members = classes.join(component.withColumnRenamed("component", "label"), "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
-        links = links.union(common.staged(visits(docs, crowd, members, words, percent, crowd_rows, cell_values, id_col, text_col), "visits"))
+        links = links.union(common.staged(meetings(docs, guests, members, words, percent, block_docs, cell_values, id_col, text_col), "meetings"))
         component = connected_components(links)
     named = firsts.join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     rows = sketches.select("node", "null_id", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -709,21 +709,21 @@ def test_near_dedup_crowd(spark, size):
         if x != y:
             component = [x if c == y else c for c in component]
     assert size / 20 < len(set(component)) < size
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd_rows=300).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=200).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(component))
 
 
 def test_near_dedup_pairs_above_a_crowd(spark):
-    """3,000 documents in pairs of similarity 0.81, all others at 0.786: every link, and no more."""
+    """1,500 documents in pairs of similarity 0.81, all others at 0.786: every link, and no more."""
     base = [f"b{k}" for k in range(503)]
     rows = []
-    for k in range(3000):
+    for k in range(1500):
         words = list(base)
         for nth, place in enumerate(range(10, 500, 33)):
             words[place] = f"p{k // 2}x{nth}" if nth < 2 else f"d{k}x{nth}"
         rows.append((k, " ".join(words)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(3000)}
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(1500)}
 
 
 def test_near_dedup_odd_tables(spark, docs, empty, corpus):
