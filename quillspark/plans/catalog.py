@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import changes, chats, chunking, filters, gates, retrieval, stats, terms
+from ..operators import changes, chats, chunking, filters, gates, retrieval, scopes, stats, terms
 from ..sources import corpus
 from ..sources.corpus import with_views
 
@@ -608,6 +609,68 @@ def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return terms.expanded_queries(asked, words)
 
 
+# scopes and endings of turns
+
+
+@query("""SELECT s_suppkey AS alias_id, lower(s_name) AS normalized_alias, n_name AS canonical_term, 'ORG' AS term_type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey % 2 = 1 AND n_nationkey % 4 <> 0""")
+def active_term_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    active = F.when(F.col("n_nationkey") % 4 != 0, "active").otherwise("retired")
+    entries = corpus.table(spark, folder, "nation").select(F.col("n_nationkey").alias("term_id"), F.col("n_name").alias("canonical_term"), F.lit("ORG").alias("term_type"), (F.col("n_regionkey") % 2).alias("dict_version"), active.alias("status"))
+    aliases = corpus.table(spark, folder, "supplier").select(F.col("s_nationkey").alias("term_id"), F.col("s_suppkey").alias("alias_id"), F.lower("s_name").alias("normalized_alias"))
+    return scopes.active_aliases(aliases, entries, spark.range(1).select(F.lit(1).alias("current_version"))).drop("term_id")
+
+
+@query("""WITH c AS (SELECT n_nationkey AS request_id, n_regionkey AS chat_id, lower(left(n_name, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 20 END)) AS want FROM nation),
+ h AS (SELECT request_id, count_if(lower(n_name) = want) AS e, count_if(contains(lower(n_name), want)) AS p, min(CASE WHEN lower(n_name) = want THEN n_nationkey END) AS e1, min(CASE WHEN contains(lower(n_name), want) THEN n_nationkey END) AS p1
+ FROM c JOIN nation ON n_regionkey = chat_id GROUP BY 1)
+ SELECT request_id, CASE WHEN e = 1 OR (e = 0 AND p = 1) THEN 'resolved' WHEN e > 1 OR p > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status,
+ CASE WHEN e = 1 THEN CAST(e1 AS VARCHAR) WHEN e = 0 AND p = 1 THEN CAST(p1 AS VARCHAR) ELSE '' END AS uploads FROM h""")
+def upload_name_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    nation = corpus.table(spark, folder, "nation")
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.substring("n_name", 1, 2)).otherwise(F.col("n_name"))
+    asked = nation.select(F.col("n_nationkey").alias("request_id"), F.col("n_regionkey").alias("chat_id"), F.lit(0).alias("seq"), F.concat(F.lit(" compare "), name, F.lit(",")).alias("candidate"))
+    stored = nation.select(F.col("n_regionkey").alias("chat_id"), F.col("n_nationkey").cast("string").alias("upload_id"), F.col("n_name").alias("filename"))
+    return scopes.resolved_uploads(asked, stored).select("request_id", "status", F.array_join("upload_ids", ",").alias("uploads"))
+
+
+@query("""WITH e AS (SELECT user_id AS chat_id, ts AS moment, 1 AS step, CAST(event_id AS VARCHAR) AS upload_id FROM events UNION ALL
+ SELECT user_id, ts + INTERVAL 2 HOUR, -1, CAST(event_id AS VARCHAR) FROM events WHERE event_id % 5 <> 0),
+ r AS (SELECT *, sum(step) OVER (PARTITION BY chat_id ORDER BY moment, step, upload_id) - step AS prior FROM e)
+ SELECT chat_id, max_by(upload_id, (moment, upload_id)) AS anchor FROM r WHERE step = 1 AND prior = 0 GROUP BY 1""")
+def upload_session_anchor(spark: SparkSession, folder: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    rows = corpus.table(spark, folder, "events").select(F.col("user_id").alias("chat_id"), F.col("event_id").cast("string").alias("upload_id"), at.alias("uploaded_at"), F.when(F.col("event_id") % 5 != 0, at + F.expr("INTERVAL 2 HOURS")).alias("removed_at"))
+    return scopes.upload_anchors(rows)
+
+
+@query(with_views("""+m AS (SELECT *, max(turn) OVER (PARTITION BY chat_id) AS last FROM chat_messages),
+ p AS (SELECT chat_id AS prompt_id, CASE WHEN turn = last THEN 'question' ELSE 'history' END AS kind, turn AS seq, length(content) AS tokens FROM m UNION ALL SELECT chat_id, 'chunk', turn, length(content) // 2 FROM m WHERE role = 'assistant'),
+ t AS (SELECT prompt_id, sum(tokens) - 300 AS over, sum(CASE WHEN kind = 'history' THEN tokens ELSE 0 END) AS h, sum(CASE WHEN kind = 'chunk' THEN tokens ELSE 0 END) AS c FROM p GROUP BY 1),
+ x AS (SELECT p.*, over, h, c, coalesce((SELECT sum(tokens) FROM p q WHERE q.prompt_id = p.prompt_id AND q.kind = p.kind AND q.seq < p.seq), 0) AS before, coalesce((SELECT sum(tokens) FROM p q WHERE q.prompt_id = p.prompt_id AND q.kind = p.kind AND q.seq > p.seq), 0) AS after FROM p JOIN t USING (prompt_id))
+ SELECT prompt_id, kind, seq, tokens, over <= 0 OR h >= over OR c >= over AS fits FROM x
+ WHERE over <= 0 OR CASE WHEN h >= over THEN kind <> 'history' OR before >= over WHEN c >= over THEN kind <> 'chunk' OR after >= over ELSE true END""", "chat_messages"))
+def prompt_truncation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus.chat_messages(spark, folder).withColumn("last", F.max("turn").over(Window.partitionBy("chat_id")))
+    said = rows.select(F.col("chat_id").alias("prompt_id"), F.when(F.col("turn") == F.col("last"), "question").otherwise("history").alias("kind"), F.col("turn").alias("seq"), F.length("content").cast("long").alias("tokens"))
+    found = rows.filter("role = 'assistant'").select(F.col("chat_id").alias("prompt_id"), F.lit("chunk").alias("kind"), F.col("turn").alias("seq"), F.expr("length(content) div 2").alias("tokens"))
+    return scopes.fitted_prompts(said.unionByName(found), 300)
+
+
+@query("""WITH d AS (SELECT event_id AS id, event_id % 5 AS m, event_id % 2 = 0 AS t, event_id % 3 AS tr, event_id % 7 = 0 AS rem, event_id % 11 = 0 AS st, event_id % 4 AS r FROM events),
+ a AS (SELECT *, CASE m WHEN 0 THEN 'complete' WHEN 1 THEN 'stopped' WHEN 2 THEN 'scoped_complete' ELSE CASE WHEN t THEN 'partial' ELSE 'complete' END END AS mode FROM d),
+ b AS (SELECT *, rem OR (t AND tr <> 0) OR mode = 'stopped' AS rest FROM a),
+ c AS (SELECT id, t, r, rest, CASE WHEN rest AND mode = 'complete' THEN 'scoped_complete' ELSE mode END AS mode,
+ CASE WHEN st THEN 'regenerate' WHEN r = 1 THEN 'none' WHEN r = 2 THEN 'regenerate' WHEN NOT rest THEN 'none' ELSE 'continue' END AS next_action,
+ CASE WHEN st THEN 'stopped' WHEN r = 1 THEN NULL WHEN r = 2 THEN 'stalled' WHEN NOT rest THEN NULL WHEN r = 3 THEN 'budget_exhausted' WHEN t THEN 'timeout' ELSE 'unresolved_content' END AS next_action_reason FROM b)
+ SELECT id, CASE WHEN (next_action = 'none' OR next_action_reason = 'stalled') AND mode IN ('scoped_complete', 'partial') THEN 'complete' ELSE mode END AS completion_mode,
+ CASE WHEN next_action = 'none' OR next_action_reason = 'stalled' THEN false ELSE rest END AS has_remaining_scope, next_action, next_action_reason FROM c""")
+def completion_states(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("event_id")
+    mode = F.when(i % 5 == 0, " Complete").when(i % 5 == 1, "stopped").when(i % 5 == 2, "scoped_complete").when(i % 5 == 3, "unheard of")
+    late, why = F.when(i % 3 == 0, "queue_wait_timeout").otherwise("idle"), F.when(i % 4 == 1, "first_token_watchdog_timeout").when(i % 4 == 2, scopes.STALLED).when(i % 4 == 3, scopes.OUT_OF_PASSES)
+    return corpus.table(spark, folder, "events").select(i.alias("id"), scopes.completion(mode, i % 2 == 0, late, i % 7 == 0, i % 11 == 0, why).alias("x")).select("id", "x.*")
+
+
 # relational base
 
 

@@ -136,3 +136,16 @@ def test_streams_equal_batch(spark, tmp_path):
     seen = []
     events.upsert_batches(stream, lambda batch, epoch: seen.append(batch.count()), f"{tmp_path}/c2")
     assert sum(seen) == 120
+
+
+def test_upload_sessions_and_headings(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import scopes
+
+    rows = [(1, "a", 1, 3), (1, "b", 3, None), (2, "c", 1, 4), (2, "d", 2, 6), (2, "e", 5, 7), (3, "x", None, 1), (3, "y", 2, None), (3, "z", 3, None)]
+    df = spark.createDataFrame(rows, "chat_id int, upload_id string, uploaded_at int, removed_at int")
+    assert {r.chat_id: r.anchor for r in scopes.upload_anchors(df).collect()} == {1: "b", 2: "c", 3: "y"}
+    df = spark.createDataFrame([("# One\n text\n## The  second. \n",), (None,)], "a string")
+    found = df.select(scopes.missing_headings(F.col("a"), F.array(F.lit("one:"), F.lit("Third"), F.lit("the second"))).alias("m")).collect()
+    assert [r.m for r in found] == [["Third"], ["one:", "Third", "the second"]]
