@@ -44,11 +44,10 @@ PARTS_A_BLOCK = 1000
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 OTHER = re.compile(rf"[^\t\n\r -~{LETTERS}]")
 #: The byte-level pre-tokenizer's pattern over those characters.
-PRETOKEN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+PRETOKEN = re.compile(rf" ?[{LETTERS}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s0-9{LETTERS}]++|\s+(?!\S)|\s+")
 WORD = re.compile(rf" [{LETTERS}]+")
-#: The byte-level alphabet: bytes that print stand for themselves, the others for the code points from 256 on.
-PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTING)}
+#: How the byte-level alphabet writes a space.
+SPACE = "\u0120"
 LONG = 64
 #: Elsewhere, a space is a boundary of pre-tokens if a non-space stands before or after it.
 SURE = re.compile(r"(?<=\S)(?= )|(?= \S)")
@@ -64,18 +63,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # the library's own cache of words holds what the memo has already
+            model._resize_cache(0)
+            self.tokenizer.model = model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.memo: dict[str, bytes] = {}
         self.held, self.limit = 0, memo_chars
 
     def learn(self, pieces: list[str]) -> None:
-        tokenize = self.tokenizer.model.tokenize
-        for word in filter(WORD.fullmatch, pieces):  # one pre-token each: straight to the merge model
-            self.memo[word] = np.array([x.id for x in tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))], self.width).tobytes()
-        rest = [x for x in pieces if not WORD.fullmatch(x)]
+        encode = self.tokenizer.encode_batch_fast
+        words, rest = [], []
+        for piece in pieces:
+            (words if WORD.fullmatch(piece) else rest).append(piece)
+        for at in range(0, len(words), 4096):  # a word's space is its only one: the tokens that begin with it tell the words apart
+            some = words[at : at + 4096]
+            ids = np.array(encode(["".join(some)], add_special_tokens=False)[0].ids, self.width)
+            raw, starts = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * ids.itemsize).tolist()
+            if len(starts) != len(some):
+                raise ValueError("not a byte-level vocabulary")
+            self.memo.update((w, raw[a:b]) for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True))
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for piece, found in zip(some, encode(some, add_special_tokens=False), strict=True):
                 self.memo[piece] = np.array(found.ids, self.width).tobytes()
 
     def pieces(self, text: str) -> list[str]:
@@ -84,24 +96,26 @@ class Encoder:
         return SURE.split(text) if "<|" in text or OTHER.search(text) else PRETOKEN.findall(text)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; every piece is looked up once, and only those that the memo lacks again."""
         cut = [self.pieces(x) for x in texts]
-        every = set().union(*cut)
-        new = every.difference(self.memo)
+        found = [list(map(self.memo.get, x)) for x in cut]
+        gaps = [[k for k, ids in enumerate(x) if ids is None] for x in found]
+        new = {pieces[k] for pieces, gap in zip(cut, gaps, strict=True) for k in gap}
         if new:
             size = sum(map(len, new))
-            if self.held + size > self.limit:  # a fresh memo must hold all that these texts need
+            if self.held + size > self.limit:
                 self.memo.clear()
-                self.held, new, size = 0, every, sum(map(len, every))
+                self.held = 0
             self.held += size
             self.learn(list(new))
-        get = self.memo.__getitem__
-        found = [np.frombuffer(b"".join(map(get, x)), self.width) for x in cut]
+            for pieces, row, gap in zip(cut, found, gaps, strict=True):
+                for k in gap:
+                    row[k] = self.memo[pieces[k]]
         for piece in new:
             if len(piece) > LONG:
                 del self.memo[piece]
                 self.held -= len(piece)
-        return found
+        return [np.frombuffer(b"".join(x), self.width) for x in found]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -115,7 +129,7 @@ def encoder(path: str) -> Encoder:
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """The bytes of one file."""
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     counts = np.bincount(flat) if len(flat) else np.zeros(0, np.int64)
     used = np.flatnonzero(counts)
     table = used[np.argsort(-counts[used], kind="stable")].astype("<u4")
@@ -132,10 +146,14 @@ def pack_ranks(ranks: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.
     controls, datas = [], []
     for at in range(0, len(ranks), block):  # a multiple of four
         some = ranks[at : at + block].astype("<u4")
-        code = (some > 0xFF).astype(np.uint8) + (some > 0xFFFF) + (some > 0xFFFFFF)
+        code = (some > 0xFF).astype(np.uint8)
+        wide = 2
+        while some.max() >> 8 * wide:
+            code += some > (1 << 8 * wide) - 1
+            wide += 1
         full = np.concatenate((code, np.zeros(-len(code) % 4, np.uint8))).reshape(-1, 4)
         controls.append(full[:, 0] | full[:, 1] << 2 | full[:, 2] << 4 | full[:, 3] << 6)
-        datas.append(some.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]])
+        datas.append(some.view(np.uint8).reshape(-1, 4)[:, :wide][np.arange(wide) <= code[:, None]])
     empty = np.zeros(0, np.uint8)
     return np.concatenate([empty, *controls]).astype(np.uint8), np.concatenate([empty, *datas])
 
