@@ -102,3 +102,43 @@ def missing_headings(answer: Column, required: Column) -> Column:
     """Required headings that an answer lacks, in their order."""
     present = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"(?m)^\s{0,3}#{1,6}\s+(.+?)\s*$"), F.lit(1)), heading_key)
     return F.filter(required, lambda x: ~F.array_contains(present, heading_key(x)))
+
+
+#: The kind of scope that is the whole indexed corpus, and types of content that may be uploaded.
+CORPUS_SCOPE = "indexed_corpus"
+UPLOAD_TYPES = ["text", "application/pdf", "application/epub+zip", "application/json", "application/xml", "application/vnd.openxmlformats-officedocument", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/msword"]
+
+
+def uploads_of(attachments: DataFrame, chats: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """Uploads of the given chats in the order they came, those in state ``deleted`` only on demand."""
+    rows = attachments if include_deleted else attachments.filter("state <> 'deleted'")
+    return rows.join(chats.select("chat_id").distinct(), "chat_id", "left_semi").orderBy("chat_id", "uploaded_at", "id")
+
+
+def uploadable(filename: Column, content_type: Column, extensions: list[str]) -> Column:
+    """Whether a file's last extension is among those supported (``.txt`` and ``.md`` always) and its type, if told, is too."""
+    name = F.element_at(F.split(F.coalesce(filename, F.lit("")), "/", -1), -1)
+    ext = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    base = F.trim(F.substring_index(F.lower(F.trim(F.coalesce(content_type, F.lit("")))), ";", 1))
+    known = [base.startswith(x) for x in UPLOAD_TYPES]
+    typed = base == ""
+    for one in known:
+        typed = typed | one
+    return ext.isin(sorted({*extensions, ".txt", ".md"})) & typed
+
+
+def scope_key(kind: Column, key: Column) -> Column:
+    """A scope's key as it is compared: that of the whole corpus carries its generation, 0 where it is not told or negative."""
+    plain, given = F.trim(F.coalesce(key, F.lit(""))), rf"^{CORPUS_SCOPE}\|g:\s*([+-]?)0*([0-9]+)$"
+    number = F.when(F.regexp_extract(plain, given, 1) == "-", "0").otherwise(F.regexp_extract(plain, given, 2))
+    corpus = F.when(plain == CORPUS_SCOPE, f"{CORPUS_SCOPE}|g:0").when(plain.rlike(given), F.concat(F.lit(f"{CORPUS_SCOPE}|g:"), number)).otherwise(plain)
+    return F.when(kind == CORPUS_SCOPE, corpus).otherwise(plain)
+
+
+def in_scope(said_mode: Column, said_kind: Column, said_key: Column, mode: Column, kind: Column, key: Column) -> Column:
+    """Whether a message belongs to a turn's history: all do, but in mode ``researcher`` those of another mode or scope, or of none, don't."""
+    plain = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    same_mode = plain(said_mode).isin("", "researcher")
+    told = (plain(said_kind) != "") & (plain(said_key) != "")
+    same = (plain(said_kind) == kind) & (scope_key(plain(said_kind), said_key) == scope_key(kind, key))
+    return F.coalesce(mode != "researcher", F.lit(True)) | (same_mode & told & F.coalesce(same, F.lit(False)))

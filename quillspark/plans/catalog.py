@@ -671,6 +671,31 @@ def completion_states(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.table(spark, folder, "events").select(i.alias("id"), scopes.completion(mode, i % 2 == 0, late, i % 7 == 0, i % 11 == 0, why).alias("x")).select("id", "x.*")
 
 
+@query("SELECT user_id AS chat_id, event_id AS id, ts AS uploaded_at FROM events WHERE event_type IS DISTINCT FROM 'error'")
+def chat_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    e = corpus.table(spark, folder, "events")
+    rows = e.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("id"), F.col("ts").alias("uploaded_at"), F.when(F.col("event_type") == "error", "deleted").otherwise("active").alias("state"))
+    return scopes.uploads_of(rows, rows).drop("state")
+
+
+@query("""SELECT doc_id, doc_id % 6 < 3 AND coalesce(source, '') <> '' AND NOT (doc_id % 5 = 4) AS allowed FROM documents""")
+def upload_policy(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("doc_id")
+    ending = F.element_at(F.array(*map(F.lit, [".md", ".TXT", ".tar.pdf", ".exe", "", "pdf"])), (i % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, [" Text/Plain; charset=utf-8", "", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "; q=1", "image/png"])), (i % 5 + 1).cast("int"))
+    return corpus.table(spark, folder, "documents").select("doc_id", scopes.uploadable(F.concat(F.coalesce("source", F.lit("")), ending), kind, [".pdf"]).alias("allowed"))
+
+
+@query("""SELECT conv_id, turn, conv_id % 3 <> 0 OR (turn % 4 <> 3 AND turn % 5 IN (0, 1, 2)) AS seen FROM conversations""")
+def history_scope(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("turn")
+    said = F.element_at(F.array(*map(F.lit, [" ", "researcher", "", "assistant"])), (t % 4 + 1).cast("int"))
+    key = F.element_at(F.array(*map(F.lit, ["indexed_corpus", " indexed_corpus|g:000 ", "indexed_corpus|g:-4", "indexed_corpus|g:10", ""])), (t % 5 + 1).cast("int"))
+    mode = F.when(F.col("conv_id") % 3 == 0, "researcher").otherwise("assistant")
+    seen = scopes.in_scope(said, F.lit("indexed_corpus"), key, mode, F.lit("indexed_corpus"), F.lit("indexed_corpus|g:0"))
+    return corpus.table(spark, folder, "conversations").select("conv_id", "turn", seen.alias("seen"))
+
+
 # relational base
 
 

@@ -149,3 +149,24 @@ def test_upload_sessions_and_headings(spark):
     df = spark.createDataFrame([("# One\n text\n## The  second. \n",), (None,)], "a string")
     found = df.select(scopes.missing_headings(F.col("a"), F.array(F.lit("one:"), F.lit("Third"), F.lit("the second"))).alias("m")).collect()
     assert [r.m for r in found] == [["Third"], ["one:", "Third", "the second"]]
+
+
+def test_upload_rules_and_history_scope(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import scopes
+
+    rows = [("a.md", None, True), ("dir.x/README", "text/plain", False), (".bashrc", "", False), ("a.PDF", " Application/PDF ; v=1", True), ("a.txt", "image/png", False), (None, None, False), ("a.", None, False)]
+    df = spark.createDataFrame(rows, "name string, kind string, want boolean")
+    assert not df.filter(scopes.uploadable(F.col("name"), F.col("kind"), [".pdf"]) != F.col("want")).count()
+    up = spark.createDataFrame([(1, 2, 5, "deleted"), (1, 3, 4, "active"), (2, 1, 1, "active"), (1, 1, 4, "ready")], "chat_id int, id int, uploaded_at int, state string")
+    chats = spark.createDataFrame([(1,), (1,), (None,)], "chat_id int")
+    assert [r.id for r in scopes.uploads_of(up, chats).collect()] == [1, 3]
+    assert [r.id for r in scopes.uploads_of(up, chats, include_deleted=True).collect()] == [1, 3, 2]
+    corpus, other = "indexed_corpus", "uploads"
+    rows = [(None, corpus, "indexed_corpus|g:07", corpus, "indexed_corpus|g:7", True), ("researcher", other, "indexed_corpus", other, "indexed_corpus|g:0", False), ("x", other, "k", other, " k", False),
+            ("", other, "k", other, " k", True), ("", other, None, other, None, False), ("", corpus, "indexed_corpus|g:x", corpus, "indexed_corpus", False)]
+    df = spark.createDataFrame(rows, "m string, k string, s string, kind string, key string, want boolean")
+    seen = lambda mode: scopes.in_scope(F.col("m"), F.col("k"), F.col("s"), F.lit(mode), F.col("kind"), F.col("key"))
+    assert [r.x for r in df.select(seen("researcher").alias("x")).collect()] == [r[5] for r in rows]
+    assert df.filter(seen("assistant")).count() == len(rows)
