@@ -65,17 +65,22 @@ def term_inventory(entries: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def expanded_queries(queries: DataFrame, aliases: DataFrame, most: int = 6) -> DataFrame:
-    """(query_id, canonical, how): aliases that a query holds as a word, or that are within one edit of one of its longer words.
+    """(query_id, canonical, how): aliases that a query holds as a phrase (0) or as a word (1), or that are within one edit of
+    one of its longer words (2).
 
-    Words meet aliases by equality; near words meet on a shared half, as one edit leaves one half of a word untouched.
+    Phrases meet queries on their first word and are then looked for whole; words meet aliases by equality; near words meet
+    on a shared half, as one edit leaves one half of a word untouched.
     """
     words = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("word"))
     alias = aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical")
+    phrases = alias.filter(F.contains("alias", F.lit(" "))).withColumn("word", F.substring_index("alias", " ", 1))
+    said = queries.select("query_id", F.concat(F.lit(" "), T.term_text(F.col("query")), F.lit(" ")).alias("said"))
+    phrase = words.join(phrases, "word").join(said, "query_id").filter(F.contains("said", F.concat(F.lit(" "), "alias", F.lit(" ")))).select("query_id", "canonical", F.lit(0).alias("how"))
     exact = words.join(alias, F.col("word") == F.col("alias")).select("query_id", "canonical", F.lit(1).alias("how"))
     halves = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 3)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(3))))))
     near = words.filter(F.length("word") >= 6).withColumn("half", halves("word")).join(alias.filter(F.length("alias") >= 5).withColumn("half", halves("alias")), "half")
     near = near.filter((F.col("word") != F.col("alias")) & T.near_word(F.col("word"), F.col("alias"))).select("query_id", "canonical", F.lit(2).alias("how"))
-    rows = exact.unionByName(near).groupBy("query_id", "canonical").agg(F.min("how").alias("how"))
+    rows = phrase.unionByName(exact).unionByName(near).groupBy("query_id", "canonical").agg(F.min("how").alias("how"))
     w = Window.partitionBy("query_id").orderBy("how", "canonical")
     return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("nth")
 

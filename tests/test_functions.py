@@ -170,3 +170,28 @@ def test_upload_rules_and_history_scope(spark):
     seen = lambda mode: scopes.in_scope(F.col("m"), F.col("k"), F.col("s"), F.lit(mode), F.col("kind"), F.col("key"))
     assert [r.x for r in df.select(seen("researcher").alias("x")).collect()] == [r[5] for r in rows]
     assert df.filter(seen("assistant")).count() == len(rows)
+
+
+def test_query_expansion_against_brute_force(spark):
+    import re
+
+    from quillspark.operators import terms
+
+    queries = [(1, "Annual Report-2020 of the health  board"), (2, "the healt reports, annual"), (3, ""), (4, None), (5, "report annual report"), (6, "heealth annual_report"), (6, "boards")]
+    aliases = [("annual report", "Report, annual"), ("Report 2020", "R20"), ("health", "Health"), ("board", "Board"), ("report", "Report"), ("annual report", "Yearly"), ("reports annual", "X"), ("of the", "The")]
+    norm = lambda x: re.sub(r"[\W_]+", " ", (x or "").lower()).strip()
+
+    def one_edit(a, b):
+        cut = [(a[:k], a[k:]) for k in range(len(a) + 1)]
+        near = {x + y[1:] for x, y in cut if y} | {x + c + y[1:] for x, y in cut if y for c in b} | {x + c + y for x, y in cut for c in b}
+        return b in near and a != b
+
+    want = {}
+    for query_id, query in queries:
+        words = norm(query).split()
+        for alias, canonical in ((norm(a), c) for a, c in aliases):
+            how = 0 if " " in alias and f" {alias} " in f" {norm(query)} " else 1 if alias in words else 2 if len(alias) >= 5 and any(len(w) >= 6 and one_edit(w, alias) for w in words) else None
+            if how is not None:
+                want[query_id, canonical] = min(how, want.get((query_id, canonical), 9))
+    got = terms.expanded_queries(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(aliases, "alias string, canonical string"), most=20)
+    assert {(r.query_id, r.canonical): r.how for r in got.collect()} == want and {0, 1, 2} <= set(want.values())
