@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -69,11 +70,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(common.table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives, relabelled
+
+    return mine_hard_negatives(common.table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabelled())
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op5_mixing, op6_html_text, op7_warc, op8_decontamination, op9_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_ids, op3_line_dedup, op4_substring_dedup, op5_mixing, op6_html_text, op7_warc, op8_decontamination, op9_quality_rules, op10_near_dedup, op11_source_divergence, op12_hard_negatives, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, mixing, near_dedup, quality, substring_dedup
+    from . import divergence, hard_negatives, line_dedup, mixing, near_dedup, ngram_join, quality, substring_dedup
 
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_ngram_join": ngram_join.ORACLE_SQL}
