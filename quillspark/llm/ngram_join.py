@@ -8,12 +8,14 @@ subset of n2 - 1 sub-partitions. Every subset of n2 - 1 of each partition is a s
 n1 is larger than k // 2 by ``spare`` partitions, so that a set with fewer weak partitions than that (a subset holds less than
 two of its elements) can leave weak signatures out; other sets keep all.
 
-Sets that share a signature form a star: its least member is the centre, the others are visitors. First every visitor meets
-its centres, with full sets. Links give labels (components). Where the visitors of a centre still have several labels, those
-of its most frequent label are residents, the others guests: guests meet all residents and each other. Both kinds of
-meeting take place in blocks of about ``block_docs`` sets and ``block_values`` shingles; within a block shared shingles are
-counted by matrix products, and only links that join something leave it, never pairs. Nothing is probabilistic but 64-bit
-hashes (of shingles and of sets).
+Sets that share a signature form a star: its least member is the centre, the others are visitors. Visitors meet their centres:
+first the least of them, and after links have given labels (components), the others of other labels. Where the visitors of a
+centre have several labels, those of its most frequent label are residents, the others guests: guests meet all residents and
+each other. Meetings take place in blocks of about ``block_docs`` sets and ``block_values`` shingles, in two steps. First only
+parity sketches travel: bit i tells whether an odd number of shingles fall on i, so that two sketches differ in no more bits than
+the sets differ in elements, and a set that no other in its block can be similar to leaves. Then the texts of those left
+travel, shared shingles are counted by matrix products, and only links that join something leave the block, never pairs.
+Nothing is probabilistic but 64-bit hashes (of shingles and of sets).
 
 Documents of equal sets are one class from the start. Null or blank text: empty set, linked with nothing, its component is
 its own id. Rows that share an id (not null) are joined. A component is named by its smallest id that isn't null, a component
@@ -187,6 +189,51 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parities of how many elements fall on each of 1,024 bits, or of as many as there are elements."""
+    bits = 1024
+    while bits < len(values):
+        bits *= 2
+    return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits each left sketch differs from each right one; the longer of two is folded onto the shorter."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    folded: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def rows(side: int, sketches: list[bytes], some: np.ndarray, size: int, to: int) -> np.ndarray:
+        if (side, size, to) not in folded:
+            held = np.frombuffer(b"".join(sketches[k] for k in some.tolist()), np.uint64).reshape(len(some), size // to, to // 8)
+            folded[side, size, to] = np.bitwise_xor.reduce(held, axis=1)
+        return folded[side, size, to]
+
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    for m in np.unique(sizes[0]).tolist():
+        for n in np.unique(sizes[1]).tolist():
+            i, j, to = np.flatnonzero(sizes[0] == m), np.flatnonzero(sizes[1] == n), min(m, n)
+            a, b = rows(0, left, i, m, to), rows(1, right, j, n, to)
+            step = max(1, (1 << 22) // max(1, b.size))
+            for at in range(0, len(i), step):
+                out[np.ix_(i[at : at + step], j)] = np.bitwise_count(a[at : at + step, None] ^ b[None]).sum(2, dtype=np.int64)
+    return out
+
+
+def promising(labels: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a block may be similar to one of another label on the other side, by sizes and sketches."""
+    left, right, name = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0), np.array(labels)
+    m, n = sizes[left][:, None], sizes[right]
+    may = (name[left][:, None] != name[right]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+    i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    keep = np.zeros(len(labels), bool)
+    if len(i):
+        bits = differing([sketches[k] for k in left[i].tolist()], [sketches[k] for k in right[j].tolist()])
+        may = may[np.ix_(i, j)] & ((100 + percent) * bits <= (100 - percent) * (m[i] + n[j]))
+        keep[left[i[may.any(1)]]] = True
+        keep[right[j[may.any(0)]]] = True
+    return keep
+
+
 def joined(classes: list[int], labels: list[int], sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between left (side 0, or 2 for both) and right (1 or 2) sets of different labels, without those that join nothing new."""
     left, right = np.flatnonzero(sides != 1).tolist(), np.flatnonzero(sides != 0).tolist()
@@ -213,30 +260,53 @@ def joined(classes: list[int], labels: list[int], sides: np.ndarray, sets: list[
     return found
 
 
-def met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the blocks (home, low, high) of (home, low, high, class, label, side)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+BLOCK = ["home", "low", "high", "class", "label", "side"]
+BLOCK_DDL = "home long, low long, high long, class long, label long, side int"
+
+
+def in_blocks(rows: DataFrame, traits: DataFrame, columns: list[str], work, schema: pa.Schema, ddl: str) -> DataFrame:
+    """What ``work`` makes of each block (home, low, high), one at a time, from its rows with these columns of the traits."""
 
     def run(batches):
-        def links():
+        def found():
             key, held = None, []
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if row[:3] != key:
-                        yield from block(held)
+                        yield from work(held) if held else ()
                         key, held = row[:3], []
                     held.append(row)
-            yield from block(held)
+            yield from work(held) if held else ()
+
+        yield from common.batches_of(found(), schema)
 
-        def block(held):
-            if held:
-                _, _, _, classes, labels, sides, blobs = zip(*held, strict=True)
-                yield from joined(classes, labels, np.array(sides), [np.frombuffer(x, np.uint64) for x in blobs], percent)
+    placed = rows.join(traits.select("class", *columns).hint("merge"), "class").select(*BLOCK, *columns)
+    return placed.repartition("home", "low", "high").sortWithinPartitions("home", "low", "high").mapInArrow(run, ddl)
 
-        yield from common.batches_of(links(), schema)
 
-    placed = rows.join(sets.hint("merge"), "class").select("home", "low", "high", "class", "label", "side", "shingles")
-    return placed.repartition("home", "low", "high").sortWithinPartitions("home", "low", "high").mapInArrow(run, "a long, b long")
+def left_over(rows: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks without sets that can't be similar to any other there."""
+    schema = pa.schema([*((x, pa.int64()) for x in BLOCK[:5]), ("side", pa.int32())])
+
+    def work(held):
+        keep = promising([r[4] for r in held], np.array([r[5] for r in held]), np.array([r[6] for r in held]), [r[7] for r in held], percent)
+        return [held[k][:6] for k in np.flatnonzero(keep).tolist()]
+
+    return in_blocks(rows, traits, ["n_shingles", "sketch"], work, schema, BLOCK_DDL)
+
+
+def met(rows: DataFrame, traits: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within the blocks, by full sets."""
+
+    def work(held):
+        sets: list[np.ndarray] = []
+        texts = [r[6].encode() for r in held]
+        for some in common.groups(texts, 1 << 20):
+            values, first = shingle_sets([texts[k] for k in some], words)
+            sets += [values[first[j] : first[j + 1]].copy() for j in range(len(some))]
+        return joined([r[3] for r in held], [r[4] for r in held], np.array([r[5] for r in held]), sets, percent)
+
+    return in_blocks(rows, traits, ["text"], work, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
 
 
 def shards(docs: str, values: str, block_docs: int, block_values: int):
@@ -248,16 +318,21 @@ def each(column: str):
 
 
 def first_meetings(stars: DataFrame, block_docs: int, block_values: int) -> DataFrame:
-    """Blocks in which every visitor (centre, class, n) meets its centre."""
+    """Blocks (high is -1) in which every visitor (centre, class, n_shingles) meets its centre."""
     sizes = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("values")).select("centre", "n", shards("n", "values", block_docs, block_values).alias("rooms"))
     sizes = common.staged(sizes, "stars")
-    zero = F.lit(0).cast("long")
-    centres = sizes.select(F.col("centre").alias("home"), each("rooms").alias("low"), zero.alias("high"), F.col("centre").alias("class"), F.col("centre").alias("label"), F.lit(0).alias("side"))
+    high = F.lit(-1).cast("long").alias("high")
+    centres = sizes.select(F.col("centre").alias("home"), each("rooms").alias("low"), high, F.col("centre").alias("class"), F.col("centre").alias("label"), F.lit(0).alias("side"))
     visits = common.skew_join(stars, sizes, ["centre"], ["class"])
-    visits = visits.select(F.col("centre").alias("home"), F.pmod(F.xxhash64("class"), "rooms").alias("low"), zero.alias("high"), "class", F.col("class").alias("label"), F.lit(1).alias("side"))
+    visits = visits.select(F.col("centre").alias("home"), F.pmod(F.xxhash64("class"), "rooms").alias("low"), high, "class", F.col("class").alias("label"), F.lit(1).alias("side"))
     return centres.union(visits)
 
 
+def with_centres(visits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Visits and the centres of their blocks."""
+    return visits.union(rows.filter("side = 0").join(visits.select("home", "low").distinct(), ["home", "low"], "left_semi").select(*BLOCK))
+
+
 def later_meetings(stars: DataFrame, block_docs: int, block_values: int) -> DataFrame:
     """Blocks in which the visitors of a centre that have other labels than most meet all others of other labels.
 
@@ -278,21 +353,20 @@ def later_meetings(stars: DataFrame, block_docs: int, block_values: int) -> Data
     return keep(here, F.lit(1)).union(keep(visits, F.lit(0))).union(keep(among, side))
 
 
-def full_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the wanted classes, from the text of one row each; shingles as sorted 64-bit hashes."""
-    schema = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
+def class_traits(rows: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(class, n_shingles, sketch, text) of the wanted classes, from one row each."""
+    schema = pa.schema([("class", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        for _, some, values, first in _sets(batches, 0, words):
+        for batch, some, values, first in _sets(batches, 0, words):
             ends = first.tolist()
-            for at in range(0, len(some), 256):
-                held = [values[a:b] for a, b in zip(ends[at : at + 256], ends[at + 1 : at + 257], strict=False)]
-                yield common.to_batch([(class_key(x), x.tobytes()) for x in held], schema)
+            held = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_key(x) for x in held]), pa.array([len(x) for x in held]), pa.array([sketch(x) for x in held]), batch.column(0).slice(some.start, len(some))], schema=schema)
 
     one = sets.filter("class IS NOT NULL").groupBy("class").agg(F.min("row").alias("row")).join(wanted, "class", "left_semi")
     # rows that repeat lie together after the join, so that one of them is left without a further shuffle of the texts
     texts = rows.select("row", "text").join(one.select("row").distinct().hint("merge"), "row", "left_semi").dropDuplicates(["row"])
-    return texts.select("text").mapInArrow(run, "class long, shingles binary")
+    return texts.select("text").mapInArrow(run, "class long, n_shingles long, sketch binary, text string")
 
 
 def ngram_links(docs: DataFrame, words: int, percent: int, block_docs: int, block_values: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -302,14 +376,21 @@ def ngram_links(docs: DataFrame, words: int, percent: int, block_docs: int, bloc
     sets = common.staged(set_rows(rows, words), "sets")
     stars = common.staged(star_links(rows.select("text"), words, percent), "star-links")
     ends = stars.select("class").union(stars.select("centre")).distinct()
-    full = common.staged(full_sets(rows, sets, ends, words), "full-sets")
-    sizes = full.select("class", (F.length("shingles") / 8).cast("long").alias("n_shingles"))
-    stars = common.staged(stars.join(sizes, "class"), "sized-stars")
-    links = common.staged(met(first_meetings(stars, block_docs, block_values), full, percent), "first-links")
-    label = connected_components(links)
-    labelled = stars.join(label.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    later = common.staged(met(later_meetings(labelled, block_docs, block_values), full, percent), "later-links")
-    return sets, links.union(later)
+    traits = common.staged(class_traits(rows, sets, ends, words), "traits")
+    stars = common.staged(stars.join(traits.select("class", "n_shingles"), "class"), "sized-stars")
+    open_rows = common.staged(left_over(first_meetings(stars, block_docs, block_values), traits, percent), "first-blocks")
+    visits = open_rows.filter("side = 1")
+    least = visits.groupBy("class").agg(F.min("home").alias("least"))
+    visits = common.staged(visits.join(least, "class").withColumn("first", F.col("home") == F.col("least")).select(*BLOCK, "first"), "visits")
+    links = common.staged(met(with_centres(visits.filter("first").select(*BLOCK), open_rows), traits, words, percent), "first-links")
+    label = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("new"))
+    renamed = lambda df: df.join(label, "class", "left").withColumn("label", F.coalesce("new", F.col("class"))).drop("new")
+    homes = label.select(F.col("class").alias("home"), F.col("new").alias("at"))
+    rest = renamed(visits.filter("NOT first").select(*BLOCK)).join(homes, "home", "left").filter(F.col("label") != F.coalesce("at", "home")).select(*BLOCK)
+    rest = with_centres(rest, renamed(open_rows))
+    later = left_over(later_meetings(renamed(stars.withColumn("label", F.col("class"))), block_docs, block_values), traits, percent)
+    again = common.staged(rest.unionByName(later), "later-blocks")
+    return sets, links.union(common.staged(met(again, traits, words, percent), "later-links"))
 
 
 def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs: int = 256, block_values: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
