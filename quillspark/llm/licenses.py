@@ -12,6 +12,7 @@ score 0. Equal rows give equal results. An empty table gives no row.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -179,24 +180,32 @@ class Scanner:
                 places[t].append((end - length + 1, k - length + 1, length, own))
 
     def chains(self, found: list[tuple[int, int, int, bool]], size: int) -> Iterator[tuple[int, int, float, bool]]:
-        """Chain matches that follow each other in the text and in the template; (start, stop, part of the template, and
-        whether a passage of the chain is in this template alone)."""
-        start = stop = at = covered = 0
-        alone = False
-        for begin, place, length, own in sorted(found):
-            if covered and begin - stop <= self.max_gap and place + length > at and begin + length > stop:
-                cut = max(0, at - place, stop - begin)
-                if length > cut:
-                    covered += length - cut
-                    stop, at, alone = begin + length, place + length, alone or own
-                continue
-            if covered and begin < stop:
-                continue
-            if covered:
-                yield start, stop, min(1.0, covered / size), alone
-            start, stop, at, covered, alone = begin, begin + length, place + length, length, own
-        if covered:
-            yield start, stop, min(1.0, covered / size), alone
+        """The heaviest chains of matches that follow each other in the text and in the template: (start, stop, part of the
+        template, and whether a passage of the chain is in this template alone).
+
+        A match continues the chain that covers most, among those that end before it in both and at most ``max_gap`` words
+        ahead of it in the text; what overlaps counts once. Only matches that end less than a match and a gap before its own
+        end can be continued, so the work is linear in the text. Of chains with the same first match the heaviest counts.
+        """
+        found = sorted(found, key=lambda m: (m[0] + m[2], m[1]))
+        ends = [begin + length for begin, _, length, _ in found]
+        weight, first, alone = [], [], []
+        for i, (begin, place, length, own) in enumerate(found):
+            most, root, single = length, begin, own
+            for j in range(bisect_left(ends, begin - self.max_gap), bisect_left(ends, ends[i])):
+                at = found[j][1] + found[j][2]
+                gain = length - max(0, at - place, ends[j] - begin)
+                if at < place + length and gain > 0 and weight[j] + gain >= most:
+                    most, root, single = weight[j] + gain, first[j], alone[j] or own
+            weight.append(most)
+            first.append(root)
+            alone.append(single)
+        best: dict[int, int] = {}
+        for i, root in enumerate(first):
+            if root not in best or weight[i] > weight[best[root]]:
+                best[root] = i
+        for root, i in sorted(best.items()):
+            yield root, ends[i], min(1.0, weight[i] / size), alone[i]
 
 
 def runs(tokens: list[int], least: int) -> Iterator[tuple[int, int]]:

@@ -16,8 +16,9 @@ over ``cell_docs`` documents, ``cell_pairs`` pairs or ``cell_values`` shingles a
 documents, and within a cell a pair is compared unless already joined.
 
 Null or blank text: empty set, linked with nothing. Rows that share an id are one node with the links of all its rows (each
-row keeps its own set size); rows of null id are a node after all others (that of the id 2**63 - 1, if there is one) whose
-component is null and which is kept only if it stands alone; an empty table gives no row; other columns are ignored.
+row keeps its own set size). A row of null id is a node of its own, together with rows of null id and the same text; its
+number is taken where the table has no ids (``Nodes``). A component is named by its smallest real id, one of null ids only by
+null; of such a component the rows of one node are kept. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, wordhash
 from .components import connected_components
 
 SLOTS = 128
-LAST = (1 << 63) - 1
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 31, (2, SLOTS), dtype=np.uint32) | np.uint32(1)
 
 
@@ -81,21 +81,43 @@ def tree_orders(trees: int) -> np.ndarray:
     return np.stack([rng.permutation(SLOTS) for _ in range(trees)])
 
 
-def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, null_id, n_shingles, set_key, signature) of every document."""
+class Nodes:
+    """Numbers of the rows of a table: the id, or for null ids a hash of the text in a range that no id of the table reaches.
+
+    The range lies above the largest id, or below the smallest where there is more room; were there none, a hash could meet
+    an id. Ids alone are read for this.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        low, high, nulls = docs.agg(F.min(ident), F.max(ident), F.count_if(ident.isNull())).first()
+        low, high = low or 0, high or 0
+        above, below = (1 << 63) - 1 - high, low + (1 << 63)
+        self.nulls, self.last = bool(nulls), above >= min(below, 1 << 40)
+        span = max(min(above if self.last else below, 1 << 62), 1)
+        self.first = min(high + 1, (1 << 63) - span) if self.last else low - span
+        self.end = self.first + span - 1
+        self.number = F.coalesce(ident, F.pmod(F.xxhash64(text), F.lit(span)) + F.lit(self.first)) if nulls else ident
+        self.is_null = ident.isNull()
+
+    def of_null(self, node: str) -> Column:
+        return F.col(node).between(F.lit(self.first), F.lit(self.end)) & F.lit(self.nulls)
+
+
+def sketch(docs: DataFrame, words: int) -> DataFrame:
+    """(node, null_id, n_shingles, set_key, signature) of every row (node, null_id, text)."""
     schema = pa.schema([("node", pa.int64()), ("null_id", pa.bool_()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, texts = batch.column(0).to_pylist(), common.column_bytes(batch.column(1))
+            nodes, nulls, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.column_bytes(batch.column(2))
             for some in common.groups(texts, 1 << 20):
                 values, first = shingle_sets([texts[k] for k in some], words)
                 sig, n = signatures(values, first), np.diff(first)
                 keys = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield common.to_batch([(LAST if nodes[k] is None else nodes[k], nodes[k] is None, int(n[j]), keys[j], sig[j].tobytes() if n[j] else None) for j, k in enumerate(some)], schema)
+                yield common.to_batch([(nodes[k], nulls[k], int(n[j]), keys[j], sig[j].tobytes() if n[j] else None) for j, k in enumerate(some)], schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, null_id boolean, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(run, "node long, null_id boolean, n_shingles long, set_key binary, signature binary")
 
 
 def shared_trees(classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -191,7 +213,7 @@ def crowd_guests(placed: DataFrame, depth: int, reach: int) -> DataFrame:
     return rows.select("home", "node", "n_shingles", "label").distinct()
 
 
-def meetings(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int, percent: int, block_docs: int, block_values: int, id_col: str, text_col: str) -> DataFrame:
+def meetings(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int, percent: int, block_docs: int, block_values: int) -> DataFrame:
     """Links of guests with their homes' members, (node, n_shingles, label), and with each other.
 
     They meet in blocks of bounded documents and shingles, with their full sets; labels that a block has joined aren't
@@ -244,12 +266,11 @@ def meetings(docs: DataFrame, guests: DataFrame, members: DataFrame, words: int,
     among = there.withColumn("with", each("rooms"))
     side = F.when(F.col("with") == F.col("mine"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
     among = among.select("home", "node", "label", side.alias("side"), F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(here.union(visits).union(among).hint("merge"), "node")
+    rows = docs.select("node", "text").join(here.union(visits).union(among).hint("merge"), "node")
     return rows.groupBy("home", "low", "high").applyInArrow(meet, "a long, b long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int, cell_docs: int, cell_pairs: int, cell_values: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int, cell_docs: int, cell_pairs: int, cell_values: int) -> DataFrame:
     """Links of ``pairs`` that hold on the full sets, without those between documents that a cell has joined already.
 
     ``s`` shards make ``s * (s + 1) / 2`` cells, each with two shards' documents and a share of the pairs.
@@ -268,7 +289,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int,
     of = lambda x: F.pmod(F.xxhash64(x), F.col("shards"))
     edges = common.staged(edges.select("a", "b", "la", "lb", F.xxhash64("component", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell")), "edges")
     members = edges.select(F.col("a").alias("node"), F.col("cell").alias("home")).union(edges.select(F.col("b").alias("node"), F.col("cell").alias("home"))).distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("node"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "node")
+    texts = docs.select("node", "text").join(members.hint("merge"), "node")
 
     def check(_key: tuple, links: pa.Table, rows: pa.Table) -> pa.Table:
         nodes, bodies = rows.column("node").to_pylist(), common.column_bytes(rows.column("text"))
@@ -313,10 +334,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, block_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def verdicts(docs: DataFrame, nodes: Nodes, words: int = 4, percent: int = 80, trees: int = 16, reach: int = 3, least_depth: int = 2, cell_docs: int = 1500, cell_pairs: int = 20_000, cell_values: int = 8_000_000, block_docs: int = 1000, text_col: str = "text") -> DataFrame:
+    """node, doc_id, n_shingles, component_id and kept of every row."""
     common.ensure_workers(docs.sparkSession)
-    sketches = common.staged(sketch(docs, words, id_col, text_col), "sketches")
+    docs = docs.select(nodes.number.alias("node"), nodes.is_null.alias("null_id"), F.col(text_col).cast("string").alias("text"))
+    sketches = common.staged(sketch(docs, words), "sketches")
     full = sketches.filter("n_shingles > 0")
     classes = common.staged(full.groupBy("set_key").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     found = common.staged(shared_trees(classes, trees, least_depth), "trees")
@@ -325,7 +347,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
         pairs = common.staged(pairs, "pairs")
         if pairs.isEmpty():
             return pairs.select("a", "b")
-        return common.staged(confirmed(docs, pairs, classes, words, percent, cell_docs, cell_pairs, cell_values, id_col, text_col), "confirmed")
+        return common.staged(confirmed(docs, pairs, classes, words, percent, cell_docs, cell_pairs, cell_values), "confirmed")
 
     def placed(component: DataFrame) -> DataFrame:
         label = component.withColumnRenamed("component", "label")
@@ -342,15 +364,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, trees: i
     guests = common.staged(crowd_guests(placed(component), least_depth, reach), "guests")
     if not guests.isEmpty():
         members = classes.join(component.withColumnRenamed("component", "label"), "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
-        links = links.union(common.staged(meetings(docs, guests, members, words, percent, block_docs, cell_values, id_col, text_col), "meetings"))
+        links = links.union(common.staged(meetings(docs, guests, members, words, percent, block_docs, cell_values), "meetings"))
         component = connected_components(links)
     named = firsts.join(component.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     rows = sketches.select("node", "null_id", "n_shingles", "set_key").join(named, "set_key", "left")
     # a row without a set goes with the other rows of its id
     alone = again.join(component, "node").withColumnRenamed("component", "shared")
     rows = rows.join(alone, "node", "left").withColumn("component", F.coalesce("component", "shared", "node"))
-    real = lambda x: F.when(~F.col("null_id") | (F.col(x) != LAST), F.col(x))
-    return rows.select(real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    if nodes.nulls and not nodes.last:
+        # numbers of null ids come first here: a component with a real id takes the least of them as its name
+        rows = common.staged(rows, "components")
+        real = rows.groupBy("component").agg(F.min(F.when(~F.col("null_id"), F.col("node"))).alias("real"), F.count(F.lit(1)).alias("n"))
+        rows = common.skew_join(rows, common.staged(real, "named"), ["component"], ["node"]).withColumn("component", F.coalesce("real", "component"))
+    return rows.select("node", F.when(~F.col("null_id"), F.col("node")).alias("doc_id"), "n_shingles", F.when(~nodes.of_null("component"), F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return verdicts(docs, Nodes(docs, id_col, text_col), text_col=text_col, **limits).drop("node")
 
 
 ORACLE_SQL = r"""
