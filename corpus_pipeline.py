@@ -19,14 +19,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more."""
-    verdicts = near_dedup.near_duplicates(docs, words=5, percent=80)
-    ident = F.col("doc_id").cast("long")
-    key = [ident.isNull().alias("_null"), F.coalesce(ident, F.lit(0)).alias("_id")]
-    kept = verdicts.filter("kept").select(*key).distinct()
+    """One document of each group: five-word shingles, similarity 0.8 or more.
+
+    Documents without an id are documents of their own. Rows that repeat an id and its text stay once: that with the smallest
+    source, lang and n_chars. Rows of one id with different texts stay or go together. Blank texts stay.
+    """
+    nodes = near_dedup.Nodes(docs, "doc_id", "text")
+    kept = near_dedup.verdicts(docs, nodes, words=5, percent=80).filter("kept").select(F.col("node").alias("_node")).distinct()
     # repeated rows lie together after the join, so that leaving one of them takes no further shuffle of the texts
-    rows = docs.select(F.struct("*").alias("_row"), *key, F.xxhash64("text").alias("_text")).join(kept.hint("merge"), ["_null", "_id"], "left_semi")
-    return rows.dropDuplicates(["_null", "_id", "_text"]).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), nodes.number.alias("_node"), F.xxhash64("text").alias("_text"), F.struct("source", "lang", "n_chars").alias("_order")).join(kept.hint("merge"), "_node", "left_semi")
+    return rows.groupBy("_node", "_text").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
