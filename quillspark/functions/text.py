@@ -162,14 +162,6 @@ def answer_signals(answer: Column) -> Column:
     return F.struct(text.rlike(r"[#*\[\]`]").alias("has_markdown"), text.rlike(r"(?m)^\s*[-*\x{2022}]|\d+\.").alias("has_list"), text.rlike(r"\|.*\|").alias("has_table"), word_count(text).alias("word_count"))
 
 
-def sanitised_answer(text: Column) -> Column:
-    """Without thinking blocks, source markers, HTML breaks and surplus blank lines."""
-    text = F.regexp_replace(text, r"(?is)<think>.*?</think>|</?think>", "")
-    text = F.regexp_replace(text, r"(?i)\[(?:source|chunk|doc)[^\]]*\]", "")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
-
-
 def redact_numbers(text: Column) -> Column:
     """Social-security-like numbers masked."""
     return F.regexp_replace(text, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[redacted]")
@@ -211,19 +203,6 @@ def scan_timeout(size_bytes: Column, base: float = 90, per_mib: float = 22, leas
     return F.greatest(F.lit(least), F.least(F.lit(most), F.lit(base) + F.lit(per_mib) * size_bytes / F.lit(1048576.0)))
 
 
-def header_only(text: Column) -> Column:
-    """Short chunks of which over 70 % of the lines are table rows."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    rows = F.filter(lines, lambda x: x.rlike(r"^\s*\|.*\|\s*$"))
-    return (F.size(lines) > 0) & (F.size(rows) > 0.7 * F.size(lines)) & (F.length(text) < 200)
-
-
-def structural_snippet(text: Column) -> Column:
-    """Tables of contents and the like, judged by the first 1,200 characters."""
-    head = F.substring(text, 1, 1200)
-    return head.rlike(r"(?i)\btable of contents\b") | (F.regexp_count(head, F.lit(r"(?i)\bchapter\b")) >= 4)
-
-
 def longest_line(text: Column) -> Column:
     return F.array_max(F.transform(F.split(text, "\n"), F.length))
 

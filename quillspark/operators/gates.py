@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules as R
 from ..functions import text as T
+from .retrieval import several, title_overlap
 
-#: Blocks that hold no prose; least candidates that a filter must leave; limits of the gates.
-STRUCTURAL_BLOCKS = ["table", "form"]
+#: Least candidates that a filter must leave; limits of the gates.
 LEAST_CANDIDATES = 8
 FOCUSED_RELEVANCE, COVERAGE_RELEVANCE = 0.03, 0.02
 COVERAGE_SOURCES, COVERAGE_CHUNKS = 3, 8
@@ -18,7 +19,7 @@ COVERAGE_SOURCES, COVERAGE_CHUNKS = 3, 8
 def evidence_profile(chunks: DataFrame) -> DataFrame:
     """(query_id, chunk, narrative, structural and substantive counts, substantive_ratio); unknown blocks count as substantive."""
     kind = F.lower(F.trim(F.coalesce("block_type", F.lit(""))))
-    structural = kind.isin(STRUCTURAL_BLOCKS)
+    structural = kind.isin(R.STRUCTURAL_BLOCKS)
     rows = chunks.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(kind == "narrative").alias("narrative_count"), F.count_if(structural).alias("structural_count"), F.count_if(~structural).alias("substantive_count"))
     return rows.withColumn("substantive_ratio", F.round(F.col("substantive_count") / F.col("chunk_count"), 6)).withColumn("structural_only", (F.col("structural_count") > 0) & (F.col("substantive_count") == 0))
 
@@ -42,16 +43,16 @@ def continuation_gate(prior: Column, current: Column, continues: Column, reset:
 def without_structural(candidates: DataFrame, top_k: int) -> DataFrame:
     """Leaves structural snippets out of a query's candidates if enough others remain."""
     whole = Window.partitionBy("query_id")
-    structural = T.structural_snippet(F.col("content"))
+    structural = R.structural_snippet(F.col("content"))
     rows = candidates.withColumn("_out", structural).withColumn("_left", F.count_if(~F.col("_out")).over(whole)).withColumn("_all", F.count(F.lit(1)).over(whole))
     return rows.filter(~F.col("_out") | (F.col("_left") < max(top_k, LEAST_CANDIDATES)) | (F.col("_all") <= 1)).drop("_out", "_left", "_all")
 
 
 def title_focus(candidates: DataFrame) -> DataFrame:
-    """Keeps the files whose names share the most words with the question, if any shares one."""
-    shared = F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.regexp_replace("filename", r"\.[^.]*$", ""))))
-    rows = candidates.withColumn("_file", F.max(shared).over(Window.partitionBy("query_id", "file_id"))).withColumn("_best", F.max(shared).over(Window.partitionBy("query_id")))
-    return rows.filter((F.col("_best") == 0) | (F.col("_file") == F.col("_best"))).drop("_file", "_best")
+    """Keeps the files whose names share the most terms with the question, if any shares one; candidates without a file go then."""
+    shared = F.when(F.col("file_id").isNotNull(), title_overlap()).otherwise(0)
+    rows = candidates.withColumn("_many", several()).withColumn("_file", F.max(shared).over(Window.partitionBy("query_id", "file_id"))).withColumn("_best", F.max(shared).over(Window.partitionBy("query_id")))
+    return rows.filter(~F.col("_many") | (F.col("_best") == 0) | (F.col("_file") == F.col("_best"))).drop("_many", "_file", "_best")
 
 
 def merged_sources(sources: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
+from .lineage import staged
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, digits: int = 6) -> DataFrame:
@@ -53,29 +57,30 @@ def parent_chunks(hits: DataFrame, children: DataFrame, parents: DataFrame) -> D
     return rows.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, length): the inverted index; write it partitioned or bucketed by term to serve many searches."""
-    words = F.array_remove(F.split(T.term_text(F.col("content")), " +"), "")
-    rows = chunks.select("id", words.alias("words")).withColumn("length", F.size("words"))
-    return rows.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-
-
 def bm25(chunks: DataFrame, terms: list[str], k: int, every: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Chunks that hold the terms (all of them, if ``every``), by BM25 score.
+    """Chunks that hold the unstemmed terms (all of them, if ``every``), by BM25 score, without an index.
 
-    Only the searched terms are counted: one pass filters the postings, totals come from one row.
+    The texts are split once: the same pass counts chunks and words and stores the hits, which are all that later steps
+    read. ``fulltext`` has the stored index.
     """
-    terms = sorted(set(terms))
+    terms, seen = sorted(set(terms)), Observation()
     words = F.array_remove(F.split(T.term_text(F.col("content")), " +"), "")
-    rows = chunks.select("id", words.alias("words"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("words")).alias("mean"))
-    hits = rows.select("id", F.size("words").alias("length"), F.explode(F.filter("words", lambda x: x.isin(terms))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row per searched term, and one row of totals
-    rows = hits.join(F.broadcast(found), "term").join(F.broadcast(totals.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
-    idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    out = rows.groupBy("id").agg(F.round(F.sum(score), 6).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    rows = chunks.select("id", words.alias("words")).select("id", F.size("words").alias("length"), F.filter("words", lambda x: x.isin(terms)).alias("found"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).filter(F.size("found") > 0)
+    count = lambda t: F.size(F.filter("found", lambda x: x == t))
+    tf = [count(t).alias(f"tf{j}") for j, t in enumerate(terms)]
+    rows = staged(rows.select("id", "length", *tf), "bm25")
+    total = seen.get
+    df = rows.agg(*(F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(terms)))).first()
+    if not total["n"]:
+        return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms"))
+    mean, score, n = total["words"] / total["n"], F.lit(0.0), F.lit(0).cast("long")
+    for j in range(len(terms)):
+        x = F.col(f"tf{j}")
+        idf = math.log(1 + (total["n"] - df[j] + 0.5) / (df[j] + 0.5))
+        score = score + F.lit(idf) * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+        n = n + (x > 0).cast("long")
+    out = rows.select("id", F.round(score, 6).alias("score"), n.alias("n_terms"))
     if every:
         out = out.filter(F.col("n_terms") == len(terms))
     return out.orderBy(F.desc("score"), "id").limit(k)
@@ -94,22 +99,38 @@ def pool(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
     return first.select("chunk_id", "score").unionByName(more)
 
 
-def substantive_bias(candidates: DataFrame, penalty: float = 0.35) -> DataFrame:
-    """Lowers the score of structural snippets; the sort is stable by rank."""
-    score = F.col("score") - F.when(T.structural_snippet(F.col("content")), penalty).otherwise(0.0)
+def reranked(candidates: DataFrame, score: Column) -> DataFrame:
+    """Candidates with a new score and their place by it within the query; equal scores stay in the order of ``rank``."""
     rows = candidates.withColumn("score", F.round(score, 6))
     return rows.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
 
 
+def several() -> Column:
+    """Whether a query has more than one candidate; a single one is never scored anew."""
+    return F.count(F.lit(1)).over(Window.partitionBy("query_id")) > 1
+
+
+def substantive_bias(candidates: DataFrame) -> DataFrame:
+    """Lowers the score of tables, of structural sections and texts, and of very short ones."""
+    penalty = R.structural_penalty(F.col("content"), F.col("section"), F.col("block_type"))
+    return reranked(candidates, F.col("score") - F.when(several(), penalty).otherwise(0.0))
+
+
+def title_overlap() -> Column:
+    """How many terms a question shares with a file's name."""
+    return F.size(F.array_intersect(R.title_terms(F.col("query")), R.title_terms(F.col("filename"))))
+
+
 def title_bias(candidates: DataFrame, strict: bool = False) -> DataFrame:
-    """Rewards words that the question shares with the file name: 0.05 each up to 0.2 (strict: 0.12 up to 0.5, else -0.3)."""
-    shared = F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.regexp_replace("filename", r"\.[^.]*$", ""))))
-    each, most = (0.12, 0.5) if strict else (0.05, 0.2)
-    bonus = F.least(F.lit(most), shared * each)
+    """Rewards terms that the question shares with the file name; the strict form also punishes files that share none, if
+    another candidate of the query does."""
+    each, most = (R.STRICT_BONUS, R.STRICT_MOST) if strict else (R.TITLE_BONUS, R.TITLE_MOST)
+    rows = candidates.withColumn("_shared", title_overlap())
+    none = F.lit(0.0)
     if strict:
-        bonus = F.when(shared == 0, -0.3).otherwise(bonus)
-    rows = candidates.withColumn("score", F.round(F.col("score") + bonus, 6))
-    return rows.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
+        none = F.when(F.max("_shared").over(Window.partitionBy("query_id")) > 0, -R.STRICT_PENALTY).otherwise(0.0)
+    bonus = F.when(F.col("_shared") > 0, F.least(F.lit(most), F.col("_shared") * each)).otherwise(none)
+    return reranked(rows, F.col("score") + F.when(several(), bonus).otherwise(0.0)).drop("_shared")
 
 
 def focused_selection(candidates: DataFrame, k: int) -> DataFrame:
@@ -121,24 +142,18 @@ def focused_selection(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def coverage_selection(candidates: DataFrame, k: int) -> DataFrame:
-    """Four passes per query: one per file at a new place, two per file at new places, two per file, any."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank")
-        taken, per_file, places = [], {}, set()
-        for cap, fresh in ((1, True), (2, True), (2, False), (None, False)):
-            for x in rows.itertuples():
-                place = (x.file_id, x.place)
-                if len(taken) >= k or x.chunk_id in {t.chunk_id for t in taken} or (cap and per_file.get(x.file_id, 0) >= cap) or (fresh and place in places):
-                    continue
-                taken.append(x)
-                per_file[x.file_id] = per_file.get(x.file_id, 0) + 1
-                places.add(place)
-        return pd.DataFrame([(x.query_id, x.chunk_id, n + 1) for n, x in enumerate(taken)], columns=["query_id", "chunk_id", "nth"])
+    """Four passes per query: one per file at a new place, two per file at new places, two per file, any; k in all.
 
+    A pass takes a file's best candidates first, so its outcome is a number on each candidate: ``nth`` among the file's
+    places (by their best candidates) and among the file's candidates; passes follow each other, each in rank order.
+    """
+    place, file = ["query_id", "file_id", "place"], ["query_id", "file_id"]
     rows = candidates.select("query_id", "chunk_id", "file_id", "place", "rank")
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, chunk_id long, nth long")
+    rows = rows.withColumn("in_place", F.row_number().over(Window.partitionBy(*place).orderBy("rank")))
+    rows = rows.withColumn("of_file", F.row_number().over(Window.partitionBy(*file).orderBy(F.col("in_place") > 1, "rank")))
+    rows = rows.withColumn("round", F.when((F.col("in_place") == 1) & (F.col("of_file") == 1), 1).when((F.col("in_place") == 1) & (F.col("of_file") == 2), 2).when(F.col("of_file") == 2, 3).otherwise(4))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("round", "rank")))
+    return rows.filter(F.col("nth") <= k).select("query_id", "chunk_id", F.col("nth").cast("long").alias("nth"))
 
 
 def evidence(claims: DataFrame, sources: DataFrame, threshold: int = 2) -> DataFrame:

@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import answers as A
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import changes, chats, chunking, filters, gates, retrieval, scopes, stats, terms
+from ..functions import embedding
+from ..operators import batch_search, changes, chats, chunking, filters, fulltext, gates, indexing, retrieval, scopes, stats, terms
+from ..operators.lineage import staging
 from ..sources import corpus
 from ..sources.corpus import with_views
+from ..sources.versions import Store
+from ..streaming import cache, watch
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -88,6 +94,128 @@ def fts_candidates_unstemmed(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25(corpus.parents(spark, folder), SEARCH, 20)
 
 
+# many questions at once
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """All items of the benchmark (even numbers) and all turns of users (odd numbers) as (query_id, question)."""
+    items = corpus.table(spark, folder, "benchmark").select((2 * F.col("item_id")).alias("query_id"), F.col("text").alias("question"))
+    turns = corpus.chat_messages(spark, folder).filter("role = 'user'").select((2000 * F.col("chat_id") + 2 * F.col("turn") + 1).alias("query_id"), F.col("content").alias("question"))
+    return items.unionByName(turns)
+
+
+DIMENSIONS = 64
+QUESTIONS_SQL = "asked AS (SELECT 2 * item_id AS query_id, text AS question FROM benchmark UNION ALL SELECT 2000 * conv_id + 2 * turn + 1, text FROM conversations WHERE role = 'user')"
+
+
+def embed_sql(name: str, key: str, c: str, table: str) -> str:
+    """(key, dim, value) of the places that aren't zero."""
+    word = rf"unnest(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+|[^\x00-\x7f]+')[1:8192]) AS w"
+    return f"{name} AS (SELECT {key}, {embedding.FEATURE_SQL.format(w='w', d=DIMENSIONS)} AS dim, sum({embedding.SIGN_SQL.format(w='w')}) AS value FROM (SELECT {key}, {word} FROM {table}) GROUP BY ALL HAVING value <> 0)"
+
+
+@query(f"WITH {embed_sql('e', 'doc_id', 'text', 'documents')} SELECT doc_id, CAST(dim AS INTEGER) AS dim, CAST(value AS FLOAT) AS value FROM e")
+def embedded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus.table(spark, folder, "documents").select("doc_id", embedding.embed(F.col("text"), DIMENSIONS).alias("vector"))
+    return rows.select("doc_id", F.posexplode("vector").alias("dim", "value")).filter("value <> 0")
+
+
+@query(f"""WITH {QUESTIONS_SQL}, {embed_sql('q', 'query_id', 'question', 'asked')}, {embed_sql('d', 'doc_id', 'text', 'documents')},
+ nq AS (SELECT query_id, sum(value * value) AS n FROM q GROUP BY 1), nd AS (SELECT doc_id, sum(value * value) AS n FROM d GROUP BY 1),
+ x AS (SELECT query_id, doc_id, sum(q.value * d.value) AS dot FROM q JOIN d USING (dim) GROUP BY 1, 2),
+ s AS (SELECT nq.query_id, nd.doc_id AS chunk_id, round(coalesce(dot, 0) / sqrt(nq.n * nd.n), 6) AS score FROM nq CROSS JOIN nd LEFT JOIN x ON x.query_id = nq.query_id AND x.doc_id = nd.doc_id)
+ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8""")
+def nearest_all_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight nearest documents of every question."""
+    rows = corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), embedding.embed(F.col("text"), DIMENSIONS).alias("vector"))
+    asked = questions(spark, folder).select("query_id", embedding.embed(F.col("question"), DIMENSIONS).alias("vector"))
+    return batch_search.nearest_of_all(rows, asked, 8)
+
+
+@query()
+def fts_all_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """For every question the documents that hold all its stems, by BM25."""
+    rows = corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return batch_search.matches_of_all(rows, questions(spark, folder), 8)
+
+
+def retrieval_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of all documents as chunks with their section (the document's first line) and place (the line)."""
+    line = corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("file_id"), F.split("text", "\n", 2)[0].alias("section"))
+    rows = corpus.children(spark, folder).join(line, "file_id")
+    return rows.withColumn("place", F.col("parent_id")).withColumn("block_type", F.when(F.col("content").contains("|"), "table").otherwise("narrative"))
+
+
+@query()
+def retrieve_all_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages for every question: both searches over all sentences, then filters, scores and selection; questions of the
+    benchmark spread over files."""
+    files = corpus.files(spark, folder)
+    wide = F.col("query_id") % 2 == 0
+    return batch_search.retrieve(questions(spark, folder), retrieval_chunks(spark, folder), files, corpus.parents(spark, folder), 8, coverage=wide, allowed=F.col("source_provider") != "upload.local")
+
+
+@query()
+def fts_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Build the stored index of all parents, then search its stems: all of them, and any of them."""
+    place = staging(spark, "full-text")
+    fulltext.build(corpus.parents(spark, folder), place)
+    index = fulltext.Index(spark, place)
+    every = fulltext.search(index, SEARCHED, 20).withColumn("every", F.lit(True))
+    return every.unionByName(fulltext.search(index, SEARCHED, 20, every=False).withColumn("every", F.lit(False)))
+
+
+SEARCHED = "erste AND Zeiten"
+
+
+# indexing
+
+
+def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
+    d = corpus.files(spark, folder).select(F.col("id").alias("file_id"), "path", "filename", "extension", F.col("size_bytes").cast("long").alias("size_bytes"))
+    return d.join(corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("content_hash"), "text"), "file_id")
+
+
+@query(r"""WITH t AS (SELECT doc_id AS file_id, sha256(text) AS h, regexp_matches(coalesce(text, ''), '\S') AS "some", doc_id % 7 = 3 AS edited, doc_id % 11 = 5 AS huge, doc_id % 13 = 2 AS gone FROM documents)
+ SELECT file_id, CASE WHEN edited AND NOT huge THEN sha256(h) ELSE h END AS content_hash, true AS whole FROM t WHERE "some" AND NOT gone""")
+def indexed_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents indexed; then a second batch that edits some, fails on some (too large: the old version stays) and removes
+    some; what readers see at the end, and whether each file has a vector for every child."""
+    store = Store(spark, staging(spark, "store"))
+    rows = scanned_documents(spark, folder)
+    indexing.index_files(store, rows)
+    edited, huge = F.col("file_id") % 7 == 3, F.col("file_id") % 11 == 5
+    again = rows.withColumn("content_hash", F.when(edited | huge, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))).withColumn("text", F.when(edited, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).withColumn("size_bytes", F.when(huge, indexing.MAX_BYTES + 1).otherwise(F.col("size_bytes")))
+    indexing.index_files(store, again, rows.filter("file_id % 13 = 2").select("file_id"))
+    children = store.read("chunks").filter("parent_id IS NOT NULL").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    vectors = store.read("vectors").groupBy("file_id").agg(F.count("vector").alias("m"))
+    seen = store.read("files").join(children, "file_id", "left").join(vectors, "file_id", "left")
+    return seen.select("file_id", "content_hash", F.coalesce(F.col("n") == F.col("m"), F.lit(False)).alias("whole"))
+
+
+WATCHED_SQL = "'/watched/u' || CAST(user_id AS VARCHAR) || '.md'"
+
+
+@query(f"""WITH e AS (SELECT {WATCHED_SQL} AS path, ts, event_type = 'error' AS gone FROM events), l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
+ b AS (SELECT *, sum(first) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM l)
+ SELECT path, CASE WHEN bool_or(gone) THEN 'delete' ELSE 'index' END AS action, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_events FROM b GROUP BY path, burst""")
+def watched_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as events of one file per user; bursts with six quiet hours after them."""
+    e = corpus.table(spark, folder, "events")
+    path = F.concat(F.lit("/watched/u"), F.col("user_id").cast("string"), F.lit(".md"))
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("dest"), F.lit(False).alias("is_directory"))
+    found = watch.flushed(watch.path_actions(rows, [".md"]), "6 hours")
+    return found.withColumn("first_at", F.col("first_at").cast("timestamp_ntz")).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
+@query()
+def cached_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of users asked of the caches, five seconds apart in the order of chats."""
+    turns = corpus.chat_messages(spark, folder).filter("role = 'user'")
+    rows = turns.select((1000 * F.col("chat_id") + F.col("turn")).alias("event_id"), F.timestamp_seconds(5 * (F.col("chat_id") + 7 * F.col("turn"))).alias("created_at"), F.col("content").alias("question"))
+    return cache.cached_embeddings(rows, shards=8).select("shard", "event_id", "hit", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).alias("square"))
+
+
 @query(with_views("""+h AS (SELECT id AS chunk_id, CAST(chunk_index AS DOUBLE) AS score FROM children),
  r AS (SELECT coalesce(p.id, c.id) AS id, c.file_id, coalesce(p.content, c.content) AS content, score, chunk_id FROM h JOIN children c ON c.id = h.chunk_id LEFT JOIN parents p ON p.id = c.parent_id)
  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) = 1""", "children"))
@@ -105,14 +233,63 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 CANDIDATES_SQL = "cand AS (SELECT vec_id % 20 AS query_id, vec_id AS chunk_id, vec_id % 7 AS file_id, vec_id % 3 AS place, vec_id AS rank, 1 / (1 + vec_id % 11) AS score, vec_id % 13 = 0 AS toc FROM embeddings)"
 
 
-@query(f"WITH {CANDIDATES_SQL}, s AS (SELECT query_id, chunk_id, rank, round(score - CASE WHEN toc THEN 0.35 ELSE 0.0 END, 6) AS score FROM cand) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM s")
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates from the given texts: 50 documents a question, the first question of a conversation.
+
+    A document's first characters are its file's name, its first line is the section.
+    """
+    asked = corpus.table(spark, folder, "conversations").filter("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
+    d = corpus.table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 50).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 2).alias("file_id"), F.col("doc_id").alias("rank"), (1 / (1 + F.col("doc_id") % 11)).alias("score"), F.col("text").alias("content"))
+    line = F.split("content", "\n", 2)[0]
+    d = d.withColumn("section", line).withColumn("filename", F.concat(F.substring(line, 1, 60), F.lit(".pdf"))).withColumn("block_type", F.when(F.col("content").contains("|"), "Table").otherwise("narrative"))
+    return d.join(asked, "query_id", "left")
+
+
+def quoted(words: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in words)
+
+
+def any_sql(c: str, patterns: list[str]) -> str:
+    """The rule of patterns as SQL, each pattern on its own."""
+    return "(" + " OR ".join(f"regexp_matches({c}, '{x}', 'i')" for x in patterns) + ")"
+
+
+def terms_sql(c: str) -> str:
+    found = f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9][a-z0-9''_-]{{2,}}'), lambda x: x NOT IN ({quoted(R.TITLE_STOPWORDS)}))"
+    return f"list_distinct(list_concat({found}, list_transform(list_filter({found}, lambda x: x LIKE '%s' AND len(x) > 4), lambda x: left(x, len(x) - 1))))"
+
+
+PASSAGES_SQL = f"""asked AS (SELECT conv_id AS query_id, min_by(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY 1),
+ named AS (SELECT doc_id // 50 AS query_id, doc_id AS chunk_id, doc_id // 2 AS file_id, doc_id AS rank, 1 / (1 + doc_id % 11) AS score, text AS content, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body, split_part(text, chr(10), 1) AS section FROM documents),
+ pass AS (SELECT n.*, query, count(*) OVER (PARTITION BY n.query_id) AS many, left(section, 60) || '.pdf' AS filename, content LIKE '%|%' AS tabular FROM named n LEFT JOIN asked a ON a.query_id = n.query_id),
+ shared AS (SELECT *, len(list_intersect({terms_sql("query")}, {terms_sql("filename")})) AS n_shared FROM pass)"""
+
+
+@query(f"""WITH {PASSAGES_SQL}, s AS (SELECT *, CASE WHEN many = 1 THEN 0.0 ELSE CASE WHEN tabular THEN 0.08 ELSE 0.0 END + CASE WHEN {any_sql("section", R.STRUCTURAL_SECTIONS)} THEN 0.15 ELSE 0.0 END
+ + CASE WHEN {any_sql("left(body, 1200)", R.STRUCTURAL_TEXTS)} THEN 0.35 ELSE 0.0 END + CASE WHEN len(regexp_extract_all(left(body, 1200), '{R.CHAPTER}', 0, 'i')) >= 4 THEN 0.35 ELSE 0.0 END
+ + CASE WHEN body <> '' AND len(body) < 180 AND len(body) - len(replace(body, chr(10), '')) < 3 THEN 0.04 ELSE 0.0 END END AS penalty FROM pass),
+ r AS (SELECT query_id, chunk_id, rank, round(score - penalty, 6) AS score FROM s) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM r""")
 def bias_substantive(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.substantive_bias(candidates(spark, folder)).select("query_id", "chunk_id", "score", F.col("new_rank").cast("long").alias("new_rank"))
+    return retrieval.substantive_bias(passages(spark, folder)).select("query_id", "chunk_id", "score", F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@query(f"WITH {CANDIDATES_SQL}, s AS (SELECT query_id, chunk_id, rank, round(score + least(0.2, 2 * 0.05), 6) AS score FROM cand) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM s")
+@query(f"""WITH {PASSAGES_SQL}, r AS (SELECT query_id, chunk_id, rank, round(score + CASE WHEN many > 1 THEN least(0.2, 0.05 * n_shared) ELSE 0 END, 6) AS score FROM shared)
+ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM r""")
 def bias_title(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.title_bias(candidates(spark, folder)).select("query_id", "chunk_id", "score", F.col("new_rank").cast("long").alias("new_rank"))
+    return retrieval.title_bias(passages(spark, folder)).select("query_id", "chunk_id", "score", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query(f"""WITH {PASSAGES_SQL}, r AS (SELECT query_id, chunk_id, rank, round(score + CASE WHEN many = 1 THEN 0 WHEN n_shared > 0 THEN least(0.5, 0.12 * n_shared) WHEN max(n_shared) OVER (PARTITION BY query_id) > 0 THEN -0.3 ELSE 0 END, 6) AS score FROM shared)
+ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM r""")
+def bias_title_strict(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.title_bias(passages(spark, folder), strict=True).select("query_id", "chunk_id", "score", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, list_filter(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+ n AS (SELECT *, len(lines) AS n, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*\|.*\|\s*$'))) AS t FROM l)
+ SELECT doc_id, coalesce(len(body) >= 50 AND t > 0.7 * n AND (len(text) < 300 OR n - t < 3), false) AS header_only FROM n""")
+def header_only_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.table(spark, folder, "documents").select("doc_id", F.coalesce(R.header_only(F.col("text")), F.lit(False)).alias("header_only"))
 
 
 @query(f"""WITH {CANDIDATES_SQL}, s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, file_id, place ORDER BY rank) > 1 THEN 1 ELSE 0 END AS second FROM cand)
@@ -270,9 +447,12 @@ def query_intent(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def answer_sanitised(spark: SparkSession, folder: str) -> DataFrame:
-    rows = corpus.chat_messages(spark, folder).filter("role = 'assistant'")
-    clean = T.redact_numbers(T.sanitised_answer(F.col("content")))
-    return rows.select("chat_id", "turn", clean.alias("content"), T.incomplete_reason(clean).alias("incomplete"), T.limit_words(clean, 50).alias("short"))
+    """Assistant turns and whole documents as answers made fit for display."""
+    rows = corpus.chat_messages(spark, folder).filter("role = 'assistant'").select("chat_id", "turn", "content")
+    rows = rows.unionByName(corpus.table(spark, folder, "documents").select((-1 - F.col("doc_id")).alias("chat_id"), F.lit(0).alias("turn"), F.col("text").alias("content")))
+    rows = rows.select("chat_id", "turn", A.displayed(F.col("content")).alias("shown"))
+    clean = T.redact_numbers(F.col("shown.text"))
+    return rows.select("chat_id", "turn", clean.alias("content"), "shown.reasoning_only", T.incomplete_reason(clean).alias("incomplete"), T.limit_words(clean, 50).alias("short"))
 
 
 @query(f"""WITH c AS (SELECT item_id AS claim_id, unnest({tokens_sql("text")}) AS word FROM benchmark), d AS (SELECT doc_id, unnest({tokens_sql("text")}) AS word FROM documents),
@@ -498,15 +678,16 @@ def retrieval_gates(spark: SparkSession, folder: str) -> DataFrame:
     return gates.retrieval_gates(gate_chunks(spark, folder), mode, F.col("query_id") % 4 == 1)
 
 
-@query(f"WITH {CANDIDATES_SQL}, w AS (SELECT query_id, chunk_id, toc, count(*) FILTER (NOT toc) OVER (PARTITION BY query_id) AS kept FROM cand) SELECT query_id, chunk_id FROM w WHERE NOT toc OR kept < 12")
+@query(f"""WITH {PASSAGES_SQL}, w AS (SELECT query_id, chunk_id, many, {any_sql("left(content, 1200)", R.STRUCTURAL_TEXTS)} OR len(regexp_extract_all(left(content, 1200), '{R.CHAPTER}', 0, 'i')) >= 4 AS toc FROM pass),
+ k AS (SELECT *, count(*) FILTER (NOT toc) OVER (PARTITION BY query_id) AS kept FROM w) SELECT query_id, chunk_id FROM k WHERE NOT toc OR kept < 12 OR many = 1""")
 def filter_structural(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.without_structural(candidates(spark, folder), 12).select("query_id", "chunk_id")
+    return gates.without_structural(passages(spark, folder), 12).select("query_id", "chunk_id")
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT query_id, chunk_id FROM cand WHERE file_id = 3")
+@query(f"""WITH {PASSAGES_SQL}, m AS (SELECT *, max(n_shared) OVER (PARTITION BY query_id, file_id) AS of_file, max(n_shared) OVER (PARTITION BY query_id) AS best FROM shared)
+ SELECT query_id, chunk_id FROM m WHERE many = 1 OR best = 0 OR of_file = best""")
 def title_focus(spark: SparkSession, folder: str) -> DataFrame:
-    rows = candidates(spark, folder).withColumn("query", F.lit("what does doc 3 report"))
-    return gates.title_focus(rows).select("query_id", "chunk_id")
+    return gates.title_focus(passages(spark, folder)).select("query_id", "chunk_id")
 
 
 @query("SELECT conv_id AS answer_id, 'p' || CAST(turn % 3 AS VARCHAR) AS path, 'f' AS filename, max(turn) AS seq FROM conversations GROUP BY 1, 2, 3")

@@ -21,7 +21,6 @@ def test_text(spark):
     assert one(spark, T.ocr_token, "f1oor0") == "flooro" and one(spark, T.ocr_token, "2020") == "2020"
     assert one(spark, T.unglue_numbers, "1234567890") == "123456 7890" and one(spark, T.unglue_numbers, "123") == "123"
     assert one(spark, T.chat_title, "## **Hello** world\nmore") == "Hello world"
-    assert one(spark, T.sanitised_answer, "<think>x</think>a<br>b [source 1]") == "a\nb"
     assert one(spark, T.incomplete_reason, "a\n```\nb") == "open_code_block" and one(spark, T.incomplete_reason, "Done.") is None
     assert one(spark, lambda c: T.limit_words(c, 4), "One two. three four five") == "One two."
     assert one(spark, T.html_to_text, "<p>a &amp; b</p><script>x</script><div>c</div>") == "a & b\nc"
