@@ -150,10 +150,10 @@ def chat_title(text: Column, n: int = 50) -> Column:
     line = F.regexp_replace(raw, r"^\s{0,3}#{1,6}\s+", "")
     for pattern, put in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[*_`~]+", ""), (r"^\s*[-+*>\s]+", ""), (r"\s+", " ")):
         line = F.regexp_replace(line, pattern, put)
-    line = strip(line)
-    line = F.when(line != "", line).otherwise(raw)
-    cut = F.when(F.length(line) > n, F.concat(strip(F.substring(line, 1, n)), F.lit("..."))).otherwise(line)
-    return F.when(line != "", cut)
+    # lambdas name what is used more than once, as branches would compute it again
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    line = once(strip(line), lambda x: F.when(x != "", x).otherwise(raw))
+    return once(line, lambda x: F.when(x == "", None).when(F.length(x) > n, F.concat(strip(F.substring(x, 1, n)), F.lit("..."))).otherwise(x))
 
 
 def answer_signals(answer: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import cut
+from .lineage import staged
 
 
 def change_set(scanned: DataFrame, known: DataFrame) -> DataFrame:
@@ -16,46 +16,56 @@ def change_set(scanned: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
+CHECKS = ["orphan_chunks", "orphan_vectors_chunk", "orphan_vectors_file", "missing_parent", "files_without_chunks", "child_without_vector", "drift_path", "drift_filename", "drift_extension", "drift_category", "drift_year", "drift_file_id"]
+COPIES = ["path", "filename", "extension", "category", "year"]
+
+
 def integrity_checks(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(check, n) of twelve checks. Differences by plain inequality, so that nulls never count, but for years."""
-    f, c, v = files.alias("f"), chunks.alias("c"), vectors.alias("v")
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
-    parent = chunks.select(F.col("id").alias("p_id")).alias("p")
-    out = [
-        n(c.join(f, F.col("c.file_id") == F.col("f.id"), "left_anti"), "orphan_chunks"),
-        n(v.join(c, F.col("v.chunk_id") == F.col("c.id"), "left_anti"), "orphan_vectors_chunk"),
-        n(v.join(f, F.col("v.file_id") == F.col("f.id"), "left_anti"), "orphan_vectors_file"),
-        n(c.filter("parent_id IS NOT NULL").join(parent, F.col("c.parent_id") == F.col("p.p_id"), "left_anti"), "missing_parent"),
-        n(f.join(c, F.col("f.id") == F.col("c.file_id"), "left_anti"), "files_without_chunks"),
-        n(c.filter("parent_id IS NOT NULL").join(v, F.col("c.id") == F.col("v.chunk_id"), "left_anti"), "child_without_vector"),
-    ]
-    both = v.join(f, F.col("v.file_id") == F.col("f.id")).agg(
-        *(F.count_if(F.col(f"v.{x}") != F.col(f"f.{x}")).alias(f"drift_{x}") for x in ("path", "filename", "extension", "category")),
-        F.count_if(F.coalesce("v.year", F.lit(-1)) != F.coalesce("f.year", F.lit(-1))).alias("drift_year"),
-    )
-    names = [f"drift_{x}" for x in ("path", "filename", "extension", "category", "year")]
-    out.append(both.select(F.explode(F.array(*(F.struct(F.lit(x).alias("check_name"), F.col(x).alias("n")) for x in names))).alias("x")).select("x.*"))
-    out.append(n(v.join(c, F.col("v.chunk_id") == F.col("c.id")).filter(F.col("v.file_id") != F.col("c.file_id")), "drift_file_id"))
-    rows = out[0]
-    for x in out[1:]:
-        rows = rows.unionByName(x)
-    return rows
+    """(check_name, n) of twelve checks. Differences by plain inequality, so that nulls never count, but for years.
+
+    Chunks are read once, for their ids; vectors meet files once, for all drifts. Then one outer join per key: chunks with
+    vectors, chunks counted per file with files, children counted per parent with ids.
+    """
+    ids = staged(chunks.select("id", "file_id", "parent_id"), "chunk-ids")
+    f = files.select(F.col("id").alias("f_id"), *(F.col(x).alias(f"f_{x}") for x in COPIES))
+    differ = {x: F.col(x) != F.col(f"f_{x}") for x in COPIES[:-1]} | {"year": F.coalesce("year", F.lit(-1)) != F.coalesce("f_year", F.lit(-1))}
+    known = F.col("f_id").isNotNull()
+    v = vectors.select("chunk_id", "file_id", *COPIES).join(f, F.col("file_id") == F.col("f_id"), "left")
+    v = staged(v.select("chunk_id", F.col("file_id").alias("v_file_id"), (~known).alias("orphan"), *((known & F.coalesce(d, F.lit(False))).alias(f"drift_{x}") for x, d in differ.items())), "vector-checks")
+    pairs = ids.withColumn("c", F.lit(True)).join(v.withColumn("v", F.lit(True)), F.col("id") == F.col("chunk_id"), "full_outer")
+    here, there = F.col("c").isNotNull(), F.col("v").isNotNull()
+    met = pairs.agg(
+        F.count_if(~here).alias("orphan_vectors_chunk"),
+        F.count_if(~there & F.col("parent_id").isNotNull()).alias("child_without_vector"),
+        F.count_if(here & there & (F.col("v_file_id") != F.col("file_id"))).alias("drift_file_id"),
+    )
+    own = v.agg(F.count_if("orphan").alias("orphan_vectors_file"), *(F.count_if(f"drift_{x}").alias(f"drift_{x}") for x in COPIES))
+    held = ids.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).join(files.select(F.col("id").alias("f_id")), F.col("file_id") == F.col("f_id"), "full_outer")
+    held = held.agg(F.coalesce(F.sum(F.when(F.col("f_id").isNull(), F.col("n"))), F.lit(0)).alias("orphan_chunks"), F.count_if(F.col("n").isNull()).alias("files_without_chunks"))
+    parents = ids.filter("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")).join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    parents = parents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("missing_parent"))
+    # four single rows side by side
+    row = met.crossJoin(own).crossJoin(held).crossJoin(parents)
+    return row.select(F.explode(F.array(*(F.struct(F.lit(x).alias("check_name"), F.col(x).alias("n")) for x in CHECKS))).alias("x")).select("x.*")
 
 
 def repaired(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orphans deleted from the outside in, then the vectors' copies of file columns renewed.
 
-    Each repaired table is cut off from its lineage, as the following repairs read it several times.
+    What stays is found on ids alone, which are stored between the steps; the tables themselves are filtered once at the end.
     """
-    chunks = cut(chunks.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"))
-    parents = chunks.select(F.col("id").alias("parent_id"))
-    chunks = cut(chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(parents, "parent_id", "left_semi")))
-    vectors = cut(vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"))
-    chunks = cut(chunks.filter("parent_id IS NULL").unionByName(chunks.filter("parent_id IS NOT NULL").join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_semi")))
-    files = cut(files.join(chunks.select(F.col("file_id").alias("id")), "id", "left_semi"))
-    vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    copies = [x for x in ("path", "filename", "extension", "category", "year") if x in vectors.columns]
-    return files, chunks, vectors.drop(*copies).join(files.select(F.col("id").alias("file_id"), *copies), "file_id")
+    c = staged(chunks.select("id", "file_id", "parent_id").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"), "kept-chunks")
+    top, under = c.filter("parent_id IS NULL"), c.filter("parent_id IS NOT NULL")
+    under = under.join(c.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    v = vectors.select("chunk_id", "file_id").join(top.unionByName(under).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    under = under.join(v.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    c = staged(top.unionByName(under).select("id", "file_id"), "kept-chunks")
+    files = files.join(c.select(F.col("file_id").alias("id")), "id", "left_semi")
+    chunks = chunks.join(c.select("id"), "id", "left_semi")
+    copies = [x for x in COPIES if x in vectors.columns]
+    vectors = vectors.drop(*copies).join(c.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return files, chunks, vectors.join(files.select(F.col("id").alias("file_id"), *copies), "file_id")
+
 
 
 def merged_failures(known: DataFrame, new: DataFrame) -> DataFrame:

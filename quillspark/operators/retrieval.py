@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
-from .lineage import staged
+from .lineage import staged, staging
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, digits: int = 6) -> DataFrame:
@@ -156,14 +159,36 @@ def coverage_selection(candidates: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.col("nth") <= k).select("query_id", "chunk_id", F.col("nth").cast("long").alias("nth"))
 
 
-def evidence(claims: DataFrame, sources: DataFrame, threshold: int = 2) -> DataFrame:
+def evidence(claims: DataFrame, sources: DataFrame, threshold: int = 2, block: int = 4096) -> DataFrame:
     """Per claim the largest number of its words that one source holds, and whether that supports it.
 
-    Claims and sources meet on shared words, which are few per claim; a common word still brings most sources to a claim, as
-    each of them may hold the most words, so claims are meant to be few.
+    Claims travel to the sources: a task takes the claims block by block from the shared folder, counts the words that each of
+    its sources shares with them through an index of the claims' words, and returns one number a claim. What is shuffled
+    grows with claims and tasks, however common a word is.
     """
-    a = claims.select("claim_id", F.explode(T.tokens(F.col("claim"))).alias("word"))
-    b = sources.select("source_id", F.explode(T.tokens(F.col("text"))).alias("word"))
-    best = a.join(b, "word").groupBy("claim_id", "source_id").agg(F.count(F.lit(1)).alias("shared")).groupBy("claim_id").agg(F.max("shared").alias("shared"))
+    path = staging(claims.sparkSession, "claims")
+    asked = claims.select(F.col("claim_id").cast("long").alias("claim_id"), T.tokens(F.col("claim")).alias("words"))
+    asked.write.option("maxRecordsPerFile", block).parquet(path)
+    schema = pa.schema([("claim_id", pa.int64()), ("shared", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .batch_search import blocks_of
+
+        for batch in batches:
+            words = batch.column(0)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(words.value_lengths().fill_null(0)))
+            held = words.flatten().dictionary_encode()
+            code = held.indices.to_numpy(zero_copy_only=False)
+            place = {w: k for k, w in enumerate(held.dictionary.to_pylist())}
+            order = np.argsort(code, kind="stable")
+            start, holders = np.searchsorted(code[order], np.arange(len(place) + 1)), owner[order]
+            for part in blocks_of(path):
+                best = []
+                for found in part.column(1).to_pylist():
+                    some = [holders[start[k] : start[k + 1]] for w in found if (k := place.get(w)) is not None]
+                    best.append(int(np.bincount(np.concatenate(some)).max()) if some else 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], schema=schema)
+
+    best = sources.select(T.tokens(F.col("text")).alias("words")).mapInArrow(run, "claim_id long, shared long").groupBy("claim_id").agg(F.max("shared").alias("shared"))
     rows = claims.select("claim_id").join(best, "claim_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return rows.withColumn("supported", F.col("shared") >= threshold)

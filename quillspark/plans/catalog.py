@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -466,25 +466,38 @@ def evidence_metrics(spark: SparkSession, folder: str) -> DataFrame:
 # changes and integrity
 
 
-@query("""WITH s AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), k AS (SELECT doc_id AS path, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 13 <> 0)
+@query("""WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN -doc_id - 1 ELSE doc_id END AS path, sha256(text) AS h FROM documents),
+ k AS (SELECT CASE WHEN doc_id % 13 = 0 THEN -doc_id - 1000000000 ELSE doc_id END AS path, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents)
  SELECT coalesce(s.path, k.path) AS path, CASE WHEN k.h IS NULL THEN 'new' WHEN s.h IS NULL THEN 'deleted' WHEN s.h = k.h THEN 'unchanged' ELSE 'changed' END AS status FROM s FULL JOIN k ON s.path = k.path""")
 def change_set(spark: SparkSession, folder: str) -> DataFrame:
-    d = corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"))
-    known = d.filter("path % 13 <> 0").withColumn("content_hash", F.when(F.col("path") % 17 == 0, "x").otherwise(F.col("content_hash")))
-    return changes.change_set(d.filter("path % 10 <> 0"), known)
+    """All documents on both sides, some under other paths."""
+    d = corpus.table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    ident = F.col("doc_id")
+    scanned = d.withColumn("path", F.when(ident % 10 == 0, -ident - 1).otherwise(ident))
+    known = d.withColumn("path", F.when(ident % 13 == 0, -ident - 10**9).otherwise(ident)).withColumn("content_hash", F.when(ident % 17 == 0, "x").otherwise(F.col("content_hash")))
+    return changes.change_set(scanned, known)
+
+
+def moved(c: str, every: int, rest: int) -> Column:
+    """Ids of which one in ``every`` is turned into one that nothing else has; no row is left out."""
+    return F.when(F.col(c) % every == rest, -F.col(c) - 1).otherwise(F.col(c))
+
+
+def moved_sql(c: str, every: int, rest: int) -> str:
+    return f"CASE WHEN {c} % {every} = {rest} THEN -{c} - 1 ELSE {c} END"
 
 
 def faulty(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, chunks and vectors with gaps and differences."""
-    files = corpus.files(spark, folder).filter("id % 29 <> 3")
-    chunks = corpus.chunks(spark, folder).filter("id % 31 <> 5 AND file_id % 41 <> 7")
+    """All files, chunks and vectors, some under ids that the others don't know, some vectors with other copies of a file's columns."""
+    files = corpus.files(spark, folder).withColumn("id", moved("id", 29, 3))
+    chunks = corpus.chunks(spark, folder).withColumn("id", moved("id", 31, 5)).withColumn("file_id", moved("file_id", 41, 7))
     copies = corpus.files(spark, folder).select(F.col("id").alias("file_id"), "path", F.when(F.col("id") % 19 == 0, "old").otherwise(F.col("filename")).alias("filename"), "extension", "category", F.when(F.col("id") % 23 != 0, F.col("year")).alias("year"))
-    vectors = corpus.children(spark, folder).filter("id % 37 <> 1").select(F.col("id").alias("chunk_id"), "file_id").join(copies, "file_id")
+    vectors = corpus.children(spark, folder).select(moved("id", 37, 1).alias("chunk_id"), "file_id").join(copies, "file_id")
     return files, chunks, vectors
 
 
-FAULTY_SQL = """f AS (SELECT * FROM files WHERE id % 29 <> 3), c AS (SELECT * FROM chunks WHERE id % 31 <> 5 AND file_id % 41 <> 7),
- v AS (SELECT k.id AS chunk_id, file_id, path, CASE WHEN x.id % 19 = 0 THEN 'old' ELSE filename END AS filename, extension, category, CASE WHEN x.id % 23 <> 0 THEN year END AS year FROM children k JOIN files x ON x.id = k.file_id WHERE k.id % 37 <> 1)"""
+FAULTY_SQL = f"""f AS (SELECT * REPLACE ({moved_sql('id', 29, 3)} AS id) FROM files), c AS (SELECT * REPLACE ({moved_sql('id', 31, 5)} AS id, {moved_sql('file_id', 41, 7)} AS file_id) FROM chunks),
+ v AS (SELECT {moved_sql('k.id', 37, 1)} AS chunk_id, file_id, path, CASE WHEN x.id % 19 = 0 THEN 'old' ELSE filename END AS filename, extension, category, CASE WHEN x.id % 23 <> 0 THEN year END AS year FROM children k JOIN files x ON x.id = k.file_id)"""
 
 
 @query(with_views(f"""+{FAULTY_SQL}, b AS (SELECT v.path <> f.path AS a1, v.filename <> f.filename AS a2, v.extension <> f.extension AS a3, v.category <> f.category AS a4, coalesce(v.year, -1) <> coalesce(f.year, -1) AS a5 FROM v JOIN f ON f.id = v.file_id)
