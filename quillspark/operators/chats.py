@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.rules import stripped
 
 
 def chat_list(messages: DataFrame, search: str | None = None) -> DataFrame:
@@ -71,3 +74,45 @@ def query_intent(messages: DataFrame) -> DataFrame:
     years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(T.YEAR), F.lit(1)), lambda x: x.cast("int"))))
     kinds = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\b(pdf|docx|xlsx|csv|txt|md|html)\b"), F.lit(1)), lambda x: F.concat(F.lit("."), x))))
     return messages.filter(F.col("role") == "user").select("chat_id", "turn", intent.otherwise("focused").alias("intent"), years.alias("years"), kinds.alias("extensions"))
+
+
+#: From which length on two answers are compared by their matching blocks, and the ratio of duplicates.
+DUPLICATE_LENGTH, DUPLICATE_RATIO = 240, 0.9
+
+
+@F.pandas_udf(DoubleType())
+def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters.
+
+    Blocks are only searched where a bound allows the ratio of duplicates: no more characters can match than both texts have
+    of each character. Where it doesn't, the bound is the result.
+    """
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    def ratio(a: str, b: str) -> float:
+        bound = 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 1.0
+        return SequenceMatcher(a=a, b=b).ratio() if bound >= DUPLICATE_RATIO else bound
+
+    return pd.Series([None if a is None or b is None else ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def duplicate_continuation(previous: Column, current: Column) -> Column:
+    """Whether an answer repeats the one before it: the same, or long and hardly different; empty ones never do.
+
+    Lengths alone rule most pairs out before a text leaves the JVM.
+    """
+    a, b = stripped(previous), stripped(current)
+    n, m = F.length(a), F.length(b)
+    close = (F.least(n, m) >= DUPLICATE_LENGTH) & (2 * F.least(n, m) >= DUPLICATE_RATIO * (n + m))
+    none = F.lit(None).cast("string")
+    ratio = matching_ratio(F.when(close & (a != b), a).otherwise(none), F.when(close & (a != b), b).otherwise(none))
+    return (a != "") & ((a == b) | F.coalesce(ratio >= DUPLICATE_RATIO, F.lit(False)))
+
+
+def repeated_answers(messages: DataFrame) -> DataFrame:
+    """(chat_id, turn, duplicate) of every answer against the answer before it in its chat."""
+    answers = messages.filter("role = 'assistant'")
+    before = F.lag("content").over(Window.partitionBy("chat_id").orderBy("turn"))
+    rows = answers.withColumn("before", before)
+    return rows.select("chat_id", "turn", F.coalesce(duplicate_continuation(F.col("before"), F.col("content")), F.lit(False)).alias("duplicate"))

@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import embedding
-from ..operators import batch_search, changes, chats, chunking, filters, fulltext, gates, indexing, retrieval, scopes, stats, terms
+from ..operators import batch_search, changes, chats, chunking, filters, fulltext, gates, indexing, ranges, retrieval, scopes, stats, terms
 from ..operators.lineage import staging
 from ..sources import corpus
 from ..sources.corpus import with_views
@@ -193,6 +193,29 @@ def indexed_versions(spark: SparkSession, folder: str) -> DataFrame:
     return seen.select("file_id", "content_hash", F.coalesce(F.col("n") == F.col("m"), F.lit(False)).alias("whole"))
 
 
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, len(text) AS n FROM documents), p AS (SELECT doc_id, n, unnest(lines) AS line, unnest(range(len(lines))) AS i, lines FROM l),
+ c AS (SELECT doc_id, i, list_sum(list_transform(lines[1:i], lambda x: len(x) + 1))::BIGINT AS start, len(line) AS size, n FROM p),
+ s AS (SELECT doc_id, i, coalesce(start, 0) AS a, coalesce(start, 0) + size - 1 AS z, size, n FROM c)
+ SELECT doc_id AS file_id, i AS chunk_id, CASE WHEN size > 0 AND a % 400 < CASE WHEN a // 400 % 3 = 2 THEN 360 ELSE 400 END THEN CAST(a // 400 AS INTEGER) END AS start_value,
+  CASE WHEN size > 0 AND z % 400 < CASE WHEN z // 400 % 3 = 2 THEN 360 ELSE 400 END THEN CAST(z // 400 AS INTEGER) END AS end_value FROM s""")
+def line_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of the first and last character of every line; pages have 400 characters, every third only 360 of them."""
+    d = corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    page = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 400).cast("int"))).alias("value")
+    pages = d.filter("text IS NOT NULL").select("file_id", page).withColumn("start", F.col("value").cast("long") * 400).withColumn("end", F.col("start") + F.when(F.col("value") % 3 == 2, 360).otherwise(400))
+    lines = d.select("file_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("file_id", F.col("i").cast("long").alias("chunk_id"), F.length("line").cast("long").alias("size"))
+    before = F.sum(F.col("size") + 1).over(Window.partitionBy("file_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = lines.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("end", F.col("start") + F.col("size"))
+    return ranges.spans(chunks, pages).select("file_id", "chunk_id", "start_value", "end_value")
+
+
+@query()
+def repeated_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """All answers of all chats, and all documents as answers of one chat per source."""
+    docs = corpus.table(spark, folder, "documents").select((-1 - F.floor(F.col("doc_id") / 100)).alias("chat_id"), F.col("doc_id").cast("int").alias("turn"), F.lit("assistant").alias("role"), F.col("text").alias("content"))
+    return chats.repeated_answers(corpus.chat_messages(spark, folder).select("chat_id", F.col("turn").cast("int").alias("turn"), "role", "content").unionByName(docs))
+
+
 WATCHED_SQL = "'/watched/u' || CAST(user_id AS VARCHAR) || '.md'"
 
 
