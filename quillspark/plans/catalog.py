@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import embedding
-from ..operators import batch_search, changes, chats, chunking, filters, fulltext, gates, indexing, ranges, retrieval, scopes, stats, terms
+from ..operators import batch_search, changes, chats, chunking, expansion, filters, fulltext, gates, indexing, ranges, retrieval, scopes, stats, terms
 from ..operators.lineage import staging
 from ..sources import corpus
 from ..sources.corpus import with_views
@@ -826,6 +826,46 @@ def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return terms.expanded_queries(asked, words)
 
 
+def dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of three files and more, and the first two words of every item of the benchmark, as aliases of terms."""
+    norm = F.col("norm")
+    words = terms.document_terms(corpus.parents(spark, folder), 5).filter("n_files >= 3").select(norm.alias("alias"), F.concat(F.lit("T "), norm).alias("canonical"), F.when(F.length(norm) % 5 == 0, expansion.PERSON).otherwise("term").alias("term_type"), F.element_at(F.array(F.lit(0.9), F.lit(0.9), F.lit(0.7), F.lit(0.5)), F.length(norm) % 4 + 1).alias("confidence"))
+    pair = F.array_join(F.slice(F.split(T.term_text(F.col("text")), " "), 1, 2), " ")
+    pairs = corpus.table(spark, folder, "benchmark").select(pair.alias("alias")).filter(F.contains("alias", F.lit(" "))).distinct()
+    return words.unionByName(pairs.select("alias", F.concat(F.lit("T "), "alias").alias("canonical"), F.lit("term").alias("term_type"), F.lit(0.9).alias("confidence")))
+
+
+NORM_SQL = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
+
+
+#: At most one edit, by characters: DuckDB's levenshtein counts bytes.
+ONE_EDIT_SQL = """CASE WHEN len({a}) = len({b}) THEN len(list_filter(range(1, len({a}) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1))) <= 1
+ WHEN len({a}) > len({b}) THEN list_contains(list_transform(range(1, len({a}) + 1), lambda i: left({a}, i - 1) || substr({a}, i + 1)), {b})
+ ELSE list_contains(list_transform(range(1, len({b}) + 1), lambda i: left({b}, i - 1) || substr({b}, i + 1)), {a}) END"""
+
+
+@query(with_views(f"""+voc AS (SELECT DISTINCT file_id, unnest(string_split({NORM_SQL.format(c='content')}, ' ')) AS norm FROM parents),
+ al AS (SELECT norm AS alias, 'T ' || norm AS canonical, CASE WHEN len(norm) % 5 = 0 THEN 'person_name' ELSE 'term' END AS kind, [0.9, 0.9, 0.7, 0.5][len(norm) % 4 + 1] AS conf FROM voc WHERE len(norm) >= 5 GROUP BY norm HAVING count(*) >= 3
+  UNION ALL SELECT DISTINCT alias, 'T ' || alias, 'term', 0.9 FROM (SELECT array_to_string(string_split({NORM_SQL.format(c='text')}, ' ')[1:2], ' ') AS alias FROM benchmark) WHERE alias LIKE '% %'),
+ k AS (SELECT * FROM al WHERE conf >= 0.65 AND len(alias) >= 3 AND alias NOT IN ({quoted(expansion.BLOCKED)})),
+ q AS (SELECT conv_id * 1000 + turn AS query_id, trim(text) AS query, {NORM_SQL.format(c='text')} AS said FROM conversations WHERE role = 'user'),
+ a AS (SELECT *, string_split(said, ' ') AS words FROM q), b AS (SELECT *, list_has_any(words, [{quoted(expansion.PERSON_SCOPE)}]) AND list_has_any(words, [{quoted(expansion.PERSON_INTENT)}]) AS persons FROM a),
+ w AS (SELECT DISTINCT query_id, persons, said, unnest(words) AS word FROM b),
+ r AS (SELECT DISTINCT query_id, persons, CASE WHEN len(word) >= 5 AND regexp_matches(word, '[0-9]') THEN translate(word, '01', 'ol') ELSE word END AS word FROM w),
+ m AS (SELECT query_id, alias, canonical, conf, 0 AS how FROM b JOIN k ON alias LIKE '% %' AND contains(' ' || said || ' ', ' ' || alias || ' ') AND (persons OR kind <> 'person_name')
+  UNION SELECT query_id, alias, canonical, conf, 1 FROM w JOIN k ON alias = word AND (persons OR kind <> 'person_name')
+  UNION SELECT query_id, alias, canonical, conf, 2 FROM r JOIN k ON conf >= 0.85 AND len(alias) >= 5 AND len(word) >= 5 AND alias NOT LIKE '% %' AND abs(len(alias) - len(word)) <= 1 AND levenshtein(alias, word) <= 4 AND {ONE_EDIT_SQL.format(a='alias', b='word')} AND (persons OR kind <> 'person_name')),
+ o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, alias ORDER BY how, conf DESC, canonical) = 1),
+ t AS (SELECT * FROM o QUALIFY how < 2 OR row_number() OVER (PARTITION BY query_id, how, lower(canonical) ORDER BY len(alias) DESC, alias) = 1),
+ n AS (SELECT * FROM t QUALIFY how < 2 OR row_number() OVER (PARTITION BY query_id, how ORDER BY len(alias) DESC, alias) <= 2),
+ l AS (SELECT query_id, list(canonical ORDER BY how, len(alias) DESC, alias) AS every, list(canonical ORDER BY how, len(alias) DESC, alias) FILTER (conf >= 0.85) AS high, count(*) AS n_matches FROM n GROUP BY 1)
+ SELECT q.query_id, array_to_string([query] || coalesce(high[1:6], []), ' ') AS embedding_query, array_to_string([query] || coalesce(every[1:10], []), ' ') AS fts_query, coalesce(n_matches, 0) AS n_matches FROM q LEFT JOIN l ON l.query_id = q.query_id""", "parents"))
+def term_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of all users with the terms of the dictionary behind them."""
+    asked = corpus.chat_messages(spark, folder).filter("role = 'user'").select((F.col("chat_id") * 1000 + F.col("turn")).alias("query_id"), F.col("content").alias("query"))
+    return expansion.expanded(asked, dictionary(spark, folder))
+
+
 # scopes and endings of turns
 
 
