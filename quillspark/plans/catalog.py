@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import answers as A
+from ..functions import blocks
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
@@ -478,6 +479,15 @@ def answer_sanitised(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chat_id", "turn", clean.alias("content"), "shown.reasoning_only", T.incomplete_reason(clean).alias("incomplete"), T.limit_words(clean, 50).alias("short"))
 
 
+@query()
+def answer_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of all answers and documents, by kind."""
+    rows = corpus.chat_messages(spark, folder).filter("role = 'assistant'").select(F.concat_ws("/", "chat_id", "turn").alias("answer"), "content")
+    rows = rows.unionByName(corpus.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("answer"), F.col("text").alias("content")))
+    found = rows.select("answer", F.posexplode(blocks.blocks_of(F.col("content"))).alias("place", "b"))
+    return found.select("answer", "place", "b.kind", F.length("b.text").alias("n_chars"), F.size("b.rows").alias("n_rows"), F.size("b.items").alias("n_items"))
+
+
 @query(f"""WITH c AS (SELECT item_id AS claim_id, unnest({tokens_sql("text")}) AS word FROM benchmark), d AS (SELECT doc_id, unnest({tokens_sql("text")}) AS word FROM documents),
  b AS (SELECT claim_id, doc_id, count(*) AS n FROM c JOIN d USING (word) GROUP BY 1, 2), m AS (SELECT claim_id, max(n) AS n FROM b GROUP BY 1)
  SELECT item_id AS claim_id, coalesce(n, 0) AS shared, coalesce(n, 0) >= 2 AS supported FROM benchmark LEFT JOIN m ON claim_id = item_id""")
