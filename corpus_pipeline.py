@@ -26,8 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     nodes = near_dedup.Nodes(docs, "doc_id", "text")
     kept = near_dedup.verdicts(docs, nodes, words=5, percent=80).filter("kept").select(F.col("node").alias("_node")).distinct()
+    order = [c for c in ("source", "lang", "n_chars") if c in docs.columns]
     # repeated rows lie together after the join, so that leaving one of them takes no further shuffle of the texts
-    rows = docs.select(F.struct("*").alias("_row"), nodes.number.alias("_node"), F.xxhash64("text").alias("_text"), F.struct("source", "lang", "n_chars").alias("_order")).join(kept.hint("merge"), "_node", "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), nodes.number.alias("_node"), F.xxhash64("text").alias("_text"), F.struct(*order or [F.lit(0)]).alias("_order")).join(kept.hint("merge"), "_node", "left_semi")
     return rows.groupBy("_node", "_text").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
