@@ -38,6 +38,11 @@ def test_stages(spark, folder):
     good = {(k, t) for k, t, *_ in rows if len(WORD.findall(t or "")) >= 20 and not (t or "").startswith("again")}
     assert set(at["quality_rules"]) == good and len(at["quality_rules"]) == len(good)
     component = {k: c for (k, _), c in brute_components([x for x in good if x[0] is not None], 5).items()}
+    many = [" ".join(f"{x}{k}" for k in range(40)) for x in "abc"]
+    rows = [(1, many[0], "s2"), (1, many[0], "s1"), (2, many[1], "s"), (None, many[0] + " more", "s"), (None, many[1] + " more", "s"), (None, many[2], "s"), (None, many[2], "r"), (None, "", "s")]
+    nulls = stages["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), path).collect()
+    # unrelated documents stay apart though rows without an id are near both; of repeated rows the smallest source stays
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in nulls) == sorted([(1, many[0], "s1"), (2, many[1], "s"), (0, many[2], "r"), (0, "", "s")])
     odd = stages["near_duplicates"](spark, spark.createDataFrame([(1, "a b c", 5, "x"), (1, "a b c", 5, "x")], "doc_id long, text string, _id int, _text string"), path).collect()
     assert [tuple(r) for r in odd] == [(1, "a b c", 5, "x")]
     assert {k for k, _ in at["near_duplicates"]} == {k for k, c in component.items() if k == c} | {None}
