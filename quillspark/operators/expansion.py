@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-#: Most terms added for embedding and for full text, most near words of a question and of a term.
-MOST_EMBEDDED, MOST_SEARCHED, MOST_NEAR, NEAR_PER_TERM = 6, 10, 2, 1
+#: Most terms added for embedding, for full text and for routing, most near words of a question and of a term.
+MOST_EMBEDDED, MOST_SEARCHED, MOST_ROUTED, MOST_NEAR, NEAR_PER_TERM = 6, 10, 4, 2, 1
 #: A question with a word of both lists may be expanded by names of persons.
 PERSON_SCOPE = ["who", "person", "people", "name", "names"]
 PERSON_INTENT = ["mention", "mentions", "mentioned", "list", "identify", "identified"]
@@ -30,42 +30,77 @@ def variants(word: Column) -> Column:
     return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(word)), cut), word))
 
 
+def dictionary(aliases: DataFrame) -> DataFrame:
+    """(alias, canonical, term_type, confidence, tier) with aliases in normal form; those of low tier or without a term go."""
+    known = aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical", "term_type", "confidence", T.confidence_tier(F.col("confidence")).alias("tier"))
+    return known.filter((F.col("alias") != "") & (F.trim("canonical") != "") & (F.col("tier") != "low"))
+
+
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query_id, said, persons, word): each word of a question beside the whole of it, and whether it asks for persons."""
+    asked = queries.select("query_id", T.term_text(F.col("query")).alias("said")).filter("said <> ''")
+    asked = asked.select("query_id", "said", F.array_distinct(F.split("said", " ")).alias("words"))
+    has = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
+    return asked.select("query_id", "said", (has(PERSON_SCOPE) & has(PERSON_INTENT)).alias("persons"), F.explode("words").alias("word"))
+
+
+KEPT = ["query_id", "alias", "canonical", "tier", "confidence"]
+
+
+def may() -> Column:
+    """Names of persons are for questions that ask for persons."""
+    return F.col("persons") | (F.coalesce("term_type", F.lit("")) != PERSON)
+
+
+def said_terms(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Aliases that a question holds: phrases (how 0), which meet it on their first word, and words (1), by equality."""
+    phrase = words.join(known.filter(F.contains("alias", F.lit(" "))).withColumn("word", F.substring_index("alias", " ", 1)), "word")
+    phrase = phrase.filter(may() & F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))).select(*KEPT, F.lit(0).alias("how"))
+    exact = words.join(known.filter(~F.contains("alias", F.lit(" "))), F.col("word") == F.col("alias")).filter(may())
+    return phrase.unionByName(exact.select(*KEPT, F.lit(1).alias("how")))
+
+
+def by_alias() -> list[Column]:
+    """Longer aliases first, then by alphabet."""
+    return [F.desc(F.length("alias")), F.col("alias")]
+
+
 def matched_terms(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, alias, canonical, how, tier, place) of (query_id, query) and (alias, canonical, term_type, confidence).
 
     ``how`` is phrase, exact or fuzzy, ``place`` counts a question's matches in that order, longer aliases first, then by
     alphabet. Aliases of low tier, blocked or too short ones take no part, names of persons only where the question asks for
-    persons; an alias counts once, with its smallest canonical of the highest tier. Near words need the high tier. Phrases meet
-    questions on their first word, words by equality, near words on variants with one character left out; no key is shared
-    by more than words of one spelling.
+    persons; an alias counts once, with its smallest canonical of the highest tier. Near words need the high tier; they meet
+    on variants with one character left out, so that no key is shared by more than words of one spelling.
     """
-    known = aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical", "term_type", "confidence", T.confidence_tier(F.col("confidence")).alias("tier"))
-    known = known.filter((F.length("alias") >= LEAST_ALIAS) & ~F.col("alias").isin(BLOCKED) & (F.trim("canonical") != "") & (F.col("tier") != "low"))
-    asked = queries.select("query_id", T.term_text(F.col("query")).alias("said")).filter("said <> ''")
-    asked = asked.select("query_id", "said", F.array_distinct(F.split("said", " ")).alias("words"))
-    has = lambda words: F.arrays_overlap("words", F.array(*map(F.lit, words)))
-    asked = asked.withColumn("persons", has(PERSON_SCOPE) & has(PERSON_INTENT))
-    words = asked.select("query_id", "said", "persons", F.explode("words").alias("word"))
-    may = F.col("persons") | (F.coalesce("term_type", F.lit("")) != PERSON)
-    kept = ["query_id", "alias", "canonical", "tier", "confidence"]
-    phrase = words.join(known.filter(F.contains("alias", F.lit(" "))).withColumn("word", F.substring_index("alias", " ", 1)), "word")
-    phrase = phrase.filter(may & F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" ")))).select(*kept, F.lit(0).alias("how"))
-    single = known.filter(~F.contains("alias", F.lit(" ")))
-    exact = words.join(single, F.col("word") == F.col("alias")).filter(may).select(*kept, F.lit(1).alias("how"))
-    high = single.filter((F.col("tier") == "high") & (F.length("alias") >= LEAST_NEAR)).withColumn("variant", F.explode(variants(F.col("alias"))))
+    known = dictionary(aliases).filter((F.length("alias") >= LEAST_ALIAS) & ~F.col("alias").isin(BLOCKED))
+    words = asked_words(queries)
+    high = known.filter(~F.contains("alias", F.lit(" ")) & (F.col("tier") == "high") & (F.length("alias") >= LEAST_NEAR)).withColumn("variant", F.explode(variants(F.col("alias"))))
     near = words.select("query_id", "persons", read_word(F.col("word")).alias("word")).filter(F.length("word") >= LEAST_NEAR).distinct().withColumn("variant", F.explode(variants(F.col("word"))))
-    near = near.join(high, "variant").filter(may & (F.levenshtein("word", "alias", 1) >= 0)).select(*kept, F.lit(2).alias("how"))
+    near = near.join(high, "variant").filter(may() & (F.levenshtein("word", "alias", 1) >= 0)).select(*KEPT, F.lit(2).alias("how"))
     once = Window.partitionBy("query_id", "alias").orderBy("how", F.desc("confidence"), "canonical")
-    rows = phrase.unionByName(exact).unionByName(near).withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
-    order = [F.desc(F.length("alias")), F.col("alias")]
-    of_term = Window.partitionBy("query_id", "how", T.term_text(F.col("canonical"))).orderBy(*order)
+    rows = said_terms(words, known).unionByName(near).withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
+    of_term = Window.partitionBy("query_id", "how", T.term_text(F.col("canonical"))).orderBy(*by_alias())
     rows = rows.withColumn("of_term", F.row_number().over(of_term)).filter((F.col("how") < 2) | (F.col("of_term") <= NEAR_PER_TERM))
-    rows = rows.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "how").orderBy(*order))).filter((F.col("how") < 2) | (F.col("of_kind") <= MOST_NEAR))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("how", *order)))
+    rows = rows.withColumn("of_kind", F.row_number().over(Window.partitionBy("query_id", "how").orderBy(*by_alias()))).filter((F.col("how") < 2) | (F.col("of_kind") <= MOST_NEAR))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("how", *by_alias())))
     name = F.element_at(F.array(F.lit("phrase"), F.lit("exact"), F.lit("fuzzy")), F.col("how") + 1)
     return rows.select("query_id", "alias", "canonical", name.alias("how"), "tier", "place")
 
 
+def routed(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query_id, expanded_query, terms) for routing: up to four terms of the high tier that a question holds as phrase or word.
+
+    Terms come in the order of their longest alias, equal lengths by alphabet; every alias counts, short and common ones too.
+    """
+    found = said_terms(asked_words(queries), dictionary(aliases).filter("tier = 'high'"))
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "canonical").orderBy(*by_alias()))).filter("nth = 1")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_alias(), "canonical"))).filter(F.col("place") <= MOST_ROUTED)
+    held = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "canonical"))), lambda x: x["canonical"]).alias("terms"))
+    rows = queries.select("query_id", F.trim("query").alias("query")).join(held, "query_id", "left").withColumn("terms", F.coalesce("terms", F.expr("array()").cast("array<string>")))
+    return rows.select("query_id", F.array_join(F.concat(F.array("query"), "terms"), " ").alias("expanded_query"), "terms")
+
+
 def expanded(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, embedding_query, fts_query, n_matches): the questions with the terms they match behind them.
 

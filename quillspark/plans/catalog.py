@@ -876,6 +876,21 @@ def term_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return expansion.expanded(asked, dictionary(spark, folder))
 
 
+@query(with_views(f"""+voc AS (SELECT DISTINCT file_id, unnest(string_split({NORM_SQL.format(c='content')}, ' ')) AS norm FROM parents),
+ al AS (SELECT norm AS alias, 'T ' || norm AS canonical, CASE WHEN len(norm) % 5 = 0 THEN 'person_name' ELSE 'term' END AS kind, [0.9, 0.9, 0.7, 0.5][len(norm) % 4 + 1] AS conf FROM voc WHERE len(norm) >= 5 GROUP BY norm HAVING count(*) >= 3
+  UNION ALL SELECT DISTINCT alias, 'T ' || alias, 'term', 0.9 FROM (SELECT array_to_string(string_split({NORM_SQL.format(c='text')}, ' ')[1:2], ' ') AS alias FROM benchmark) WHERE alias LIKE '% %'),
+ q AS (SELECT conv_id * 1000 + turn AS query_id, trim(text) AS query, {NORM_SQL.format(c='text')} AS said FROM conversations WHERE role = 'user'),
+ a AS (SELECT *, string_split(said, ' ') AS words FROM q), b AS (SELECT *, list_has_any(words, [{quoted(expansion.PERSON_SCOPE)}]) AND list_has_any(words, [{quoted(expansion.PERSON_INTENT)}]) AS persons FROM a),
+ m AS (SELECT DISTINCT query_id, alias, canonical FROM b JOIN al ON conf >= 0.85 AND (persons OR kind <> 'person_name') AND CASE WHEN alias LIKE '% %' THEN contains(' ' || said || ' ', ' ' || alias || ' ') ELSE list_contains(words, alias) END),
+ f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, canonical ORDER BY len(alias) DESC, alias) = 1),
+ l AS (SELECT query_id, list(canonical ORDER BY len(alias) DESC, alias, canonical)[1:4] AS terms FROM f GROUP BY 1)
+ SELECT q.query_id, array_to_string([query] || coalesce(terms, []), ' ') AS expanded_query, coalesce(len(terms), 0) AS n_terms FROM q LEFT JOIN l ON l.query_id = q.query_id""", "parents"))
+def routing_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of all users with up to four terms behind them, for routing."""
+    asked = corpus.chat_messages(spark, folder).filter("role = 'user'").select((F.col("chat_id") * 1000 + F.col("turn")).alias("query_id"), F.col("content").alias("query"))
+    return expansion.routed(asked, dictionary(spark, folder)).select("query_id", "expanded_query", F.size("terms").cast("long").alias("n_terms"))
+
+
 # scopes and endings of turns
 
 

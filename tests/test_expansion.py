@@ -33,3 +33,12 @@ def test_caps(spark):
     question = " ".join(a for a, *_ in aliases)
     rows, _ = expand(spark, [question], aliases)
     assert len(rows[0].fts_query.split()) == 26 + 10 and len(rows[0].embedding_query.split()) == 26 + 6 and rows[0].n_matches == 26
+
+
+def test_routing(spark):
+    aliases = [("annual report", "AR", "org", 0.9), ("report", "AR", "term", 0.9), ("it", "IT", "term", 0.9), ("budget", "Budget", "term", 0.7), ("ada", "Ada", "person_name", 0.9), *((f"word{x}", f"W{x}", "term", 0.9) for x in "abcde")]
+    q = spark.createDataFrame([(0, "Annual report on it, the budget and Ada"), (1, "worde wordd wordc wordb worda"), (2, "nothing"), (3, None), (4, "list people: ada")], "query_id int, query string")
+    a = spark.createDataFrame(aliases, "alias string, canonical string, term_type string, confidence double")
+    got = {r.query_id: r for r in expansion.routed(q, a).collect()}
+    assert {k: r.terms for k, r in got.items()} == {0: ["AR", "IT"], 1: ["Wa", "Wb", "Wc", "Wd"], 2: [], 3: [], 4: ["Ada"]}
+    assert got[0].expanded_query.endswith("Ada AR IT") and got[2].expanded_query == "nothing"
