@@ -351,7 +351,10 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, label: Column | None =
                     yield common.to_batch(found[k : k + 8192], RESULT)
 
     asked = vectors.filter(anchors).select("id", "label", "vec")
-    return asked.repartition(F.xxhash64("id")).mapInArrow(search, schema)
+    # anchors are few bytes but much work: a stated number of tasks keeps them from being put together by size
+    n = asked.count()
+    tasks = max(-(-n // batch_anchors), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    return asked.repartition(tasks, F.xxhash64("id")).mapInArrow(search, schema)
 
 
 def relabelled(id_col: str = "vec_id", label_col: str = "label") -> Column:
