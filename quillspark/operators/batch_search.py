@@ -8,7 +8,7 @@ with questions times chunks. All results are exact.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +124,9 @@ def matches_of_all(chunks: DataFrame, questions: DataFrame, k: int, k1: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stems.search_terms(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["query_id", "terms"])
 
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "question").mapInArrow(stems_of, "query_id long, terms array<string>").filter(F.size("terms") > 0)
-    path = stored(asked, "question-terms")
-    wanted = spark.read.schema("query_id long, terms array<string>").parquet(path).select(F.explode("terms").alias("term")).distinct()
+    stems_at = stored(asked, "question-terms")
+    asked = spark.read.schema("query_id long, terms array<string>").parquet(stems_at).select("query_id", F.posexplode("terms").alias("place", "term"))
+    wanted = asked.select("term").distinct()
     split = pa.schema([("chunk_id", pa.int64()), ("length", pa.int32()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +146,10 @@ def matches_of_all(chunks: DataFrame, questions: DataFrame, k: int, k1: float =
     words = spark.read.schema(words.schema).parquet(place)
     n, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     df = words.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = staging(spark, "stem-frequencies")
-    df.write.parquet(weights)
+    # questions carry the frequencies of their stems; one with a stem that no chunk has can't be matched
+    asked = asked.join(df, "term", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", F.coalesce("df", F.lit(0)).alias("df")))).alias("x"))
+    asked = asked.filter(~F.exists("x", lambda y: y["df"] == 0))
+    path = stored(asked.select("query_id", F.col("x.term").alias("terms"), F.col("x.df").alias("df")), "question-weights")
     mean = total / n if n else 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,21 +164,16 @@ def matches_of_all(chunks: DataFrame, questions: DataFrame, k: int, k1: float =
             bounds = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
             place = {t: k for k, t in enumerate(terms.dictionary.to_pylist())}
             for block in blocks_of(path):
-                held = defaultdict(int)
-                for found in block.column(1).to_pylist():
-                    for t in found:
-                        held[t] += 1
-                frequency = frequencies(set(held) & place.keys())
                 out = []
-                for query, found in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                for query, found, df in zip(*(block.column(c).to_pylist() for c in range(3)), strict=True):
                     if not all(t in place for t in found):
                         continue
                     total = np.zeros(len(ids))
                     seen = np.zeros(len(ids), np.int32)
-                    for t in found:
+                    for t, f in zip(found, df, strict=True):
                         some = order[bounds[place[t]] : bounds[place[t] + 1]]
                         c, own = counts[some], owner[some]
-                        idf = np.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                        idf = np.log(1 + (n - f + 0.5) / (f + 0.5))
                         total[own] += idf * c * (k1 + 1) / (c + k1 * (1 - b + b * length[own] / mean))
                         seen[own] += 1
                     total = np.where(seen == len(found), np.round(total, digits), -np.inf)[None, :]
@@ -183,15 +181,6 @@ def matches_of_all(chunks: DataFrame, questions: DataFrame, k: int, k1: float =
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), HITS, strict=True)], schema=HITS)
 
-    def frequencies(terms: set[str]) -> dict[str, int]:
-        """df of the terms of a block of questions that the task has at all."""
-        found = {}
-        for part in blocks_of(weights):
-            for t, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if t in terms:
-                    found[t] = f
-        return found
-
     return merged(words.mapInArrow(score, HITS_DDL), k)
 
 
