@@ -160,3 +160,54 @@ def test_retrieval_of_all(spark):
             if passage not in [p for _, p in want]:
                 want.append((x[0], passage))
         assert seen[q] == want
+
+
+def test_term_counts():
+    text = "Running runs run, RÜN rün; the The tHe 12 12 x_y"
+    terms = stems.index_terms(text)
+    assert stems.term_counts(text) == (len(terms), {t: terms.count(t) for t in dict.fromkeys(terms)})
+
+
+def test_floors_keep_hits_few(spark, monkeypatch):
+    """Tasks return what reaches the k-th best of a sixteenth of the chunks, not k hits of each of their blocks."""
+    monkeypatch.setattr(batch_search, "CHUNK_BLOCK", 64)
+    sizes, merged = [], batch_search.merged
+    monkeypatch.setattr(batch_search, "merged", lambda hits, k: (sizes.append(hits.count()), merged(hits, k))[1])
+    r = np.random.default_rng(5)
+    m, q = r.integers(-9, 10, (8192, 8)), r.integers(-9, 10, (6, 8))
+    frame = lambda x, name: spark.createDataFrame([(k, v.astype(float).tolist()) for k, v in enumerate(x)], f"{name} long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = batch_search.nearest_of_all(frame(m, "chunk_id"), frame(q, "query_id"), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cosine = np.round(q @ m.T / np.sqrt((q * q).sum(1)[:, None] * (m * m).sum(1)), 6)
+    assert {(x.query_id, x.rank): (x.chunk_id, x.score) for x in got} == {(a, k + 1): (c, cosine[a, c]) for a in range(6) for k, c in enumerate(np.lexsort((np.arange(8192), -cosine[a]))[:5].tolist())}
+    assert sizes[-1] < 6 * 5 * 8192 // 64 // 4
+
+
+def test_frequent_stems_are_not_scored(spark, monkeypatch):
+    """Chunks are followed from a question's rarest stem: pairs at hand are its postings, not those of the frequent ones."""
+    monkeypatch.setattr(batch_search, "PAIR_BLOCK", 16)
+    docs = spark.createDataFrame([(k, f"the of and {'w%d' % (k % 500)} {'v%d' % (k % 7)}") for k in range(2000)], "id long, content string")
+    asked = spark.createDataFrame([(k, f"the of w{k} v{k % 7} the") for k in range(40)] + [(99, "the w3 nowhere")], "query_id long, question string")
+    got = {}
+    for x in batch_search.matches_of_all(docs, asked, 2).collect():
+        got.setdefault(x.query_id, []).append(x.chunk_id)
+    assert got == {k: w[:2] for k in range(40) if (w := [d for d in range(2000) if d % 500 == k and d % 7 == k % 7])}
+
+
+def test_retrieve_reads_chunks_once(spark):
+    """Both searches and the selection share one pass over the chunks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    chunks = spark.range(300).select("id", (F.col("id") % 10).alias("file_id"), F.lit(None).cast("long").alias("parent_id"), counted(F.concat(F.lit("word w"), F.col("id"))).alias("content"), F.lit("s").alias("section"), F.lit("narrative").alias("block_type"), F.col("id").alias("place"))
+    files = spark.range(10).select("id", F.concat(F.lit("f"), "id").alias("filename"))
+    asked = spark.createDataFrame([(1, "word w7"), (2, "w8")], "query_id long, question string")
+    rows = batch_search.retrieve(asked, chunks, files, spark.range(0).select("id"), 3).collect()
+    assert {r.chunk_id for r in rows if r.nth == 1} >= {7, 8} and seen.value == 300
