@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .lineage import staged
 
 #: Most terms added for embedding, for full text and for routing, most near words of a question and of a term.
 MOST_EMBEDDED, MOST_SEARCHED, MOST_ROUTED, MOST_NEAR, NEAR_PER_TERM = 6, 10, 4, 2, 1
@@ -24,16 +25,11 @@ def read_word(word: Column) -> Column:
     return F.when((F.length(word) >= LEAST_NEAR) & word.rlike("[0-9]"), F.translate(word, "01", "ol")).otherwise(word)
 
 
-def variants(word: Column) -> Column:
-    """The word, and the word without each of its characters: words one edit apart share one."""
-    cut = lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word)))
-    return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(word)), cut), word))
-
-
 def dictionary(aliases: DataFrame) -> DataFrame:
     """(alias, canonical, term_type, confidence, tier) with aliases in normal form; those of low tier or without a term go."""
     known = aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical", "term_type", "confidence", T.confidence_tier(F.col("confidence")).alias("tier"))
-    return known.filter((F.col("alias") != "") & (F.trim("canonical") != "") & (F.col("tier") != "low"))
+    # several joins read it
+    return staged(known.filter((F.col("alias") != "") & (F.trim("canonical") != "") & (F.col("tier") != "low")), "dictionary")
 
 
 def asked_words(queries: DataFrame) -> DataFrame:
@@ -75,9 +71,12 @@ def matched_terms(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     known = dictionary(aliases).filter((F.length("alias") >= LEAST_ALIAS) & ~F.col("alias").isin(BLOCKED))
     words = asked_words(queries)
-    high = known.filter(~F.contains("alias", F.lit(" ")) & (F.col("tier") == "high") & (F.length("alias") >= LEAST_NEAR)).withColumn("variant", F.explode(variants(F.col("alias"))))
-    near = words.select("query_id", "persons", read_word(F.col("word")).alias("word")).filter(F.length("word") >= LEAST_NEAR).distinct().withColumn("variant", F.explode(variants(F.col("word"))))
-    near = near.join(high, "variant").filter(may() & (F.levenshtein("word", "alias", 1) >= 0)).select(*KEPT, F.lit(2).alias("how"))
+    high = known.filter(~F.contains("alias", F.lit(" ")) & (F.col("tier") == "high") & (F.length("alias") >= LEAST_NEAR)).withColumn("variant", F.explode(T.variants(F.col("alias"))))
+    asked = words.select("query_id", "persons", read_word(F.col("word")).alias("word")).filter(F.length("word") >= LEAST_NEAR).distinct()
+    # each distinct word meets the dictionary once, however many questions hold it
+    near = asked.select("word").distinct().withColumn("variant", F.explode(T.variants(F.col("word")))).join(high, "variant")
+    near = near.filter(F.levenshtein("word", "alias", 1) >= 0).select("word", "alias", "canonical", "term_type", "tier", "confidence").distinct()
+    near = asked.join(near, "word").filter(may()).select(*KEPT, F.lit(2).alias("how"))
     once = Window.partitionBy("query_id", "alias").orderBy("how", F.desc("confidence"), "canonical")
     rows = said_terms(words, known).unionByName(near).withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
     of_term = Window.partitionBy("query_id", "how", T.term_text(F.col("canonical"))).orderBy(*by_alias())

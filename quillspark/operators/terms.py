@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .lineage import staged
 
 PAIR = r"((?:[A-Z][A-Za-z]+(?:\s+(?:of|and|for|the)\s+|\s+)){1,7}[A-Z][A-Za-z]+)\s*\(([A-Z]{2,8})\)"
 REVERSE = r"\b([A-Z]{2,8})\s*\(((?:[A-Z][A-Za-z]+(?:\s+(?:of|and|for|the)\s+|\s+)){1,7}[A-Z][A-Za-z]+)\)"
@@ -69,24 +70,35 @@ def expanded_queries(queries: DataFrame, aliases: DataFrame, most: int = 6) -> D
     one of its longer words (2).
 
     Phrases meet queries on their first word and are then looked for whole; words meet aliases by equality; near words meet
-    on a shared half, as one edit leaves one half of a word untouched.
+    on variants with one character left out, once for each distinct word. Of a word's near terms the ``most`` first are
+    enough: one that a query holds by phrase or word takes a place there.
     """
     words = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("word"))
-    alias = aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical")
+    alias = staged(aliases.select(T.term_text(F.col("alias")).alias("alias"), "canonical"), "aliases")
     phrases = alias.filter(F.contains("alias", F.lit(" "))).withColumn("word", F.substring_index("alias", " ", 1))
     said = queries.select("query_id", F.concat(F.lit(" "), T.term_text(F.col("query")), F.lit(" ")).alias("said"))
     phrase = words.join(phrases, "word").join(said, "query_id").filter(F.contains("said", F.concat(F.lit(" "), "alias", F.lit(" ")))).select("query_id", "canonical", F.lit(0).alias("how"))
     exact = words.join(alias, F.col("word") == F.col("alias")).select("query_id", "canonical", F.lit(1).alias("how"))
-    halves = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 3)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(3))))))
-    near = words.filter(F.length("word") >= 6).withColumn("half", halves("word")).join(alias.filter(F.length("alias") >= 5).withColumn("half", halves("alias")), "half")
-    near = near.filter((F.col("word") != F.col("alias")) & T.near_word(F.col("word"), F.col("alias"))).select("query_id", "canonical", F.lit(2).alias("how"))
-    rows = phrase.unionByName(exact).unionByName(near).groupBy("query_id", "canonical").agg(F.min("how").alias("how"))
+    by_variant = lambda rows, c: rows.withColumn("variant", F.explode(T.variants(F.col(c))))
+    near = by_variant(words.select("word").filter(F.length("word") >= 6).distinct(), "word").join(by_variant(alias.filter(F.length("alias") >= 5), "alias"), "variant")
+    near = near.filter((F.col("word") != F.col("alias")) & T.near_word(F.col("word"), F.col("alias"))).select("word", "canonical").distinct()
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("canonical"))).filter(F.col("nth") <= most)
+    rows = phrase.unionByName(exact).unionByName(words.join(near, "word").select("query_id", "canonical", F.lit(2).alias("how"))).groupBy("query_id", "canonical").agg(F.min("how").alias("how"))
     w = Window.partitionBy("query_id").orderBy("how", "canonical")
     return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("nth")
 
 
 def document_terms(chunks: DataFrame, least_length: int = 4) -> DataFrame:
-    """Corpus vocabulary: occurrences and files per term."""
-    words = F.filter(F.split(T.term_text(F.col("content")), " +"), lambda x: F.length(x) >= least_length)
-    per_file = chunks.select("file_id", F.explode(words).alias("norm")).groupBy("norm", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("norm").agg(F.sum("n").alias("n_seen"), F.count(F.lit(1)).alias("n_files"))
+    """Corpus vocabulary: occurrences and files per term.
+
+    The chunks of a file come together before their words are counted, so that texts are shuffled and not a row per word of
+    each file; what a task knows of a term leaves it as one row.
+    """
+    texts = chunks.groupBy("file_id").agg(F.collect_list("content").alias("content"))
+    # words of a chunk end with it
+    words = F.filter(F.split(T.term_text(F.array_join("content", "\n")), " +"), lambda x: F.length(x) >= least_length)
+    one = lambda n, files: lambda x: F.struct(x.alias("norm"), F.lit(n).alias("n"), F.lit(files).alias("files"))
+    # the lambda names the words, so that they are split once
+    marked = F.transform(F.array(words), lambda w: F.concat(F.transform(w, one(1, 0)), F.transform(F.array_distinct(w), one(0, 1))))[0]
+    rows = texts.select(F.explode(marked).alias("x")).select("x.*")
+    return rows.groupBy("norm").agg(F.sum("n").alias("n_seen"), F.sum("files").alias("n_files"))

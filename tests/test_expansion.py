@@ -1,6 +1,8 @@
 """Expansion of questions: order, tiers, gates, near words and caps."""
 
-from quillspark.operators import expansion
+import re
+
+from quillspark.operators import expansion, terms
 
 
 def expand(spark, questions, aliases):
@@ -42,3 +44,25 @@ def test_routing(spark):
     got = {r.query_id: r for r in expansion.routed(q, a).collect()}
     assert {k: r.terms for k, r in got.items()} == {0: ["AR", "IT"], 1: ["Wa", "Wb", "Wc", "Wd"], 2: [], 3: [], 4: ["Ada"]}
     assert got[0].expanded_query.endswith("Ada AR IT") and got[2].expanded_query == "nothing"
+
+
+def test_dictionary_is_computed_once(spark):
+    """Phrases, words and near words share one pass over the dictionary, however it comes about."""
+    for expand in (terms.expanded_queries, expansion.expanded):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(x, seen=seen):
+            seen.add(1)
+            return (x, x.upper(), "term", 0.9)
+
+        q = spark.createDataFrame([(0, "revenue of the annuel report")], "query_id int, query string")
+        a = spark.createDataFrame(spark.sparkContext.parallelize(["revenue", "annual", "annual report"], 1).map(counted), "alias string, canonical string, term_type string, confidence double")
+        assert expand(q, a).collect() and seen.value == 3
+
+
+def test_vocabulary_of_many_chunks(spark):
+    """Words that files share, repeat and part over chunks; a row per file and word doesn't leave a task."""
+    rows = [(f, f"Alpha beta{c}\nalpha; {'gamma' if f == 1 else ''}" if c else None) for f in (0, 1, 2, None) for c in range(3)]
+    out = terms.document_terms(spark.createDataFrame(rows, "file_id long, content string"))
+    assert {r.norm: (r.n_seen, r.n_files) for r in out.collect()} == {"alpha": (16, 4), "beta1": (4, 4), "beta2": (4, 4), "gamma": (2, 1)}
+    assert not re.search(r"hashpartitioning\(norm#\d+L?, file_id", out._jdf.queryExecution().executedPlan().toString())
