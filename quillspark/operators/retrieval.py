@@ -174,7 +174,8 @@ def evidence(claims: DataFrame, sources: DataFrame, threshold: int = 2, block: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .batch_search import blocks_of
 
-        for batch in batches:
+        # few sources at a time: an index of a whole batch takes hundreds of megabytes
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             words = batch.column(0)
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(words.value_lengths().fill_null(0)))
             held = words.flatten().dictionary_encode()
