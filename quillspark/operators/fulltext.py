@@ -10,7 +10,6 @@ term a pushed filter over sorted row groups.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stems import index_terms, search_terms
+from ..functions.stems import search_terms, term_counts
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("most", pa.int32()), ("least", pa.int32()), ("longest", pa.int32())])
 BLOCK_DDL = "bucket int, term string, ids array<long>, counts array<int>, lengths array<int>, most int, least int, longest int"
@@ -36,8 +35,8 @@ def postings(chunks: DataFrame, buckets: int, id_col: str = "id", text_col: str
         held: list[tuple] = []
         for batch in batches:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = index_terms(text or "")
-                held += [(bucket_of(term, buckets), term, ident, n, len(words)) for term, n in Counter(words).items()]
+                length, counts = term_counts(text or "")
+                held += [(bucket_of(term, buckets), term, ident, n, length) for term, n in counts.items()]
                 if len(held) >= 1 << 15:
                     yield rows_to_batch(held, schema)
                     held = []
