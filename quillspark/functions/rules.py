@@ -87,4 +87,6 @@ def header_only(text: Column) -> Column:
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
     n = F.size(lines)
     tabular = F.size(F.filter(lines, lambda x: x.rlike(TABLE_ROW) | x.rlike(TABLE_RULE)))
-    return (F.length(body) >= HEADER_LEAST) & (tabular > HEADER_SHARE * n) & ((F.length(text) < HEADER_CHARS) | (n - tabular < HEADER_LINES))
+    heads = (F.length(body) >= HEADER_LEAST) & (tabular > HEADER_SHARE * n) & ((F.length(text) < HEADER_CHARS) | (n - tabular < HEADER_LINES))
+    # without a bar no line is tabular: such texts are not cut into lines (a branch, as Spark computes what repeats in a conjunction up front)
+    return F.when(text.contains("|"), heads).otherwise(F.lit(False))

@@ -32,8 +32,8 @@ def fault(size: Column, extension: Column, text: Column) -> Column:
     return (
         F.when(size > MAX_BYTES, "file_too_large")
         .when(~extension.isin(list(T.CATEGORIES)), "no_extractor")
-        .when(T.longest_line(text) > MAX_LINE, "text_pathological_line_length")
-        .when(R.stripped(text) == "", "empty_text")
+        .when((F.length(text) > MAX_LINE) & (T.longest_line(text) > MAX_LINE), "text_pathological_line_length")
+        .when(~text.rlike(r"\S"), "empty_text")
     )
 
 
@@ -66,7 +66,9 @@ def index_files(store: Store, scanned: DataFrame, removed: DataFrame | None = No
     if base["batches"]:
         known = store.read("files", base).select("file_id", "content_hash")
         lost = failures(store, base).filter("NOT retryable").select("file_id", "content_hash")
-        scanned = scanned.join(known.union(lost), ["file_id", "content_hash"], "left_anti")
+        # by file alone, as the texts already lie by file
+        done = known.union(lost).groupBy("file_id").agg(F.collect_set("content_hash").alias("_done"))
+        scanned = scanned.join(done, "file_id", "left").filter(~F.coalesce(F.array_contains("_done", F.col("content_hash")), F.lit(False))).drop("_done")
     size, extension = F.col("size_bytes"), F.col("extension")
     rows = described(scanned.withColumn("error_code", fault(size, extension, F.coalesce("text", F.lit("")))))
     rows = store.stage(batch, "scanned", rows)

@@ -173,8 +173,8 @@ SEARCHED = "erste AND Zeiten"
 
 
 def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    d = corpus.files(spark, folder).select(F.col("id").alias("file_id"), "path", "filename", "extension", F.col("size_bytes").cast("long").alias("size_bytes"))
-    return d.join(corpus.table(spark, folder, "documents").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("content_hash"), "text"), "file_id")
+    d = corpus.files(spark, folder, "text").filter("id IS NOT NULL")
+    return d.select(F.col("id").alias("file_id"), "path", "filename", "extension", F.col("size_bytes").cast("long").alias("size_bytes"), "content_hash", "text")
 
 
 @query(r"""WITH t AS (SELECT doc_id AS file_id, sha256(text) AS h, regexp_matches(coalesce(text, ''), '\S') AS "some", doc_id % 7 = 3 AS edited, doc_id % 11 = 5 AS huge, doc_id % 13 = 2 AS gone FROM documents)
@@ -189,7 +189,8 @@ def indexed_versions(spark: SparkSession, folder: str) -> DataFrame:
     again = rows.withColumn("content_hash", F.when(edited | huge, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))).withColumn("text", F.when(edited, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).withColumn("size_bytes", F.when(huge, indexing.MAX_BYTES + 1).otherwise(F.col("size_bytes")))
     indexing.index_files(store, again, rows.filter("file_id % 13 = 2").select("file_id"))
     children = store.read("chunks").filter("parent_id IS NOT NULL").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    vectors = store.read("vectors").groupBy("file_id").agg(F.count("vector").alias("m"))
+    held = F.when(F.col("vector").isNotNull(), True).alias("held")
+    vectors = store.read("vectors", columns=["file_id", held]).groupBy("file_id").agg(F.count("held").alias("m"))
     seen = store.read("files").join(children, "file_id", "left").join(vectors, "file_id", "left")
     return seen.select("file_id", "content_hash", F.coalesce(F.col("n") == F.col("m"), F.lit(False)).alias("whole"))
 

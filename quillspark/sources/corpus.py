@@ -16,15 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per document, with names, paths, categories and years derived from its id."""
+def files(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """One file per document, with names, paths, categories and years derived from its id, and ``more`` of the document's columns."""
     d = table(spark, folder, "documents")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
     year = F.when(F.col("doc_id") % 7 != 0, (1990 + F.col("doc_id") % 35).cast("int"))
     rows = d.select(
         F.col("doc_id").alias("id"), ext.alias("extension"), year.alias("year"), F.col("n_chars").alias("size_bytes"), "lang", "source",
         F.sha2("text", 256).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "upload.local").otherwise("filesystem").alias("source_provider"), F.lit("file").alias("entity_type"),
-        F.array("lang", "source").alias("tags"),
+        F.array("lang", "source").alias("tags"), *more,
     )
     name = F.concat(F.lit("doc_"), F.lpad(F.col("id").cast("string"), 8, "0"), F.coalesce(F.concat(F.lit("_"), F.col("year").cast("string")), F.lit("")), F.col("extension"))
     rows = rows.withColumn("filename", name).withColumn("path", F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit("/"), "filename"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -101,14 +101,19 @@ class Store:
         last = rows.groupBy("file_id").agg(F.max_by(F.struct("batch", "live"), place).alias("x"))
         return last.filter("x.live").select("file_id", "x.batch")
 
-    def read(self, table: str, manifest: dict | None = None) -> DataFrame:
-        """The committed rows of a table, as of a manifest (the newest by default)."""
+    def read(self, table: str, manifest: dict | None = None, columns: list[str | Column] | None = None) -> DataFrame:
+        """The committed rows of a table, as of a manifest (the newest by default).
+
+        ``columns``, the file_id among them, are computed where the rows are read, so that nothing else travels to the owners.
+        """
         manifest = manifest or self.manifest()
         schema = StructType.fromJson(json.loads(manifest["schemas"][table]))
         rows = self.spark.read.schema(StructType([*schema.fields]).add("batch", "string")).parquet(f"{self.root}/{table}").filter(F.col("batch").isin(manifest["batches"]))
+        if columns:
+            rows = rows.select(*columns, "batch")
         if not manifest["clean"]:
             rows = rows.join(self.owners(manifest), ["file_id", "batch"], "left_semi")
-        return rows.select(*schema.names)
+        return rows.drop("batch") if columns else rows.select(*schema.names)
 
 
 def new_batch() -> str:

@@ -1,15 +1,17 @@
 """Versioned indexing, watching and caching: killed batches, replays, conflicts, shuffled and late events, restarts."""
 
 import random
+import re
 from collections import OrderedDict
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import embedding
-from quillspark.operators import indexing
+from quillspark.functions import embedding, rules, text
+from quillspark.operators import chunking, indexing
 from quillspark.operators.lineage import clear, run_folder, staging
+from quillspark.plans import catalog
 from quillspark.sources.versions import Conflict, Store, new_batch
 from quillspark.streaming import cache, watch
 
@@ -114,6 +116,49 @@ def test_indexing_odd_batches(spark, store):
     assert seen(store) == {}
 
 
+def test_texts_travel_once(spark, store):
+    """A second batch deals texts by file only, readers name what travels, and documents are scanned once."""
+    plans = []
+
+    class Watched(Store):
+        def stage(self, batch, table, rows):
+            if table == "scanned":
+                plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().stage(batch, table, rows)
+
+    indexing.index_files(Watched(spark, store.root), scanned(spark, {k: body(k) for k in range(4)}))
+    indexing.index_files(Watched(spark, store.root), scanned(spark, {0: body(0), 1: body(50), 2: None}))
+    assert seen(store).keys() == {0, 1, 2, 3} and "content_hash" not in " ".join(x for x in plans[1].split("\n") if "Join" in x and "Window" not in x)
+    held = store.read("vectors", columns=["file_id", F.col("vector").isNotNull().alias("held")])
+    assert held.columns == ["file_id", "held"] and held.count() == store.read("vectors").count() == held.filter("held").count()
+    folder = "/root/testdata/sf0.001"
+    plan = catalog.scanned_documents(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("parquet") == 1
+
+
+ODD = ["plain text\nof two lines", "a\x85", " \x85\nb", "\t\nb", "\r\nb", "b\n \u2028", "\ufffd \nb", "x\ue000y", "x\uf8ffy\n\ufffd", "\u200bz\n\ufeff", "glypH<7>q\n", "GLYPH&x;q", "H<1", "  \n\n x", "", None, "日本，語\nü"]
+
+
+def test_quick_ways_give_the_same(spark):
+    """Guards before patterns, words counted once, words cut from bytes: as the plain rules have it."""
+
+    def cleaned(t):
+        t = re.sub(r"(?ia)GLYPH[<&][^>;\s]*[>;]?", "", t)
+        t = re.sub("[\ue000-\uf8ff\u200b\ufeff]", "", t)
+        return "\n".join(x for x in t.split("\n") if not re.search("^[\ufffd \t\x0b\f\r]+(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z", x) or x.strip(" ") == "")
+
+    rows = spark.createDataFrame(list(enumerate(ODD)), "k int, t string").select("k", text.clean_glyphs(F.col("t")).alias("c"), rules.header_only(F.col("t")).alias("h"))
+    got = rows.orderBy("k").collect()
+    assert [r.c for r in got] == [None if t is None else cleaned(t) for t in ODD] and not any(r.h for r in got)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b. ", "! ", "\n", "\n\n", "| ", "|", "# ", "é", "ß", "_", "9", "X y ", "\x85", "\u3000", "?\n", "日本"]) for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    for t in texts:
+        chunks = chunking.counted_chunks(t, 9, 5, 3)
+        assert [len(c[2].split()) for c in chunks] == [c[-1] for c in chunks] and [c[:-1] for c in chunks] == chunking.chunk_text(t, 9, 5, 3)
+        assert [w.decode() for w in embedding.words_of(t)] == re.findall(r"[a-z0-9_]+|[^\x00-\x7f]+", t.lower())
+    assert embedding.Signed.most == 1 << 16
+
+
 START = datetime(2024, 5, 1, tzinfo=UTC)
 EVENTS = "event_id long, created_at timestamp, kind string, path string, dest string, is_directory boolean"
 
