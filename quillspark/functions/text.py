@@ -155,7 +155,9 @@ def limit_words(text: Column, n: int) -> Column:
     """At most n words, cut back to the last sentence end among them if there is one."""
     head = F.regexp_extract(text, rf"^(?:\s*\S+){{0,{n}}}", 0)
     whole = F.regexp_extract(head, r"^([\s\S]*[.!?])(?:\s|$)", 1)
-    return F.when(word_count(text) <= n, text).when(whole != "", whole).otherwise(head)
+    # looks no further than the word behind the last that may stay
+    more = text.rlike(rf"\A\s*+(?:\S++\s++){{{n}}}+\S")
+    return F.when(~F.coalesce(more, F.lit(False)), text).when(whole != "", whole).otherwise(head)
 
 
 def chat_title(text: Column, n: int = 50) -> Column:

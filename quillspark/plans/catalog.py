@@ -476,8 +476,8 @@ def answer_sanitised(spark: SparkSession, folder: str) -> DataFrame:
     rows = corpus.chat_messages(spark, folder).filter("role = 'assistant'").select("chat_id", "turn", "content")
     rows = rows.unionByName(corpus.table(spark, folder, "documents").select((-1 - F.col("doc_id")).alias("chat_id"), F.lit(0).alias("turn"), F.col("text").alias("content")))
     rows = rows.select("chat_id", "turn", A.displayed(F.col("content")).alias("shown"))
-    clean = T.redact_numbers(F.col("shown.text"))
-    return rows.select("chat_id", "turn", clean.alias("content"), "shown.reasoning_only", T.incomplete_reason(clean).alias("incomplete"), T.limit_words(clean, 50).alias("short"))
+    rows = rows.select("chat_id", "turn", T.redact_numbers(F.col("shown.text")).alias("content"), "shown.reasoning_only")
+    return rows.select("*", T.incomplete_reason(F.col("content")).alias("incomplete"), T.limit_words(F.col("content"), 50).alias("short"))
 
 
 @query()

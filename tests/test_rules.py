@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import answers, rules
+from quillspark.functions import answers, rules, text
 from quillspark.operators import gates, retrieval
 
 
@@ -95,6 +95,16 @@ ANSWERS = {
 }
 
 
+def test_answers_need_few_patterns(spark):
+    """Every pattern stands behind its sign, and the limit of words looks no further than it must."""
+    plan = lambda f: spark.range(1).select(f(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan(answers.display_answer).count("contains(") >= 12 and "regexp_count" not in plan(lambda c: text.limit_words(c, 50))
+    seen = ["", " ", "a", "a b", "a b ", " a b c", "a. b c", None, "a\tb\n\nc d", "a b\x85c d"]
+    assert each(spark, lambda c: text.limit_words(c, 2), seen) == ["", " ", "a", "a b", "a b ", " a b", "a.", None, "a\tb", "a b\x85c"]
+    odd = {"End.\x85": "End.", " \x85a": "a", "a \u2028": "a", "\na\n\n\n\nb\t": "a\n\nb", "a<BR >b\x1dc": "a; b\nc", "<THINK>no</THINK> [X] yes": "[X] yes", "- [X] \tyes": "- yes", "A\n\n\nSCOPE NOTE: no\n\n\nB": "A\n\nB"}
+    assert each(spark, answers.display_answer, list(odd)) == list(odd.values())
+
+
 def test_display_answers(spark):
     assert each(spark, answers.display_answer, list(ANSWERS)) == list(ANSWERS.values())
     rows = spark.createDataFrame([("- [ ] Look", "Make a checklist with checkboxes"), ("- [ ] Look", "todo list please"), ("- [ ] Look", None)], "a string, q string")
