@@ -211,3 +211,49 @@ def test_retrieve_reads_chunks_once(spark):
     asked = spark.createDataFrame([(1, "word w7"), (2, "w8")], "query_id long, question string")
     rows = batch_search.retrieve(asked, chunks, files, spark.range(0).select("id"), 3).collect()
     assert {r.chunk_id for r in rows if r.nth == 1} >= {7, 8} and seen.value == 300
+
+
+def test_retrieve_searches_each_text_once(spark, monkeypatch):
+    """Copies of a text are one row of both searches and come back as chunks; a section may come with the files."""
+    rng = random.Random(7)
+    texts = ["alpha beta", "alpha", "beta gamma", "alpha beta gamma delta", "Beta, alpha", None, ""]
+    rows = [(k, k % 4, None, rng.choice(texts), "narrative", k) for k in range(900, 0, -1)]
+    chunks = spark.createDataFrame(rows, "id long, file_id long, parent_id long, content string, block_type string, place long")
+    sections = {0: "Body", 1: "Index", 2: "Body", 3: "Glossary"}
+    files = spark.createDataFrame([(k, f"f{k}.pdf", s) for k, s in sections.items()], "id long, filename string, section string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "nothing of it"), (4, "beta gamma delta")], "query_id long, question string")
+    parents, seen = spark.range(0).select("id"), []
+    for name in ("nearest_of_all", "matches_of_all"):
+        search = getattr(batch_search, name)
+        monkeypatch.setattr(batch_search, name, lambda x, *a, f=search: (seen.append(x.count()), f(x, *a))[1])
+    hits = lambda c, f: sorted(tuple(r) for r in batch_search.retrieve(asked, c, f, parents, top_k=20, pool=30, text_limit=15).collect())
+    got = hits(chunks, files)
+    assert seen == [len(texts)] * 2
+    section = files.select(F.col("id").alias("file_id"), "section")
+    assert got == hits(chunks.join(section, "file_id"), files.drop("section"))
+
+    def cosine(a, b):
+        x, y = embedding.embedded([a, b or ""], 64).astype(float)
+        return round(float(x @ y / math.sqrt((x @ x) * (y @ y))), 6) if y.any() else None
+
+    for q, question in ((1, "alpha beta"), (2, "gamma"), (4, "beta gamma delta")):
+        near = sorted((-s, r[0], r[1]) for r in rows if (s := cosine(question, r[3])) is not None)[:40]
+        mine = {i: f for _, i, f in near}
+        # counts of chunks, not of texts, weigh the stems
+        more = [i for _, i, _ in brute_bm25([(r[0], r[3]) for r in rows], stems.search_terms(question), True)[:55] if i not in mine][:15]
+        place = {r[0]: r for r in rows}
+        scored = [(round(-s - (0.15 if sections[f] != "Body" else 0) - 0.04, 6), n, i) for n, (s, i, f) in enumerate(near)] + [(round(0 - (0.15 if sections[place[i][1]] != "Body" else 0) - 0.04, 6), 10**6 + n, i) for n, i in enumerate(more)]
+        want = [i for _, _, i in sorted(scored, key=lambda y: (-y[0], y[1]))[:20]]
+        assert [r[2] for r in got if r[0] == q] == want
+
+
+def test_copies_count(spark):
+    """Statistics of rows that stand for several are those of all of them."""
+    rows = corpus(9)
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate(["running", "nations tables", "run x1", "w1 w2"])], "query_id long, question string")
+    times = {i: 1 + i % 3 for i, _ in rows}
+    some = spark.createDataFrame([(i, t, times[i]) for i, t in rows], "id long, content string, copies int")
+    every = spark.createDataFrame([(i * 10 + n, t) for i, t in rows for n in range(times[i])], "id long, content string")
+    got = {(r.query_id, r.chunk_id): r.score for r in batch_search.matches_of_all(some, asked, 500).collect()}
+    want = {(r.query_id, r.chunk_id // 10): r.score for r in batch_search.matches_of_all(every, asked, 2000).collect()}
+    assert got == want and len(got) > 15

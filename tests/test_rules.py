@@ -111,3 +111,19 @@ def test_display_answers(spark):
     assert [r[0] for r in rows.select(answers.display_answer(F.col("a"), F.col("q"))).collect()] == ["- [ ] Look", "- [ ] Look", "- Look"]
     got = each(spark, answers.displayed, ["<think>only</think>", "text", " "])
     assert [tuple(r) for r in got] == [(answers.FALLBACK, True), ("text", False), ("", False)]
+
+
+def test_signs_of_patterns(spark):
+    """Every pattern holds one of the signs that are searched for first, in any case of its letters."""
+    sections = ["TABLE  of content", "Contents", "INDEX", "Appendix A", "appendices", "glossaRy", "Reference", "references", "Bibliography", "CITATION", "citations", "Copyright", "licensE", "legal", "Legal Notice", "Acknowledgments", "acknowledgement", "ChangeLog", "Revision\thistory", "release note", "Title Page", "COVER page", "front  matter"]
+    heads = ["*** Start of the project Gutenberg EBOOK", "PROJECT gutenberg ebook", "this EBOOK is for the use of anyone", "Other INFORMATION and formats", "CREDITS:x", "credit:y", "LANGUAGE: e"]
+    for texts, patterns, signs in ((sections, rules.STRUCTURAL_SECTIONS, rules.SECTION_SIGNS), (heads, rules.STRUCTURAL_TEXTS, rules.TEXT_SIGNS)):
+        assert each(spark, lambda c, p=patterns, s=signs: rules.any_of(c, p, s), [*texts, "none of them", "İ"]) == [True] * len(texts) + [False] * 2
+
+
+def test_penalty_is_no_branch(spark):
+    """What a candidate loses is computed once a row, below the count of candidates, not within the branch on that count."""
+    rows = frame(spark, [(1, 1, 1, "a.pdf", "a", "credits:x", 0.1)])
+    plan = retrieval.substantive_bias(rows)._jdf.queryExecution().optimizedPlan()
+    branches = [str(x) for x in plan.toString().split("\n") if "> 1)" in x]
+    assert branches and not any("credits" in x or "regexp_replace" in x for x in branches)
