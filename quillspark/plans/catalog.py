@@ -111,7 +111,7 @@ QUESTIONS_SQL = "asked AS (SELECT 2 * item_id AS query_id, text AS question FROM
 
 def embed_sql(name: str, key: str, c: str, table: str) -> str:
     """(key, dim, value) of the places that aren't zero."""
-    word = rf"unnest(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+|[^\x00-\x7f]+')[1:8192]) AS w"
+    word = rf"unnest(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+|[^\x00-\x7f]+')) AS w"
     return f"{name} AS (SELECT {key}, {embedding.FEATURE_SQL.format(w='w', d=DIMENSIONS)} AS dim, sum({embedding.SIGN_SQL.format(w='w')}) AS value FROM (SELECT {key}, {word} FROM {table}) GROUP BY ALL HAVING value <> 0)"
 
 

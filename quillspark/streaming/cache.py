@@ -29,7 +29,7 @@ class Cache:
         found = self.held.get(question)
         hit = found is not None and now - found[0] <= self.live
         if not hit:
-            found = (now, embedded([question], self.dimensions)[0].tolist())
+            found = (now, embedded([question], self.dimensions, None)[0].tolist())
             self.held[question] = found
         self.held.move_to_end(question)
         while len(self.held) > self.most:

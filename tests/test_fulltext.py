@@ -257,3 +257,62 @@ def test_copies_count(spark):
     got = {(r.query_id, r.chunk_id): r.score for r in batch_search.matches_of_all(some, asked, 500).collect()}
     want = {(r.query_id, r.chunk_id // 10): r.score for r in batch_search.matches_of_all(every, asked, 2000).collect()}
     assert got == want and len(got) > 15
+
+
+def long_texts(folder):
+    """Tables with texts beyond any window: what counts most stands at their ends."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["a b " * 6000 + "zebra " * 30000, "a b", "x" * 300 + " a", None, "Été " * 9000 + "fin", "zebra b", "q, " * 8192 + "zebra"]
+    tables = {
+        "documents": {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())},
+        "benchmark": {"item_id": pa.array([1, 2], pa.int64()), "text": ["zebra", "w " * 9000 + "fin " * 10000]},
+        "conversations": {"conv_id": pa.array([1], pa.int64()), "turn": pa.array([0], pa.int64()), "role": ["user"], "text": ["a b"]},
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    return texts
+
+
+def words_by_place(text):
+    """Signed counts of all words of a text, one by one."""
+    import hashlib
+    import re
+
+    out = Counter()
+    for word, n in Counter(re.findall(r"[a-z0-9_]+|[^\x00-\x7f]+", (text or "").lower())).items():
+        digest = hashlib.md5(word.encode()).digest()
+        out[(digest[0] << 8 | digest[1]) % 64] += -n if digest[2] >= 128 else n
+    return {k: v for k, v in out.items() if v}
+
+
+def by_sql(folder, name):
+    import duckdb
+    from quillspark.plans import catalog
+
+    con = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return sorted(con.sql(catalog.ORACLES[name]).fetchall())
+
+
+def test_whole_texts_are_embedded(spark, tmp_path):
+    from quillspark.plans import catalog
+
+    texts = long_texts(tmp_path)
+    got = sorted((r.doc_id, r.dim, r.value) for r in catalog.embedded_documents(spark, str(tmp_path)).collect())
+    assert got == sorted((k, dim, n) for k, t in enumerate(texts) for dim, n in words_by_place(t).items())
+    assert got == by_sql(tmp_path, "embedded_documents")
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Texts are cut and added up by parts of bounded size, with the same sums."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["ab ", "ΑΣ ", "Σ", "x", "é", " ", "\n", "Zz_9 ", "日 "]) for _ in range(rng.randrange(0, 400))) for _ in range(50)] + ["", " " * 50, "x" * 200]
+    whole = embedding.embedded(texts, 64, None)
+    monkeypatch.setattr(embedding, "PIECE", 7)
+    monkeypatch.setattr(embedding, "HELD", 5)
+    assert all("".join(embedding.pieces(t)) == t for t in texts) and max(len(list(embedding.pieces(t))) for t in texts) > 20
+    assert (embedding.embedded(texts, 64, None) == whole).all()
+    assert [{k: v for k, v in enumerate(row) if v} for row in whole.tolist()] == [words_by_place(t) for t in texts]
