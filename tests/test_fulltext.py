@@ -316,3 +316,22 @@ def test_pieces_of_long_texts(monkeypatch):
     assert all("".join(embedding.pieces(t)) == t for t in texts) and max(len(list(embedding.pieces(t))) for t in texts) > 20
     assert (embedding.embedded(texts, 64, None) == whole).all()
     assert [{k: v for k, v in enumerate(row) if v} for row in whole.tolist()] == [words_by_place(t) for t in texts]
+
+
+def test_nearest_of_whole_texts(spark, tmp_path):
+    """The ends of long documents and questions decide what is near."""
+    from quillspark.plans import catalog
+
+    texts = long_texts(tmp_path)
+    got = sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in catalog.nearest_all_questions(spark, str(tmp_path)).collect())
+    held = {k: v for k, t in enumerate(texts) if (v := words_by_place(t))}
+    asked = {2: "zebra", 4: "w " * 9000 + "fin " * 10000, 2001: "a b"}
+    want = []
+    for q, question in asked.items():
+        x = words_by_place(question)
+        norm = lambda v: sum(y * y for y in v.values())
+        scores = sorted((-round(sum(x.get(d, 0) * y for d, y in v.items()) / math.sqrt(norm(x) * norm(v)), 6) + 0.0, k) for k, v in held.items())
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(scores[:8])]
+    assert [(*r[:2], round(r[2], 6), r[3]) for r in got] == [(*r[:2], round(r[2], 6), r[3]) for r in sorted(want)]
+    assert got == by_sql(tmp_path, "nearest_all_questions")
+    assert next(r[1] for r in got if r[0] == 2 and r[3] == 1) == 0
